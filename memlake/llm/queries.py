@@ -7,6 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 from memlake.llm.forest import similar_pairs
+from memlake.llm.leaks import leaked
 from memlake.llm.tokens import encoded
 
 #: Where the public vocabularies lie.
@@ -24,5 +25,9 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoded(docs, "doc_id", "text", f"{TOKENIZERS}/byte_bpe_50k.tiktoken", BYTE_BPE_PATTERN).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p7_ids)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaked(spark.read.parquet(f"{d}/documents.parquet"), "doc_id", "text", spark.read.parquet(f"{d}/eval_items.parquet"), "item_id", "text")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p7_ids, p8_found)}
 ORACLES: dict[str, str] = {}
