@@ -5,9 +5,11 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from memlake.llm.forest import similar_pairs
 from memlake.llm.leaks import leaked
+from memlake.llm.stuffing import labelled
 from memlake.llm.tokens import encoded
 
 #: Where the public vocabularies lie.
@@ -29,5 +31,9 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaked(spark.read.parquet(f"{d}/documents.parquet"), "doc_id", "text", spark.read.parquet(f"{d}/eval_items.parquet"), "item_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p7_ids, p8_found)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return labelled(spark.read.parquet(f"{d}/documents.parquet"), "doc_id", "text").where("stuffed").select(F.col("id").alias("doc_id"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p7_ids, p8_found, p9_found)}
 ORACLES: dict[str, str] = {}
