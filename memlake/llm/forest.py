@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 from memlake.plans.shared import freed_shuffles, quoted, written
 
 SYMBOLS, KEY_BYTES, HEAD_DIMS, TAIL_DIMS = 10, 6, 64, 8
-#: Vectors of the sample that bounds come from; vectors of one range partition; candidates of one range.
-SAMPLE, PART_ROWS, LEAF = 20_000, 40_000, 1536
+#: Least and most vectors of the sample that bounds come from, and for each bound; vectors of one range partition;
+#: candidates of one range.
+SAMPLE, SAMPLE_EACH, PART_ROWS, LEAF = (4_000, 200_000), 40, 40_000, 1536
 #: Trees at TREES_AT vectors or fewer; their number grows as the vectors to the power GROWTH, which keeps recall level.
 TREES, TREES_AT, GROWTH, WAVE = 8, 1 << 19, 0.2, 2
 
@@ -178,7 +179,8 @@ def nearest(df: DataFrame, id: str, embedding: str, dim: int, k: int = 10, least
     n = points.count()
     count = math.ceil(trees * max(1.0, n / TREES_AT) ** GROWTH) if n > leaf else 1
     parts = max(1, round(n / PART_ROWS))
-    drawn = points.select("key", "v").sample(min(1.0, SAMPLE / max(1, n)), seed=seed).collect() if parts > 1 else []
+    size = min(max(SAMPLE[0], SAMPLE_EACH * parts), SAMPLE[1])
+    drawn = points.select("key", "v").sample(min(1.0, size / n), seed=seed).collect() if parts > 1 else []
     sq = unit(np.frombuffer(b"".join(r.v for r in drawn), np.int16).reshape(-1, dim)) if drawn else np.zeros((0, dim), np.float32)
     skeys = np.array([r.key for r in drawn], np.int64)
     best = None
