@@ -26,7 +26,7 @@ SYMBOLS, KEY_BYTES, HEAD_DIMS, TAIL_DIMS = 10, 6, 64, 8
 #: candidates of one range.
 SAMPLE, SAMPLE_EACH, PART_ROWS, LEAF = (4_000, 200_000), 40, 40_000, 1536
 #: Trees at TREES_AT vectors or fewer; their number grows as the vectors to the power GROWTH, which keeps recall level.
-TREES, TREES_AT, GROWTH, WAVE = 8, 1 << 19, 0.2, 2
+TREES, TREES_AT, GROWTH, WAVE = 12, 1 << 19, 0.2, 2
 
 
 def usable(column: pa.Array, dim: int) -> np.ndarray:
