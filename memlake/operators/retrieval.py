@@ -22,13 +22,17 @@ def query_terms(query: str, df: DataFrame) -> list[str]:
     return list(row.t)
 
 
+def _equals(value: str) -> Callable[[Column], Column]:
+    return lambda x: x == value
+
+
 def bm25(docs: DataFrame, query: str, id: str = "id", text: str = "content") -> DataFrame:
     """(id, score) of the documents with a positive BM25 score; statistics over the given candidates."""
     terms = query_terms(query, docs)
     if not terms:
         return docs.select(id, F.lit(0.0).alias("score")).limit(0)
     toks = docs.select(id, tokenize(F.col(text)).alias("t")).withColumn("dl", F.size("t").cast("double"))
-    tf = toks.select(id, "dl", *[F.size(F.filter("t", lambda x, q=q: x == q)).cast("double").alias(f"f{i}") for i, q in enumerate(terms)])
+    tf = toks.select(id, "dl", *[F.size(F.filter("t", _equals(q))).cast("double").alias(f"f{i}") for i, q in enumerate(terms)])
     stats = tf.agg(F.count(F.lit(1)).cast("double").alias("n"), F.greatest(F.avg("dl"), F.lit(1.0)).alias("avgdl"), *[F.sum((F.col(f"f{i}") > 0).cast("double")).alias(f"df{i}") for i in range(len(terms))])
     parts = []
     for i in range(len(terms)):

@@ -137,12 +137,12 @@ def e13_unembedded(spark: SparkSession, d: str) -> DataFrame:
     return ingest.unembedded(load(spark, d, "episodic")).select("id", us("ts"))
 
 
-@query("select doc_id as id, (length(text) >= 50)::bigint as whole, length(text)::bigint as chars from documents where text is not null and text not like '%' || chr(10) || '%' and length(trim(text)) = length(text) and length(text) >= 50 and not regexp_matches(text, '[\\x{0000}-\\x{0020}\\x{007f}]$|^[\\x{0000}-\\x{0020}]')")
+@query("""with p as (select session_id, unnest(list_filter(regexp_split_to_array(summary || chr(10) || chr(10) || summary, '\n\s*\n'), lambda x: trim(x) <> '')) as c from (select distinct session_id, summary from sessions) where summary <> '')
+select session_id as id, count(*)::bigint as n, max(length(trim(c)))::bigint as longest from p where length(trim(c)) >= 5 group by 1""")
 def e25_chunks(spark: SparkSession, d: str) -> DataFrame:
-    docs = load(spark, d, "documents").filter("text is not null and not contains(text, '\n') and length(trim(text)) = length(text) and length(text) >= 50")
-    docs = docs.filter(~F.col("text").rlike(r"[\x00-\x20\x7f]$|^[\x00-\x20]"))
-    c = ingest.chunks(docs, "doc_id", "text", 1 << 20)
-    return c.groupBy("id").agg(F.count(F.lit(1)).alias("whole"), F.sum(F.length("chunk")).alias("chars"))
+    s = load(spark, d, "sessions").select("session_id", "summary").distinct().filter("summary <> ''")
+    c = ingest.chunks(s.select("session_id", F.concat_ws("\n\n", "summary", "summary").alias("text")), "session_id", "text", 1, 5)
+    return c.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.max(F.length("chunk")).cast("bigint").alias("longest"))
 
 
 @query("select id, epoch_us(ts) as ts from episodic where contains(payload, 'retry after')")
@@ -272,9 +272,9 @@ def t07_retention(spark: SparkSession, d: str) -> DataFrame:
     return st.retained(load(spark, d, "episodic"), p, 45, instant(NOW)).select("id", us("ts"))
 
 
-@query("""with l as (select id as seq, tenant_id as agent_id, event_type as key, payload as value, epoch_us(ts) as at, epoch_us(ts) % 7 = 0 as gone from (select distinct id, tenant_id, event_type, payload, ts from episodic)),
-g as (select *, sum(gone::int) over (partition by agent_id, key order by at, seq) as life, first_value(gone) over (partition by agent_id, key order by at desc, seq desc) as ends from l)
-select agent_id, key, max_by(value, (at, seq)) as value, count(*)::bigint as version from (select *, max(life) over (partition by agent_id, key) as top from g) where not gone and not ends and life = top group by 1, 2""")
+@query("""with l as (select id as seq, tenant_id as agent_id, event_type as key, payload as value, epoch_us(ts) as a, epoch_us(ts) % 7 = 0 as gone from (select distinct id, tenant_id, event_type, payload, ts from episodic)),
+g as (select *, sum(gone::int) over (partition by agent_id, key order by a, seq) as life, first_value(gone) over (partition by agent_id, key order by a desc, seq desc) as ends from l)
+select agent_id, key, max_by(value, (a, seq)) as value, count(*)::bigint as version from (select *, max(life) over (partition by agent_id, key) as top from g) where not gone and not ends and life = top group by 1, 2""")
 def t05_state(spark: SparkSession, d: str) -> DataFrame:
     e = load(spark, d, "episodic").select("id", "tenant_id", "event_type", "payload", "ts").distinct()
     at = F.unix_micros("ts")

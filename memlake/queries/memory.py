@@ -54,9 +54,9 @@ def f01_exact_scope(spark: SparkSession, d: str) -> DataFrame:
     return memories(spark, d).filter(SCOPE.predicate()).select("id", "content", "importance")
 
 
-@query(f"select id, epoch_us(valid_from) as valid_from from {_ONCE} where tenant_id = '{TENANT}' and state = 'active' and {_NORM.format('subject')} = 'work days'")
+@query(f"select id, epoch_us(valid_from) as valid_from from {_ONCE} where tenant_id = '{TENANT}' and state = 'active' and {_NORM.format('subject')} = 'user.theme'")
 def f07_by_subject(spark: SparkSession, d: str) -> DataFrame:
-    a = memories(spark, d).filter((F.col("tenant_id") == TENANT) & (F.col("state") == "active") & (normalize_subject(F.col("subject")) == "work days"))
+    a = memories(spark, d).filter((F.col("tenant_id") == TENANT) & (F.col("state") == "active") & (normalize_subject(F.col("subject")) == "user.theme"))
     return a.orderBy(F.desc("valid_from")).select("id", us("valid_from"))
 
 
@@ -236,9 +236,9 @@ def b07_as_of(spark: SparkSession, d: str) -> DataFrame:
     return m.as_of(mem, instant(MIDDLE)).select("id", us("valid_from"))
 
 
-@query(f"select id, epoch_us(valid_from) as valid_from, version from {_ONCE} where tenant_id = 'verdigris' and user_id = 'u-00000017' and agent_id is null and session_id is null and {_NORM.format('subject')} = 'work days'")
+@query(f"select id, epoch_us(valid_from) as valid_from, version from {_ONCE} where tenant_id = 'verdigris' and user_id = 'u-00000017' and agent_id is null and session_id is null and {_NORM.format('subject')} = 'desk number'")
 def b08_history(spark: SparkSession, d: str) -> DataFrame:
-    return m.history(memories(spark, d), m.Scope("verdigris", "u-00000017"), "Work  DAYS ").select("id", us("valid_from"), "version")
+    return m.history(memories(spark, d), m.Scope("verdigris", "u-00000017"), "Desk  NUMBER ").select("id", us("valid_from"), "version")
 
 
 @query(f"""select id, round(importance * pow(0.5, date_diff('day', valid_from, timestamp '{NOW}') / 30.0), 9) as strength from {_ONCE}

@@ -79,16 +79,12 @@ union all select entity, 'gap', last, a from q where last is not null""",
     "p6_found": """
 with recursive one as (select lower(trim(id)) as id, max(nullif(lower(trim(parent_id)), '')) as p from episodic where trim(id) <> '' group by 1),
 n as (select a.id, b.id as p from one a left join one b on a.p = b.id),
-up(id, at, d) as (select id, p, 1 from n where p is not null
-   union select up.id, n.p, up.d + 1 from up join n on up.at = n.id where n.p is not null and up.at <> up.id and up.d < 100000 and up.d <= (select count(*) from n)
-   and up.d < 2000),
-circle as (select distinct id from up where at = id),
-top as (select id, max_by(at, d) as root, max(d) as d from up group by id),
-hang as (select distinct id from up where at in (select id from circle) and id not in (select id from circle)),
-below as (select at as id, count(distinct id) as c from up where at <> id group by at)
-select n.id,
-  case when c.id is not null or h.id is not null then '' else coalesce(t.root, n.id) end as root_id,
-  case when c.id is not null then -1 when h.id is not null then -2 else coalesce(t.d, 0) end::bigint as depth,
-  coalesce(b.c, 0)::bigint as n_descendants
+up(id, anc) as (select id, p from n where p is not null union select up.id, n.p from up join n on up.anc = n.id where n.p is not null),
+circle as (select id from up where id = anc),
+hang as (select distinct id from up where anc in (select id from circle) and id not in (select id from circle)),
+top as (select id, max(case when anc in (select id from n where p is null) then anc end) as root, count(*) as d from up group by id),
+below as (select anc as id, count(*) as c from up where anc <> id group by 1)
+select n.id, case when c.id is not null or h.id is not null then '' else coalesce(t.root, n.id) end as root_id,
+  (case when c.id is not null then -1 when h.id is not null then -2 else coalesce(t.d, 0) end)::bigint as depth, coalesce(b.c, 0)::bigint as n_descendants
 from n left join circle c using (id) left join hang h using (id) left join top t using (id) left join below b using (id)""",
 }

@@ -15,6 +15,7 @@ def get_spark(app: str = "memlake", master: str | None = None, shuffle_partition
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("MEMLAKE_DRIVER_MEMORY", "8g"))
     )
     if master:
