@@ -153,11 +153,14 @@ def _resolved(edges: DataFrame) -> DataFrame:
         F.col("w").alias("dist"),
         F.col("size").alias("acc"),
     )
-    state, left = written(state, "tree-round"), None
+    state, left, done, k = written(state, "tree-round"), None, None, 0
     while True:
         open_ = state.where("anc is not null").count()
-        if not open_ or open_ == left:
-            return state
+        if open_ == left and done is None:
+            # what is left leads to circles; trees that hang from those are at most that deep
+            done, state = state.where("anc is null"), state.where("anc is not null")
+        if not open_ or done is not None and 1 << k >= open_:
+            return state if done is None else done.unionByName(state)
         left = open_
         gain = state.where("anc is not null").groupBy(F.col("anc").alias("v")).agg(F.sum("acc").alias("gain"))
         a = state.select(F.col("v").alias("anc"), F.col("anc").alias("anc2"), F.col("root").alias("root2"), F.col("dist").alias("dist2"))
@@ -167,6 +170,7 @@ def _resolved(edges: DataFrame) -> DataFrame:
             .select("v", F.col("anc2").alias("anc"), F.coalesce("root", "root2").alias("root"), (F.col("dist") + F.coalesce("dist2", F.lit(0))).alias("dist"), (F.col("acc") + F.coalesce("gain", F.lit(0))).alias("acc")),
             "tree-round",
         )
+        k += 1
 
 
 def _circles(edges: DataFrame, state: DataFrame) -> DataFrame:
