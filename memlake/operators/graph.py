@@ -175,7 +175,7 @@ def triples(df: DataFrame, id: str, text: str) -> DataFrame:
 
 def triple_lines(text: Column) -> Column:
     """array<struct(subject, relation, object)> of lines ``a | r | b``; other lines are left out."""
-    parts = F.transform(F.split(text, "\n"), lambda line: F.transform(F.split(line, r"\|"), F.trim))
+    parts = F.transform(F.split(text, "\n"), lambda line: F.transform(F.split(line, r"\|"), lambda x: F.trim(x)))
     good = F.filter(parts, lambda p: (F.size(p) == 3) & F.forall(p, lambda x: x != ""))
     return F.transform(good, lambda p: F.struct(p[0].alias("subject"), p[1].alias("relation"), p[2].alias("object")))
 

@@ -131,7 +131,7 @@ def unembedded(events: DataFrame, semantic: DataFrame | None = None) -> DataFram
 
 def chunks(df: DataFrame, id: str, text: str, size: int = 1000, least: int = 50) -> DataFrame:
     """(id, index, total, chunk): paragraphs packed to chunks of about ``size`` characters; chunks under ``least`` are dropped."""
-    paragraphs = F.filter(F.transform(F.split(F.col(text), r"\n\s*\n"), F.trim), lambda p: p != "")
+    paragraphs = F.filter(F.transform(F.split(F.col(text), r"\n\s*\n"), lambda x: F.trim(x)), lambda p: p != "")
     zero = F.array().cast("array<string>")
     pack = F.aggregate(
         paragraphs,
@@ -171,7 +171,7 @@ def notes(files: DataFrame, path: str = "path", text: str = "value") -> DataFram
     body = F.when(front != "", F.regexp_replace(t, r"(?s)\A---\n.*?\n---\s*(?:\n|\z)", "")).otherwise(t)
     pairs = F.filter(F.transform(F.split(front, "\n"), lambda l: F.split(l, r":\s*", 2)), lambda p: (F.size(p) == 2) & (F.trim(p[0]) != ""))
     fm = F.map_from_entries(F.transform(pairs, lambda p: F.struct(F.trim(p[0]), F.trim(p[1]))))
-    link = F.array_distinct(F.filter(F.transform(F.regexp_extract_all(body, F.lit(r"\[\[([^\]\[|#]+)[^\]\[]*\]\]"), 1), F.trim), lambda x: x != ""))
+    link = F.array_distinct(F.filter(F.transform(F.regexp_extract_all(body, F.lit(r"\[\[([^\]\[|#]+)[^\]\[]*\]\]"), 1), lambda x: F.trim(x)), lambda x: x != ""))
     stem = F.regexp_extract(F.col(path), r"([^/]+?)(?:\.md)?$", 1)
     return files.select(F.col(path).alias("path"), F.coalesce(fm["title"], stem).alias("title"), fm.alias("front_matter"), F.trim(body).alias("body"), link.alias("links"))
 
