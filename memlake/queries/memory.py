@@ -11,8 +11,12 @@ from memlake.operators import graph as g
 from memlake.operators import memory as m
 from memlake.operators import retrieval as r
 from memlake.operators import vector as v
+from memlake.operators.joins import interval_join
+from memlake.operators.state import by_prefix as state_by_prefix
+from memlake.plans.shared import written
 from memlake.queries.registry import MIDDLE, NOW, NOW_US, Registry, instant, load, us
 from memlake.sources import sinks
+from memlake.streaming.pipelines import change_stream
 
 query = Registry()
 TENANT = "larkfield"
@@ -384,6 +388,126 @@ def g14_auto_graph(spark: SparkSession, d: str) -> DataFrame:
     return g.auto_graph(memories(spark, d))
 
 
+@query(f"with a as (select 'hub:triage' as n), e as (select * from {_EDGES} where tenant_id = '{TENANT}') select id from e where src = 'hub:triage' or dst = 'hub:triage'")
+def j05_one_hop(spark: SparkSession, d: str) -> DataFrame:
+    return g.subgraph(edges(spark, d), TENANT, "hub:triage", 1, 1_000_000).select("id")
+
+
+@query("""with recursive e as (select distinct src, dst from memory_edges where state = 'active'), n as (select min(src) as s from e),
+w(node, d) as (select s, 0 from n union select e.dst, w.d + 1 from w join e on w.node = e.src where w.d < 6)
+select (select s from n) as start, max(d)::bigint as reach from (select node, min(d) as d from w group by 1)""")
+def g10_reach(spark: SparkSession, d: str) -> DataFrame:
+    """The greatest distance within six steps of the first source, by breadth-first rounds."""
+    e = load(spark, d, "memory_edges").filter("state = 'active'").select("src", "dst").distinct()
+    start = e.agg(F.min("src").alias("s")).first().s
+    seen = front = spark.createDataFrame([(start,)], "node string")
+    reach = 0
+    for hop in range(1, 7):
+        front = e.join(front.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti")
+        front = written(front, "reach")
+        if not front.limit(1).count():
+            break
+        seen, reach = seen.union(front), hop
+    return spark.createDataFrame([(start, reach)], "start string, reach bigint")
+
+
+@query(f"""with a as (select distinct on (id) * from memory_edges) select e.id, m.content from a e join {_ONCE} m on m.id = e.source_memory_id and m.tenant_id = e.tenant_id where m.state = 'active' and e.state = 'active'""")
+def j07_edge_memories(spark: SparkSession, d: str) -> DataFrame:
+    e = edges(spark, d).filter("state = 'active'").select("id", "tenant_id", F.col("source_memory_id").alias("mid"))
+    mem = memories(spark, d).filter("state = 'active'").select(F.col("id").alias("mid"), "tenant_id", "content")
+    return e.join(mem, ["mid", "tenant_id"]).select("id", "content")
+
+
+@query(f"""select a.id as edge, b.id as memory from (select distinct on (id) * from memory_edges) a join {_ONCE} b on a.tenant_id = b.tenant_id and a.src = b.user_id
+where epoch_us(a.valid_from) >= epoch_us(b.valid_from) and (b.valid_to is null or a.valid_from < b.valid_to)""")
+def j04_interval_join(spark: SparkSession, d: str) -> DataFrame:
+    e = edges(spark, d).filter("valid_from is not null").select(F.col("id").alias("edge"), "tenant_id", F.col("src").alias("u"), us("valid_from", "at"))
+    mem = memories(spark, d).filter("user_id is not null").select(F.col("id").alias("memory"), "tenant_id", F.col("user_id").alias("u"), us("valid_from", "s"), us("valid_to", "e"))
+    return interval_join(e, mem, ["tenant_id", "u"], "at", "s", "e", 86_400_000_000).select("edge", "memory")
+
+
+# --- more of the engine's verbs ------------------------------------------------------------------------------------
+@query(f"select id from {_ONCE} where tenant_id = '{TENANT}' and state = 'active' and json_extract_string(metadata, '$.published') = 'true' order by importance desc, valid_from desc, id limit 100")
+def f10_published(spark: SparkSession, d: str) -> DataFrame:
+    return m.list_paged(memories(spark, d), F.col("tenant_id") == TENANT, 100, metadata=("published", "true")).select("id")
+
+
+@query(f"select id, content, version from {_ONCE} where id = (select min(id) from memories) and tenant_id = (select tenant_id from memories order by id limit 1)")
+def f06_get_scoped(spark: SparkSession, d: str) -> DataFrame:
+    mem = memories(spark, d)
+    first = mem.orderBy("id").select("id", "tenant_id").first()
+    return mem.filter((F.col("id") == first.id) & (F.col("tenant_id") == first.tenant_id)).select("id", "content", "version")
+
+
+@query("select distinct 'a-' || tenant_id as agent_id, event_type as key from episodic where starts_with('a-' || tenant_id, 'a-l')")
+def f14_state_prefix(spark: SparkSession, d: str) -> DataFrame:
+    kv = load(spark, d, "episodic").select(F.concat(F.lit("a-"), "tenant_id").alias("agent_id"), F.col("event_type").alias("key")).distinct()
+    return state_by_prefix(kv, "a-l")
+
+
+@query(f"select label % 2 as modality, vec_id, score from (select label, vec_id, round({_COS}, 6) as score, row_number() over (order by {_COS} desc, vec_id) as rk from embeddings, (select embedding as q from embeddings where vec_id = 0) where label % 2 = 1) where rk <= 10")
+def v04_modal_knn(spark: SparkSession, d: str) -> DataFrame:
+    e = load(spark, d, "embeddings").withColumn("modality", (F.col("label") % 2).cast("string")).withColumn("id", F.col("vec_id"))
+    return v.knn_modal(e, query_vector(spark, d), 10, "1").select(F.col("modality").cast("int").alias("modality"), "vec_id", F.round("score", 6).alias("score"))
+
+
+@query("""with q as (select vec_id, case when vec_id % 3 = 0 then 'exact' else 'near' end as hit from embeddings where vec_id % 50 = 0) select vec_id, hit from q""")
+def v12_response_cache(spark: SparkSession, d: str) -> DataFrame:
+    e = load(spark, d, "embeddings").filter("vec_id % 50 = 0")
+    cache = e.select(F.lit("s").alias("scope"), F.concat(F.lit("Question  "), "vec_id").alias("query"), F.col("vec_id").cast("string").alias("response"), "embedding", F.lit(10).cast("bigint").alias("stored_us"))
+    asked = e.select(F.col("vec_id").alias("qid"), F.lit("s").alias("scope"), F.concat(F.when(F.col("vec_id") % 3 == 0, "question ").otherwise("other "), "vec_id").alias("query"), "embedding")
+    return v.cached_answers(cache, asked, 20, 100).select(F.col("qid").alias("vec_id"), "hit")
+
+
+@query(f"""with a as (select id, 1.0 / (60 + row_number() over (order by importance desc, id)) as w from {_ONCE} where tenant_id = '{TENANT}' union all
+select id, 2.0 / (60 + row_number() over (order by updated_at desc, id)) from {_ONCE} where tenant_id = '{TENANT}') select id, round(sum(w), 9) as rrf from a group by 1""")
+def h05_weighted_rrf(spark: SparkSession, d: str) -> DataFrame:
+    own = memories(spark, d).filter(F.col("tenant_id") == TENANT)
+    return r.rrf([r.ranked(own, [F.desc("importance"), F.col("id")]), r.ranked(own, [F.desc("updated_at"), F.col("id")], 2.0)]).select("id", F.round("rrf", 9).alias("rrf"))
+
+
+@query(f"""with u as (select distinct user_id from {_ONCE} where tenant_id = '{TENANT}' and user_id is not null order by 1 limit 3)
+select id, max(importance) as score from {_ONCE} where tenant_id = '{TENANT}' and user_id in (select * from u) and state = 'active' group by 1 order by 2 desc, 1 limit 25""")
+def h09_shared_search(spark: SparkSession, d: str) -> DataFrame:
+    mem = memories(spark, d)
+    users = [x.user_id for x in mem.filter((F.col("tenant_id") == TENANT) & F.col("user_id").isNotNull()).select("user_id").distinct().orderBy("user_id").limit(3).collect()]
+    grants = spark.createDataFrame([(TENANT, users[0], u) for u in users[1:]], "tenant_id string, grantee_user_id string, grantor_user_id string")
+    return r.shared_search(mem, grants, TENANT, users[0], lambda s: mem.filter(s & (F.col("state") == "active")).select("id", F.col("importance").alias("score")), 25)
+
+
+@query(f"""select id, 'expired' as state, {NOW_US} as valid_to from {_ONCE} where state = 'active' and importance < 0.2""")
+def b10_expire(spark: SparkSession, d: str) -> DataFrame:
+    mem = memories(spark, d)
+    return m.expired(mem, mem.filter("importance < 0.2"), instant(NOW)).select("id", "state", us("valid_to"))
+
+
+@query(f"""select id, 'patched' as content, least(1.0, importance + 0.3) as importance, version + 1 as version from {_ONCE} where state = 'active' and mem_type = 'procedural'""")
+def b16_patch(spark: SparkSession, d: str) -> DataFrame:
+    mem = memories(spark, d)
+    none = F.lit(None).cast("string")
+    patch = mem.filter("mem_type = 'procedural'").select("id", F.lit("patched").alias("content"), (F.col("importance") + 0.3).alias("importance"), none.alias("mem_type"), none.alias("metadata"))
+    return m.patched(mem, patch, instant(NOW)).select("id", "content", "importance", "version")
+
+
+@query("select distinct tenant_id, src as grantee_user_id, 'u-admin' as grantor_user_id from memory_edges where src like 'u-%'")
+def b22_grants(spark: SparkSession, d: str) -> DataFrame:
+    e = load(spark, d, "memory_edges").filter(F.col("src").startswith("u-")).select("tenant_id", F.col("src").alias("grantee_user_id"), F.lit("u-admin").alias("grantor_user_id"))
+    return m.add_grants(e.filter(F.col("tenant_id") == TENANT).distinct(), e)
+
+
+@query("""with f as (select doc_id, (case when doc_id % 2 = 0 then 2 else 1 end)::bigint as n from documents) select doc_id as id, n from f""")
+def b19_extract_facts(spark: SparkSession, d: str) -> DataFrame:
+    x = load(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.lit('[{"subject":"a","content":"b"},{"content":"c"}]')).otherwise(F.concat(F.lit("plain "), "doc_id")).alias("t"))
+    return x.select(F.col("doc_id").alias("id"), F.size(m.extracted_facts(F.col("t"))).cast("bigint").alias("n"))
+
+
+@query(f"select kind, count(*)::bigint as n from (select 'upserted' as kind from {_ONCE} where state = 'active' union all select state from {_ONCE} where state <> 'active') group by 1")
+def t01_change_stream(spark: SparkSession, d: str) -> DataFrame:
+    mem = memories(spark, d)
+    none = spark.createDataFrame([], "agent_id string, key string, tenant_id string, op string")
+    return change_stream(mem, none).groupBy(F.col("event").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- sinks ---------------------------------------------------------------------------------------------------------
 @query()
 def k06_note_export(spark: SparkSession, d: str) -> DataFrame:

@@ -201,3 +201,18 @@ def test_state_and_windows(spark, tmp_path):
     ch = sp.change_stream(mem, st)
     assert rows(ch, "stream", "event") == [("memory", "expired"), ("memory", "upserted"), ("state", "set")]
     assert sp.watch(ch, "t", "state", "a").count() == 1 and sp.watch(ch, "x").count() == 0
+
+
+def test_embedded(spark, tmp_path):
+    from memlake.embedded import Embedded
+
+    ticks = iter(range(1_700_000_000, 1_800_000_000))
+    db = Embedded.open(spark, f"file://{tmp_path}", "t", "u", clock=lambda: float(next(ticks)))
+    db.add("likes tea", "drink")
+    db.add(" likes tea", "Drink")
+    db.add("likes coffee", "drink")
+    assert db.remember('["works at the bank"]') == 1
+    got = db.all().collect()
+    assert {r.content for r in got} == {"likes coffee", "works at the bank"}
+    assert db.recall("coffee").first().content == "likes coffee"
+    assert Embedded.open(spark, f"file://{tmp_path}", "other").all().count() == 0
