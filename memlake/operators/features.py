@@ -185,7 +185,8 @@ def entity_features(df: DataFrame, entity: str, kind: str, time: str, payload: s
 
     cell = "entity string, kind string, n bigint, last bigint, total bigint"
     events = src.mapInArrow(read, event)
-    once = events.repartition(P, F.coalesce(F.xxhash64("id", F.isnull("id")), F.lit(0)) + F.when(F.col("id").isNull(), F.xxhash64("entity", "kind", "at")).otherwise(0)).mapInArrow(by_id, mixed)
+    spot = F.when(F.col("id").isNull(), F.xxhash64("entity", "kind", "at", "total")).otherwise(F.xxhash64("id"))
+    once = events.repartition(P, spot).mapInArrow(by_id, mixed)
     kept = once.repartition(P, F.when(F.col("idem").isNotNull(), F.xxhash64("idem")).otherwise(F.xxhash64("entity", "kind"))).mapInArrow(by_key, cell)
     return kept.repartition(P, "entity").mapInArrow(by_entity, "entity string, kind string, n bigint, last_us bigint, total bigint")
 

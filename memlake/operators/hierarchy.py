@@ -26,6 +26,8 @@ from memlake.plans.shared import freed_shuffles, quoted, width, written
 
 ON_CIRCLE, BELOW_CIRCLE = -1, -2
 BLOCK_ROWS = 250_000
+#: Above any number of nodes: sums around a circle, which count nodes again and again and are not used, stop here.
+NO_COUNT = 1 << 42
 _RAW = "00" * 17
 
 
@@ -167,7 +169,7 @@ def _resolved(edges: DataFrame) -> DataFrame:
         state = written(
             state.join(gain, "v", "left")
             .join(a, "anc", "left")
-            .select("v", F.col("anc2").alias("anc"), F.coalesce("root", "root2").alias("root"), (F.col("dist") + F.coalesce("dist2", F.lit(0))).alias("dist"), (F.col("acc") + F.coalesce("gain", F.lit(0))).alias("acc")),
+            .select("v", F.col("anc2").alias("anc"), F.coalesce("root", "root2").alias("root"), (F.col("dist") + F.coalesce("dist2", F.lit(0))).alias("dist"), F.least(F.col("acc") + F.coalesce("gain", F.lit(0)), F.lit(NO_COUNT)).alias("acc")),
             "tree-round",
         )
         k += 1
