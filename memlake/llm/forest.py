@@ -41,7 +41,7 @@ def usable(column: pa.Array, dim: int) -> np.ndarray:
 
 def quantised(x: np.ndarray) -> np.ndarray:
     """Directions as 16-bit integers, each vector scaled to its largest component; cosines change by some 1e-5."""
-    return np.rint(x * (32767.0 / np.abs(x).max(1, keepdims=True))).astype(np.int16)
+    return np.rint(x / np.abs(x).max(1, keepdims=True) * 32767.0).astype(np.int16)
 
 
 def unit(q: np.ndarray) -> np.ndarray:
