@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlake.plans.shared import blank_trimmed, micros, quoted, width
+from memlake.plans.shared import blank_trimmed, micros, quoted, spread, width
 
 CELL_SCHEMA = pa.schema([("entity", pa.string()), ("kind", pa.string()), ("n", pa.int64()), ("last", pa.int64()), ("total", pa.int64())])
 NEVER = np.iinfo(np.int64).min
@@ -184,7 +184,7 @@ def entity_features(df: DataFrame, entity: str, kind: str, time: str, payload: s
                 yield from c.rename_columns({"last": "last_us"}).to_batches(max_chunksize=50_000)
 
     cell = "entity string, kind string, n bigint, last bigint, total bigint"
-    events = src.mapInArrow(read, event)
+    events = spread(src).mapInArrow(read, event)
     spot = F.when(F.col("id").isNull(), F.xxhash64("entity", "kind", "at", "total")).otherwise(F.xxhash64("id"))
     once = events.repartition(P, spot).mapInArrow(by_id, mixed)
     kept = once.repartition(P, F.when(F.col("idem").isNotNull(), F.xxhash64("idem")).otherwise(F.xxhash64("entity", "kind"))).mapInArrow(by_key, cell)

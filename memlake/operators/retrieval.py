@@ -116,17 +116,18 @@ def memory_search(
     plain = lambda n: list_active(mem, scope, n).withColumn("score", F.lit(0.0))
     if not query.strip() or k <= 0:
         return plain(max(k, 1))
-    cand = list_active(mem, scope, max(scan_cap, k))
+    live = mem.filter(scope & (F.col("state") == "active"))
+    cand = list_active(mem, scope, max(scan_cap, k)).select("id", "content")
     pool = max(pool, k)
     arms = [ranked(bm25(cand, query), [F.desc("score"), F.col("id")], lexical_weight)]
     if vector is not None:
-        near = mem.filter(scope & (F.col("state") == "active")).select("id", cosine(F.col("embedding"), vector_literal(vector)).alias("score")).filter("score is not null")
+        near = live.select("id", cosine(F.col("embedding"), vector_literal(vector)).alias("score")).filter("score is not null")
         arms.append(ranked(near, [F.desc("score"), F.col("id")], vector_weight, max(pool, 4 * k)))
     if edges is not None:
         arms.append(ranked(graph_arm(edges, cand, query, max(scan_cap, k)), [F.col("first"), F.col("id")], lexical_weight))
     fused = rrf(arms).orderBy(F.desc("rrf"), "id").limit(pool)
     fresh = recency(F.col("updated_us"), F.lit(now_us))
-    hits = mem.join(fused, "id").withColumn("score", F.col("rrf") * (1.0 + importance_weight * F.col("importance") + recency_weight * fresh)).drop("rrf")
+    hits = live.join(fused, "id").withColumn("score", F.col("rrf") * (1.0 + importance_weight * F.col("importance") + recency_weight * fresh)).drop("rrf")
     if rerank is not None:
         hits = reranked(hits, query, rerank, fresh)
     best = hits.orderBy(F.desc("score"), "id").limit(k)

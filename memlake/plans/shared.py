@@ -92,3 +92,10 @@ def blank_trimmed(c: Column) -> Column:
 def collapsed(c: Column) -> Column:
     """Lower-cased, trimmed, every run of Unicode white space one space."""
     return F.trim(F.regexp_replace(F.lower(c), r"(?U)\s+", " "))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as the cluster has cores. Only a small input, of fewer files or splits
+    than cores, is shuffled for that; a large one stays as it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df

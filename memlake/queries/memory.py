@@ -38,9 +38,10 @@ def _terms(text: str) -> str:
 _NORM = r"trim(regexp_replace(lower({}), '[\s\x{{00A0}}]+', ' ', 'g'))"
 
 
-def memories(spark: SparkSession, d: str) -> DataFrame:
-    """The test memories, rows of one id once."""
-    return load(spark, d, "memories").dropDuplicates(["id"])
+def memories(spark: SparkSession, d: str, tenant: str | None = None) -> DataFrame:
+    """The test memories, or one tenant's, rows of one id once."""
+    mem = load(spark, d, "memories")
+    return (mem if tenant is None else mem.filter(F.col("tenant_id") == tenant)).dropDuplicates(["id"])
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
@@ -66,18 +67,18 @@ def f07_by_subject(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"select id, importance from {_ONCE} where tenant_id = '{TENANT}' and state = 'active' order by importance desc, valid_from desc, id limit 200")
 def f08_list_active(spark: SparkSession, d: str) -> DataFrame:
-    return r.list_active(memories(spark, d), F.col("tenant_id") == TENANT, 200).select("id", "importance")
+    return r.list_active(memories(spark, d, TENANT), F.col("tenant_id") == TENANT, 200).select("id", "importance")
 
 
 @query(f"""select id, importance from {_ONCE} where tenant_id = '{TENANT}' and state = 'active' and mem_type = 'semantic' and importance >= 0.2 and updated_at >= timestamp '2018-01-03' and updated_at < timestamp '{NOW}'
 and json_extract_string(metadata, '$.published') = 'true' order by importance desc, valid_from desc, id limit 20 offset 5""")
 def f09_filtered_page(spark: SparkSession, d: str) -> DataFrame:
-    return m.list_paged(memories(spark, d), F.col("tenant_id") == TENANT, 20, 5, "semantic", 0.2, instant("2018-01-03"), instant(NOW), ("published", "true")).select("id", "importance")
+    return m.list_paged(memories(spark, d, TENANT), F.col("tenant_id") == TENANT, 20, 5, "semantic", 0.2, instant("2018-01-03"), instant(NOW), ("published", "true")).select("id", "importance")
 
 
 @query(f"select id, epoch_us(updated_at) as updated_at from {_ONCE} where tenant_id = '{TENANT}' order by updated_at desc, id limit 100")
 def f11_by_tenant(spark: SparkSession, d: str) -> DataFrame:
-    return memories(spark, d).filter(F.col("tenant_id") == TENANT).orderBy(F.desc("updated_at"), "id").limit(100).select("id", us("updated_at"))
+    return memories(spark, d, TENANT).filter(F.col("tenant_id") == TENANT).orderBy(F.desc("updated_at"), "id").limit(100).select("id", us("updated_at"))
 
 
 # --- vectors -------------------------------------------------------------------------------------------------------
@@ -142,7 +143,7 @@ _CAND = f"select id, content, importance, updated_at from {_ONCE} where tenant_i
 
 @query(f"with {_bm25_sql(_CAND, ASK)} select id, round(score, 6) as score from lex")
 def h03_bm25(spark: SparkSession, d: str) -> DataFrame:
-    cand = r.list_active(memories(spark, d), F.col("tenant_id") == TENANT, 2048)
+    cand = r.list_active(memories(spark, d, TENANT), F.col("tenant_id") == TENANT, 2048)
     return r.bm25(cand, ASK).select("id", F.round("score", 6).alias("score"))
 
 
@@ -159,7 +160,7 @@ arms as (select id, 1.0 / (60.0 + row_number() over (order by score desc, id)) a
 fused as (select id, sum(w) as rrf from arms group by id order by rrf desc, id limit 50)
 select id, round(rrf * (1.0 + 0.3 * importance + 0.2 * pow(0.5, greatest(floor(({NOW_US} - epoch_us(updated_at)) / 1000000), 0) / 86400.0 / 30.0)), 9) as score from fused join {_ONCE} using (id) order by score desc, id limit 10""")
 def h06_hybrid_search(spark: SparkSession, d: str) -> DataFrame:
-    mem = memories(spark, d).withColumn("updated_us", F.unix_micros("updated_at"))
+    mem = memories(spark, d, TENANT).withColumn("updated_us", F.unix_micros("updated_at"))
     bad = F.exists("embedding", lambda x: F.isnan(x) | (F.abs(x) == float("inf")))
     mem = mem.withColumn("embedding", F.when(~bad, F.col("embedding")))
     hits = r.memory_search(mem, F.col("tenant_id") == TENANT, ASK, 10, NOW_US, query_vector(spark, d))
@@ -174,7 +175,7 @@ arms as (select id, 1.0 / (60.0 + row_number() over (order by score desc, id)) a
 select id, round(sum(w), 9) as rrf from arms group by id""")
 def h07_graph_arm(spark: SparkSession, d: str) -> DataFrame:
     ask = "reports for the triage hub"
-    cand = r.list_active(memories(spark, d), F.col("tenant_id") == TENANT, 2048)
+    cand = r.list_active(memories(spark, d, TENANT), F.col("tenant_id") == TENANT, 2048)
     own = edges(spark, d).filter(F.col("tenant_id") == TENANT)
     arms = [r.ranked(r.bm25(cand, ask), [F.desc("score"), F.col("id")]), r.ranked(r.graph_arm(own, cand, ask, 2048), [F.col("first"), F.col("id")])]
     return r.rrf(arms).select("id", F.round("rrf", 9).alias("rrf"))
