@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlake.plans.shared import freed_shuffles, quoted, written
+from memlake.plans.shared import freed_shuffles, quoted, spread, written
 
 SYMBOLS, KEY_BYTES, HEAD_DIMS, TAIL_DIMS = 10, 6, 64, 8
 #: Least and most vectors of the sample that bounds come from, and for each bound; vectors of one range partition;
@@ -174,7 +174,7 @@ def nearest(df: DataFrame, id: str, embedding: str, dim: int, k: int = 10, least
                 yield pa.RecordBatch.from_pydict({"id": b.column("id"), "v": pa.array(list(q.view(f"V{2 * dim}").ravel().tolist()), pa.binary())})
 
     src = df.select(F.col(quoted(id)).cast("string").alias("id"), F.col(quoted(embedding)).cast("array<double>").alias("v"))
-    one = src.mapInArrow(read, "id string, v binary").groupBy("id").agg(F.max("v").alias("v"))
+    one = spread(src).mapInArrow(read, "id string, v binary").groupBy("id").agg(F.max("v").alias("v"))
     points = written(one.select(F.monotonically_increasing_id().alias("key"), "id", "v"), "forest-points")
     n = points.count()
     count = math.ceil(trees * max(1.0, n / TREES_AT) ** GROWTH) if n > leaf else 1

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlake.plans.shared import quoted
+from memlake.plans.shared import quoted, spread
 
 SEED, REJOIN = 4, 2
 #: Words of an item, words that must agree, and agreeing words for each edit.
@@ -196,4 +196,4 @@ def _searched(src: DataFrame, items: Items, dk: str, ik: str) -> DataFrame:
                     yield pa.RecordBatch.from_pydict({"doc_id": pa.array([ids[a + d] for d, _ in found], b.column("doc").type), "item_id": [items.ids[i] for _, i in found]})
                 a = z
 
-    return src.mapInArrow(search, f"doc_id {dk}, item_id {ik}")
+    return spread(src).mapInArrow(search, f"doc_id {dk}, item_id {ik}")

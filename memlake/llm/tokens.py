@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlake.plans.shared import quoted
+from memlake.plans.shared import quoted, spread
 
 #: Pieces and pairs remembered by one encoder before it forgets them all.
 MEMORY = 500_000
@@ -143,4 +143,4 @@ def encoded(df: DataFrame, id: str, text: str, vocabulary: str, pattern: str) ->
 
     kind = df.schema[id].dataType.simpleString()
     src = df.select(F.col(quoted(id)).alias("id"), F.col(quoted(text)).cast("string").alias("text"))
-    return src.mapInArrow(run, f"id {kind}, ids array<int>")
+    return spread(src).mapInArrow(run, f"id {kind}, ids array<int>")
