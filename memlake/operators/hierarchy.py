@@ -25,6 +25,8 @@ from memlake.plans.runs import pack, unpack
 from memlake.plans.shared import freed_shuffles, quoted, width, written
 
 ON_CIRCLE, BELOW_CIRCLE = -1, -2
+#: What ids are trimmed of.
+BLANKS = " \t\r\n\x0b\x0c\u00a0"
 BLOCK_ROWS = 250_000
 #: Above any number of nodes: sums around a circle, which count nodes again and again and are not used, stop here.
 NO_COUNT = 1 << 42
@@ -189,21 +191,12 @@ def _circles(edges: DataFrame, state: DataFrame) -> DataFrame:
     return rep.join(total, "circle").join(on, "v", "left").select("v", F.coalesce("on", F.lit(False)).alias("on"), "total")
 
 
-def hierarchy(df: DataFrame, id: str, parent: str, locality: str | None = None) -> DataFrame:
-    """(id, root_id, depth, n_descendants): one row for each distinct id.
-
-    Ids and parent ids compare trimmed and lower-cased. If the rows of one id differ, a non-null parent wins (of
-    several the greatest). A node without a parent, or whose parent is not in the table, is a root of depth 0 and its
-    own root_id. A node on a circle (a node that is its own parent included) has root_id '' and depth -1, one that
-    hangs below a circle '' and -2. ``n_descendants`` counts the distinct other nodes below; on a circle all others
-    that lead to it. Rows with a null or blank id are ignored, a blank parent is none, repeated rows count once, an
-    empty table gives no rows, further columns play no part. ``locality`` names a column that mostly agrees between
-    child and parent; it only steers placement.
-    """
+def _placed(df: DataFrame, id: str, parent: str, locality: str | None) -> tuple[DataFrame, DataFrame]:
+    """The blocks, and the contracted edges between them: child and its size, parent's place p and steps w below its top u."""
     spark = df.sparkSession
     rows = df.count()
     parts = width(spark, rows, BLOCK_ROWS)
-    norm = lambda c: F.lower(F.trim(F.col(quoted(c)).cast("string")))
+    norm = lambda c: F.lower(F.btrim(F.col(quoted(c)).cast("string"), F.lit(BLANKS)))
     src = df.select(
         packed_id(norm(id)).alias("id"),
         F.when(norm(parent) != "", packed_id(norm(parent))).alias("parent"),
@@ -214,14 +207,30 @@ def hierarchy(df: DataFrame, id: str, parent: str, locality: str | None = None)
     hot = [r.near for r in src.where("near is not null").groupBy("near").count().where(F.col("count") > max(1000, rows // (4 * parts))).collect()]
     nodes = src.groupBy("id").agg(F.max("parent").alias("parent"), F.max("near").alias("near"))
     split = F.when(F.col("near").isNull() | (F.col("near").isin(hot) if hot else F.lit(False)), F.xxhash64("id")).otherwise(F.col("near"))
+    blocks = _blocks(nodes, [split], parts)
+    h = lambda c: (F.xxhash64(c), F.xxhash64(F.lit(0x7EE), c))
+    asked = _links_of(blocks)
+    asked = asked.select(*[x.alias(f"h{i}") for i, x in enumerate(h("parent"))], "child", "size")
+    there = _rows_of(blocks, tops=False)
+    there = there.select(*[x.alias(f"h{i}") for i, x in enumerate(h("id"))], "loc", "depth", "top", "circle")
+    edges = written(asked.join(there, ["h0", "h1"]).select("child", "size", F.col("loc").alias("p"), (F.col("depth") + 1).cast("bigint").alias("w"), F.col("top").alias("u"), F.col("circle").alias("below")), "tree-edges")
+    return blocks, edges
+
+
+def hierarchy(df: DataFrame, id: str, parent: str, locality: str | None = None) -> DataFrame:
+    """(id, root_id, depth, n_descendants): one row for each distinct id.
+
+    Ids and parent ids compare trimmed and lower-cased. If the rows of one id differ, a non-null parent wins (of
+    several the greatest). A node without a parent, or whose parent is not in the table, is a root of depth 0 and its
+    own root_id. A node on a circle (a node that is its own parent included) has root_id '' and depth -1, one that
+    hangs below a circle '' and -2. ``n_descendants`` counts the distinct other nodes below; on a circle all others
+    that lead to it. Rows with a null or blank id are ignored, a blank parent is none, repeated rows count once, an
+    empty table gives no rows, further columns play no part. ``locality`` names a column that mostly agrees between
+    child and parent; it only steers placement.
+    """
+    spark = df.sparkSession
     with freed_shuffles(spark):
-        blocks = _blocks(nodes, [split], parts)
-        h = lambda c: (F.xxhash64(c), F.xxhash64(F.lit(0x7EE), c))
-        asked = _links_of(blocks)
-        asked = asked.select(*[x.alias(f"h{i}") for i, x in enumerate(h("parent"))], "child", "size")
-        there = _rows_of(blocks, tops=False)
-        there = there.select(*[x.alias(f"h{i}") for i, x in enumerate(h("id"))], "loc", "depth", "top", "circle")
-        edges = written(asked.join(there, ["h0", "h1"]).select("child", "size", F.col("loc").alias("p"), (F.col("depth") + 1).cast("bigint").alias("w"), F.col("top").alias("u"), F.col("circle").alias("below")), "tree-edges")
+        blocks, edges = _placed(df, id, parent, locality)
         state = _resolved(edges)
         stuck = state.where("anc is not null").limit(1).count() > 0
         none = spark.createDataFrame([], "v bigint, on boolean, total bigint")
@@ -288,3 +297,67 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pool = pa.concat_arrays([ids, pa.array(names, pa.binary())])
             roots = pool.take(pa.array(where, mask=depth < 0))
             yield from pa.table({"id": ids, "root": roots, "depth": depth, "n_descendants": below}).to_batches(max_chunksize=50_000)
+
+
+def paths(df: DataFrame, id: str, parent: str, locality: str | None = None) -> DataFrame:
+    """(id, path): the ids from the root down to each id, itself last; null on and below circles.
+
+    Ids, roots and repeats count as in ``hierarchy``. ``explode`` of all but the last element gives every pair of an
+    ancestor and a descendant. A block knows the ways inside it from its nested sets; only the ways of trees that hang
+    from another block are put together across blocks, by pointer doubling. The output grows with the depths' sum.
+    """
+    spark = df.sparkSession
+    with freed_shuffles(spark):
+        blocks, edges = _placed(df, id, parent, locality)
+        asked = edges.groupBy(F.shiftrightunsigned("p", 32).alias("pid")).agg(F.collect_list(F.struct("child", F.col("p").bitwiseAND(0xFFFFFFFF).alias("pre"))).alias("asked"))
+        ways = blocks.select("pid", "rows").join(asked, "pid").mapInArrow(_ways, "v bigint, way array<binary>")
+        inside = edges.select(F.col("child").alias("u"), F.lit(True).alias("in"))
+        own = edges.select(F.col("child").alias("v"), "u", "below").join(inside, "u", "left")
+        state = own.join(ways, "v").select("v", F.when(F.col("in"), F.col("u")).alias("anc"), "way", F.coalesce("below", F.lit(False)).alias("lost"))
+        state, left = written(state, "tree-ways"), None
+        while (open_ := state.where("anc is not null").count()) and open_ != left:
+            left = open_
+            a = state.select(F.col("v").alias("anc"), F.col("anc").alias("anc2"), F.col("way").alias("way2"), F.col("lost").alias("lost2"))
+            state = written(
+                state.join(a, "anc", "left").select("v", F.col("anc2").alias("anc"), F.when(F.col("way2").isNull(), F.col("way")).otherwise(F.concat("way2", "way")).alias("way"), (F.col("lost") | F.coalesce("lost2", F.lit(False))).alias("lost")),
+                "tree-ways",
+            )
+        heads = state.select(F.shiftrightunsigned("v", 32).alias("pid"), F.struct(F.col("v").bitwiseAND(0xFFFFFFFF).alias("pre"), F.when(F.col("anc").isNull() & ~F.col("lost"), F.col("way")).alias("way")).alias("head"))
+        heads = written(heads.groupBy("pid").agg(F.collect_list("head").alias("heads")), "tree-heads")
+    out = blocks.select("pid", "rows").join(heads, "pid", "left").mapInArrow(_emit_paths, "id binary, path array<binary>")
+    return out.select(unpacked_id(F.col("id")).alias("id"), F.transform("path", unpacked_id).alias("path"))
+
+
+def _chain(size: np.ndarray, top: np.ndarray, p: int) -> np.ndarray:
+    """Preorder places from the top of p's tree down to p: the rows whose nested-set range holds p."""
+    up = np.arange(top[p], p + 1)
+    return up[up + size[up] > p]
+
+
+def _ways(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for i in range(b.num_rows):
+            t = unpack(b.column("rows")[i].as_buffer())
+            ids, size, top = t.column("id").to_pylist(), t.column("size").to_numpy().astype(np.int64), t.column("top").to_numpy().astype(np.int64)
+            for x in b.column("asked")[i].as_py():
+                yield pa.RecordBatch.from_pydict({"v": pa.array([x["child"]], pa.int64()), "way": pa.array([[ids[k] for k in _chain(size, top, x["pre"])]], pa.list_(pa.binary()))})
+
+
+def _emit_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for i in range(b.num_rows):
+            t = unpack(b.column("rows")[i].as_buffer())
+            ids, top, circle = t.column("id").to_pylist(), t.column("top").to_numpy(), t.column("circle").to_numpy()
+            depth = t.column("depth").to_numpy()
+            heads = {x["pre"]: x["way"] for x in b.column("heads")[i].as_py() or []}
+            names, out, way = [], [], []
+            for k, node in enumerate(ids):  # preorder: the way to a node is the last way cut to its depth
+                way = [*way[: depth[k]], node]
+                head = heads.get(int(top[k]), [])
+                names.append(node)
+                out.append(None if circle[top[k]] or head is None else [*head, *way])
+                if len(names) == 5_000:
+                    yield pa.RecordBatch.from_pydict({"id": pa.array(names, pa.binary()), "path": pa.array(out, pa.list_(pa.binary()))})
+                    names, out = [], []
+            if names:
+                yield pa.RecordBatch.from_pydict({"id": pa.array(names, pa.binary()), "path": pa.array(out, pa.list_(pa.binary()))})

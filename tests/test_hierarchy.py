@@ -54,3 +54,22 @@ def test_special_shapes(spark):
     deep = [(f"{i:05d}", f"{i - 1:05d}" if i else None) for i in range(3000)]
     got = h.hierarchy(spark.createDataFrame(deep, "id string, parent string"), "id", "parent")
     assert got.agg({"depth": "max", "n_descendants": "max"}).first().asDict() == {"max(depth)": 2999, "max(n_descendants)": 2999}
+
+
+def test_paths(spark, monkeypatch):
+    monkeypatch.setattr(h, "BLOCK_ROWS", 6)
+    rng = random.Random(5)
+    data = [(f"n{i}", rng.choice([f"n{i - 1}", f"n{rng.randrange(40)}", None]) if i else None, rng.choice(["t", "u"])) for i in range(40)]
+    parent = {i: p for i, p, _ in data}
+
+    def walk(i):
+        out = [i]
+        while parent[out[0]] is not None:
+            if parent[out[0]] in out:
+                return None
+            out.insert(0, parent[out[0]])
+        return out
+
+    df = spark.createDataFrame(data, "id string, parent string, trace string")
+    got = {r.id: list(r.path) if r.path is not None else None for r in h.paths(df, "id", "parent", "trace").collect()}
+    assert got == {i: walk(i) for i in parent}
