@@ -2,25 +2,58 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructField, StructType
 
 
-def as_of_join(left: DataFrame, right: DataFrame, keys: list[str], time: str, start: str, end: str | None, take: list[str]) -> DataFrame:
-    """Each left row with the columns ``take`` of the right row of its keys that held at its time: the latest start at
-    or before it, if its period (half-open, null end open) has not ended. One sort of both sides together, no range
-    join: a key's rows never meet pairwise. Left rows without match, and with a null time or key, keep nulls."""
+def as_of_join(left: DataFrame, right: DataFrame, keys: list[str], time: str, start: str, end: str | None, take: list[str], ties: dict[str, bool] | None = None) -> DataFrame:
+    """Each left row with the columns ``take`` of the right row of its keys that held at its time: of all periods
+    (half-open, null end open) around the time, the one with the latest start; of equal starts, the one with the largest
+    (True) or smallest (False) of the columns ``ties`` in turn, then the largest of ``take``. One sort of both sides together, no range join: a key's rows never meet pairwise. A task
+    carries the open periods of one key from row to row, less those that a later start outlasts. Left rows without
+    match, and with a null time or key, keep nulls."""
     cols = left.columns
-    tag = F.struct(F.col(start).alias("s"), *([F.col(end).alias("e")] if end else []), *take)
-    empty = right.select(tag.alias("__r")).schema["__r"].dataType
-    both = left.select(*cols, F.col(time).alias("__at"), F.lit(1).alias("__side"), F.lit(None).cast(empty).alias("__r")).unionByName(
-        right.filter(F.col(start).isNotNull()).select(*keys, F.col(start).alias("__at"), F.lit(0).alias("__side"), tag.alias("__r")), allowMissingColumns=True
-    )
-    w = Window.partitionBy(*keys).orderBy("__at", "__side", *[F.col("__r")[c] for c in take]).rowsBetween(Window.unboundedPreceding, 0)
-    held = F.last("__r", ignorenulls=True).over(w)
-    out = both.withColumn("__h", F.when(F.col("__at").isNotNull(), held)).filter("__side = 1")
-    live = F.col("__h.e").isNull() | (F.col("__h.e") > F.col("__at")) if end else F.lit(True)
-    return out.select(*cols, *[F.when(live, F.col("__h")[c]).alias(c) for c in take])
+    ups = [*(ties or {}).items(), *[(c, True) for c in take]]
+    tag = F.struct(*([F.col(end).alias("__e")] if end else []), *take)
+    rank = F.struct(*[F.col(c).alias(f"t{i}") for i, (c, _) in enumerate(ups)])
+    r = right.filter(F.col(start).isNotNull()).dropna(subset=keys)
+    r = r.select(*keys, F.col(start).alias("__at"), F.lit(0).alias("__side"), tag.alias("__r"), rank.alias("__t"))
+    kind, order = r.schema["__r"].dataType, r.schema["__t"].dataType
+    both = left.select(*cols, F.col(time).alias("__at"), F.lit(1).alias("__side"), F.lit(None).cast(kind).alias("__r"), F.lit(None).cast(order).alias("__t")).unionByName(r, allowMissingColumns=True)
+    last = [F.col("__t")[f"t{i}"].asc_nulls_first() if up else F.col("__t")[f"t{i}"].desc_nulls_first() for i, (_, up) in enumerate(ups)]
+    placed = both.repartition(*keys).sortWithinPartitions(*keys, "__at", "__side", *last).drop("__t")
+    held = pa.struct([(f.name, to_arrow_type(f.dataType, timestamp_utc=True)) for f in kind.fields])
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, opened = None, []
+        for b in batches:
+            at, side, seen = b.column("__at").to_pylist(), b.column("__side").to_pylist(), b.column("__r").to_pylist()
+            got = []
+            for i, k in enumerate(zip(*[b.column(c).to_pylist() for c in keys], strict=True)):
+                if k != key:
+                    key, opened = k, []
+                now, x = at[i], seen[i]
+                if side[i]:
+                    while opened and now is not None and opened[-1].get("__e") is not None and opened[-1]["__e"] <= now:
+                        opened.pop()
+                    got.append(opened[-1] if opened and now is not None else None)
+                elif (e := x.get("__e")) is None:
+                    opened = [x]
+                elif e > now:
+                    while opened and opened[-1]["__e"] is not None and opened[-1]["__e"] <= e:
+                        opened.pop()
+                    opened.append(x)
+            own = b.filter(pc.equal(b.column("__side"), 1)).select(cols)
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(got, held)], names=[*cols, "__h"])
+
+    out = placed.mapInArrow(sweep, StructType([*[StructField(f.name, f.dataType) for f in left.schema.fields], StructField("__h", kind)]))
+    return out.select(*cols, *[F.col("__h")[c].alias(c) for c in take])
 
 
 def interval_join(left: DataFrame, right: DataFrame, keys: list[str], time: str, start: str, end: str, bucket_us: int) -> DataFrame:

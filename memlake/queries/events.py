@@ -245,10 +245,10 @@ select e.id, e.tenant_id, e.src, epoch_us(e.valid_from) as at, case when k.valid
 from (select distinct id, tenant_id, src, valid_from from memory_edges where valid_from is not null) e
 asof left join k on e.tenant_id = k.tenant_id and e.src = k.user_id and e.valid_from >= k.valid_from""")
 def j03_as_of_join(spark: SparkSession, d: str) -> DataFrame:
-    m = load(spark, d, "memories").filter("user_id is not null and subject is not null").select("tenant_id", F.col("user_id").alias("src"), F.lower(F.trim("subject")).alias("subject"), F.col("valid_from").alias("s"), F.col("valid_to").alias("e"), "version").distinct()
-    one = m.join(m.groupBy("tenant_id", "src", "s").agg(F.count(F.lit(1)).alias("c")).filter("c = 1"), ["tenant_id", "src", "s"], "left_semi")
+    """Of memories with one start the highest version counts, then the smallest id."""
+    m = load(spark, d, "memories").filter("user_id is not null and subject is not null").select(F.col("id").alias("mid"), "tenant_id", F.col("user_id").alias("src"), F.lower(F.trim("subject")).alias("subject"), F.col("valid_from").alias("s"), F.col("valid_to").alias("e"), "version").distinct()
     e = load(spark, d, "memory_edges").filter("valid_from is not null").select("id", "tenant_id", "src", "valid_from").distinct()
-    return as_of_join(e, one, ["tenant_id", "src"], "valid_from", "s", "e", ["subject"]).select("id", "tenant_id", "src", us("valid_from", "at"), "subject")
+    return as_of_join(e, m, ["tenant_id", "src"], "valid_from", "s", "e", ["subject"], {"version": True, "mid": False}).select("id", "tenant_id", "src", us("valid_from", "at"), "subject")
 
 
 TRIGGERS = [("t1", "larkfield", "*", "ticket.closed"), ("t2", "verdigris", "billing-bot", "*"), ("t3", "default", "*", "*")]

@@ -251,6 +251,24 @@ def test_joins(spark):
     assert j.wildcard_match(ev, pats, {"ps": "source", "pk": "kind"}).count() == 5
 
 
+def test_as_of_join_finds_any_period_that_holds(spark):
+    import random
+
+    draw = random.Random(7)
+    right = [(draw.choice("kqz"), s, draw.choice([None, s + draw.randint(-2, 4), s + draw.randint(5, 40)]), draw.randint(1, 2), f"m{i:03d}") for i in range(160) for s in [draw.randint(0, 60)]]
+    right += [("n", 0, 50, 1, "long"), ("n", 10, 20, 1, "short"), ("t", 1, None, 1, "low"), ("t", 1, 5, 2, "b"), ("t", 1, 9, 2, "a"), (None, 0, None, 1, "no key")]
+    left = [(k, t, f"{k}{t}") for k in ["k", "q", "z", "n", "t", None] for t in range(-1, 70, 2)] + [("k", None, "no time")]
+
+    def held(key, at):
+        fit = [] if at is None or key is None else [x for x in right if x[0] == key and x[1] <= at and (x[2] is None or x[2] > at)]
+        return min(fit, key=lambda x: (-x[1], -x[3], x[4]))[4] if fit else None
+
+    r_df = spark.createDataFrame(right, "key string, s long, e long, version int, mid string")
+    got = j.as_of_join(spark.createDataFrame(left, "key string, at long, n string"), r_df, ["key"], "at", "s", "e", ["mid"], {"version": True, "mid": False}).collect()
+    assert sorted((x.n, x.mid or "") for x in got) == sorted((n, held(k, t) or "") for k, t, n in left)
+    assert ("n25", "long") in {(x.n, x.mid) for x in got} and ("t3", "a") in {(x.n, x.mid) for x in got}
+
+
 def test_state(spark):
     log = [("a", "k", "set", "1", None, None, 1, "s1"), ("a", "k", "set_ttl", "2", None, 10, 2, "s2"), ("a", "x", "set", "1", None, None, 1, "s3"), ("a", "x", "delete", None, None, None, 5, "s4"), ("a", "y", "delete", None, None, None, 1, "s5"), ("a", "y", "set", "9", None, None, 2, "s6")]
     df = spark.createDataFrame(log, "agent_id string, key string, op string, value string, expected long, ttl_us long, at long, seq string")
