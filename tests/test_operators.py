@@ -16,6 +16,7 @@ from memlake.operators import memory as m
 from memlake.operators import retrieval as r
 from memlake.operators import state as st
 from memlake.operators import vector as v
+from memlake.queries import memory as queries
 
 few = settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 
@@ -235,6 +236,37 @@ def test_graph(spark):
     assert g.neighbours(path, "t", "a", 1).count() == 1
 
 
+def written_edges(spark, folder, data):
+    """A table memory_edges of (tenant, src, dst, weight, state) in ``folder``."""
+    full = [(str(i), t, a, "r", b, w, state, None, None) for i, (t, a, b, w, state) in enumerate(data)]
+    spark.createDataFrame(full, EDGE).write.parquet(f"{folder}/memory_edges.parquet")
+    return str(folder)
+
+
+def test_components_query_takes_every_tenant(spark, tmp_path):
+    import random
+
+    draw = random.Random(3)
+    data = [(draw.choice(["larkfield", "larkfield", "default"]), f"n{draw.randint(0, 60):02d}", f"n{draw.randint(0, 60):02d}", 1.0, draw.choice(["active", "active", "superseded"])) for _ in range(60)]
+    data.append(("larkfield", "x1", "x2", 1.0, "active"))
+    near = {}
+    for _, a, b, _, state in data:
+        if state == "active":
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+
+    def least(node):
+        seen, todo = {node}, [node]
+        while todo:
+            new = near[todo.pop()] - seen
+            seen |= new
+            todo += new
+        return min(seen)
+
+    got = queries.g11_components(spark, written_edges(spark, tmp_path, data))
+    assert rows(got, "node", "component") == sorted((x, least(x)) for x in near)
+
+
 def test_triples(spark):
     d = spark.createDataFrame([("m", "Alice likes coffee. Bob works at Acme; He is married to Eve\nshort is\nlikes this"), ("n", None)], "id string, t string")
     assert rows(g.triples(d, "id", "t"), "subject", "relation", "object") == [("Alice", "likes", "coffee"), ("Bob", "works_at", "Acme"), ("He", "is", "married to Eve"), ("He is", "married_to", "Eve")]
