@@ -267,6 +267,22 @@ def test_components_query_takes_every_tenant(spark, tmp_path):
     assert rows(got, "node", "component") == sorted((x, least(x)) for x in near)
 
 
+def test_pagerank_query_runs_forty_rounds(spark, tmp_path):
+    data = [("t", f"n{i:02d}", f"n{(i * 7 + 3) % 11:02d}", float(i % 3), "active") for i in range(14)]
+    data += [("t", f"n{i:02d}", f"n{i + 1:02d}", 2.0, "active") for i in range(12)] + [("t", "n00", "n05", 9.0, "superseded")]
+    nodes = sorted({x for _, a, b, _, state in data if state == "active" for x in (a, b)})
+    out = {x: [(b, w if w > 0 else 1.0) for _, a, b, w, state in data if a == x and state == "active"] for x in nodes}
+    rank = dict.fromkeys(nodes, 1 / len(nodes))
+    for _ in range(40):
+        new = dict.fromkeys(nodes, (0.15 + 0.85 * sum(rank[x] for x in nodes if not out[x])) / len(nodes))
+        for x in nodes:
+            for b, w in out[x]:
+                new[b] += 0.85 * rank[x] * w / sum(z for _, z in out[x])
+        rank = new
+    got = {x.node: x.pagerank for x in queries.g09_pagerank(spark, written_edges(spark, tmp_path, data)).collect()}
+    assert got == pytest.approx(rank, abs=2e-9)
+
+
 def test_triples(spark):
     d = spark.createDataFrame([("m", "Alice likes coffee. Bob works at Acme; He is married to Eve\nshort is\nlikes this"), ("n", None)], "id string, t string")
     assert rows(g.triples(d, "id", "t"), "subject", "relation", "object") == [("Alice", "likes", "coffee"), ("Bob", "works_at", "Acme"), ("He", "is", "married to Eve"), ("He is", "married_to", "Eve")]
