@@ -7,12 +7,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType, DoubleType, StructField, StructType
 
 from memlake.functions.scalars import cosine, dot
 from memlake.functions.text import normalize_key
 
+#: Questions of one pass over a cache; rows of it multiplied at a time.
+QUESTION_BLOCK, CACHE_ROWS = 4_096, 2_048
+
 
 def vector_literal(vector: list[float]) -> Column:
     return F.array(*[F.lit(float(x)) for x in vector])
@@ -143,15 +149,78 @@ def cached_answers(cache: DataFrame, questions: DataFrame, now_us: int, ttl_us:
     """Answers of earlier questions: by exact normalised key within a scope, else by the nearest vector of at least ``least``.
 
     ``cache`` has scope, query, response, embedding, stored_us; ``questions`` qid, scope, query, embedding. Entries older
-    than the time to live never answer. Each question gets at most one answer, the exact one first.
+    than the time to live never answer. Each question gets at most one answer, the exact one first. The open
+    questions are read to the driver in blocks and sent to every task of the cache, which keeps one answer for each.
     """
     live = cache.filter(F.col("stored_us") + ttl_us > now_us).select(
         normalize_key(F.col("query"), F.col("scope")).alias("key"), F.coalesce("scope", F.lit("")).alias("s"), "response", F.col("embedding").alias("e"), "stored_us"
     )
     asked = questions.select("qid", normalize_key(F.col("query"), F.col("scope")).alias("key"), F.coalesce("scope", F.lit("")).alias("s"), F.col("embedding").alias("q"))
     exact = asked.join(live.groupBy("key").agg(F.max_by("response", "stored_us").alias("response")), "key", "left").select("qid", "s", "q", "response")
-    near = exact.filter("response is null and q is not null").select("qid", "s", "q").join(live.select("s", "response", "e"), "s").withColumn("score", cosine(F.col("e"), F.col("q")))
-    best = near.filter(F.col("score") >= least).groupBy("qid").agg(F.max_by("response", F.struct("score", "response")).alias("near"), F.max("score").alias("score"))
+    best = _nearest_answers(live, exact.filter("response is null and q is not null").select("qid", "s", F.col("q").cast("array<double>").alias("q")), least)
     return exact.select("qid", "response").join(best, "qid", "left").select(
         "qid", F.coalesce("response", "near").alias("response"), F.when(F.col("response").isNotNull(), "exact").when(F.col("near").isNotNull(), "near").otherwise("miss").alias("hit")
     )
+
+
+def _nearest_answers(live: DataFrame, asked: DataFrame, least: float) -> DataFrame:
+    """(qid, near, score): the response of the nearest entry of the question's scope, of equal scores the largest."""
+    qid, text = asked.schema["qid"].dataType, live.schema["response"].dataType
+    out = asked.sparkSession.createDataFrame([], StructType([StructField("qid", qid), StructField("response", text), StructField("score", DoubleType())]))
+    src = live.select("s", "response", F.col("e").cast("array<double>").alias("e")).filter("e is not null")
+
+    def passes() -> Iterator[list[tuple]]:
+        block = []
+        for r in asked.toLocalIterator():
+            block.append((r.qid, r.s, r.q))
+            if len(block) == QUESTION_BLOCK:
+                yield block
+                block = []
+        if block:
+            yield block
+
+    for block in passes():
+        groups: dict[tuple[str, int], tuple[list, list]] = {}
+        for key, scope, q in block:
+            v = np.array(q, np.float64)  # null becomes nan
+            norm = np.sqrt((v * v).sum())
+            if np.isfinite(norm) and norm > 0:
+                ids, vectors = groups.setdefault((scope, len(q)), ([], []))
+                ids.append(key)
+                vectors.append(v / norm)
+        if groups:
+            shared = asked.sparkSession.sparkContext.broadcast({k: (ids, np.array(v)) for k, (ids, v) in groups.items()})
+            out = out.union(_answers_of_block(src, shared, least, qid, text))
+    return out.groupBy("qid").agg(F.max_by("response", F.struct("score", "response")).alias("near"), F.max("score").alias("score"))
+
+
+def _answers_of_block(src: DataFrame, shared: Broadcast, least: float, qid: DataType, text: DataType) -> DataFrame:
+    kinds = pa.schema([("qid", to_arrow_type(qid)), ("response", to_arrow_type(text)), ("score", pa.float64())])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[tuple[str, int, int], tuple] = {}
+        for b in batches:
+            for (scope, dim), (_, m) in shared.value.items():
+                own = b.filter(pc.and_(pc.equal(b.column("s"), scope), pc.equal(pc.list_value_length(b.column("e")), dim)))
+                for at in range(0, own.num_rows, CACHE_ROWS):
+                    part = own.slice(at, CACHE_ROWS)
+                    x = pc.list_flatten(part.column("e")).to_numpy(zero_copy_only=False).reshape(-1, dim)
+                    norm = np.sqrt((x * x).sum(1))
+                    ok = np.flatnonzero(np.isfinite(norm) & (norm > 0))
+                    if not len(ok):
+                        continue
+                    x = x[ok] / norm[ok, None]
+                    near = x @ m.T
+                    top = near.max(0)
+                    for q in np.flatnonzero(top >= least - 1e-9):
+                        i = np.flatnonzero(near[:, q] >= top[q] - 1e-9)
+                        # Summed pair by pair, so that equal vectors tie whatever their place in the product.
+                        score = (x[i] * m[q]).sum(1)
+                        for k in np.flatnonzero(score == score.max()):
+                            r = part.column("response")[int(ok[i[k]])].as_py()
+                            best[scope, dim, q] = max(best.get((scope, dim, q), (-2.0, False, "")), (float(score[k]), r is not None, r if r is not None else ""))
+        found = [(shared.value[scope, dim][0][q], r if known else None, score) for (scope, dim, q), (score, known, r) in best.items() if score >= least]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds.types, strict=True)], schema=kinds)
+
+    return src.mapInArrow(answer, StructType([StructField("qid", qid), StructField("response", text), StructField("score", DoubleType())]))

@@ -455,9 +455,10 @@ def v04_modal_knn(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""with q as (select vec_id, case when vec_id % 3 = 0 then 'exact' else 'near' end as hit from embeddings where vec_id % 50 = 0) select vec_id, hit from q""")
 def v12_response_cache(spark: SparkSession, d: str) -> DataFrame:
-    e = load(spark, d, "embeddings").filter("vec_id % 50 = 0")
+    """The stated questions, every vector whose id is divisible by 50, against a cache of all rows."""
+    e = load(spark, d, "embeddings")
     cache = e.select(F.lit("s").alias("scope"), F.concat(F.lit("Question  "), "vec_id").alias("query"), F.col("vec_id").cast("string").alias("response"), "embedding", F.lit(10).cast("bigint").alias("stored_us"))
-    asked = e.select(F.col("vec_id").alias("qid"), F.lit("s").alias("scope"), F.concat(F.when(F.col("vec_id") % 3 == 0, "question ").otherwise("other "), "vec_id").alias("query"), "embedding")
+    asked = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.lit("s").alias("scope"), F.concat(F.when(F.col("vec_id") % 3 == 0, "question ").otherwise("other "), "vec_id").alias("query"), "embedding")
     return v.cached_answers(cache, asked, 20, 100).select(F.col("qid").alias("vec_id"), "hit")
 
 

@@ -125,6 +125,41 @@ def test_response_cache(spark):
     assert got == {1: ("r1", "exact"), 2: ("r1", "near"), 3: (None, "miss"), 4: (None, "miss")}
 
 
+def test_response_cache_against_brute_force(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(v, "QUESTION_BLOCK", 7)
+    monkeypatch.setattr(v, "CACHE_ROWS", 16)
+    draw = np.random.default_rng(5)
+    near = lambda c, w: [float(x) for x in np.float32(np.eye(6)[c] + w * draw.normal(size=6))]
+    cache = [("ab"[i % 2], f"c{i}", f"r{i:03d}", near(i % 5, 0.15), 10) for i in range(90)]
+    cache += [("a", "twin", "r999", cache[0][3], 10), ("a", "zero", "z", [0.0] * 6, 10), ("a", "short", "s", [1.0, 0.0], 10), ("a", "none", "n", None, 10), ("a", "stale", "old", [0.0] * 5 + [1.0], 1)]
+    asked = [(i, "ab"[i % 2], f"q{i}", near(i % 6, 0.15)) for i in range(30)] + [(30, "a", "c4", near(1, 0.1)), (31, "a", "same", cache[0][3]), (32, "z", "x", cache[0][3]), (33, "a", "z", [0.0] * 6)]
+
+    def want(scope, text, q):
+        if (exact := [r for s, t, r, _, at in cache if (s, t) == (scope, text) and at == 10]):
+            return exact[0], "exact"
+        fit = [(round(float(np.dot(e, q) / (np.linalg.norm(e) * np.linalg.norm(q))), 12), r) for s, _, r, e, at in cache if s == scope and at == 10 and e and len(e) == len(q) and any(e) and any(q)]
+        top = max(fit, default=(0.0, None))
+        return (top[1], "near") if top[0] >= 0.95 else (None, "miss")
+
+    c = spark.createDataFrame(cache, "scope string, query string, response string, embedding array<float>, stored_us long")
+    q = spark.createDataFrame(asked, "qid int, scope string, query string, embedding array<float>")
+    answers = v.cached_answers(c, q, 50, 45)
+    got = {x.qid: (x.response, x.hit) for x in answers.collect()}
+    assert got == {i: want(s, t, e) for i, s, t, e in asked}
+    assert {h for _, h in got.values()} == {"exact", "near", "miss"} and got[31] == ("r999", "near")
+
+
+def test_response_cache_query_takes_every_row(spark, tmp_path, monkeypatch):
+    data = [(i, [1.0, i / 100], 0) for i in range(120)]
+    spark.createDataFrame(data, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    sent, plain = [], v.cached_answers
+    monkeypatch.setattr(v, "cached_answers", lambda cache, asked, *rest: sent.append((cache.count(), asked.count())) or plain(cache, asked, *rest))
+    assert rows(queries.v12_response_cache(spark, str(tmp_path))) == [(0, "exact"), (100, "near"), (50, "near")]
+    assert sent == [(120, 3)]
+
+
 MEM = "id string, tenant_id string, user_id string, agent_id string, session_id string, subject string, content string, importance double, valid_from timestamp, valid_to timestamp, state string, version long, updated_at timestamp, metadata string, mem_type string, source_event_ids array<string>, embedding array<float>"
 
 
