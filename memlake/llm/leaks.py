@@ -108,7 +108,8 @@ class Shard:
 
     def hits(self, items: Items) -> set[tuple[int, int]]:
         """(document number, item number) of all leaks."""
-        out, seen = set(), set()
+        out: set[tuple[int, int]] = set()
+        seen: dict[tuple[int, int, int], list[tuple[int, int]]] = {}  # runs begun in these item positions give the same stretch
         for r in np.flatnonzero((self.df[items.runs] > 0).all(1)):
             at = self.phrase(items.runs[r])
             if not len(at):
@@ -116,13 +117,13 @@ class Shard:
             docs = np.searchsorted(self.start, at, side="right") - 1
             for p, d in zip(at.tolist(), docs.tolist(), strict=True):
                 for item, k in items.places[r]:
-                    if (d, item) in out or (item, p - k) in seen:
+                    if (d, item) in out or any(a <= k <= z for a, z in seen.get((d, item, p - k), ())):
                         continue
                     w = items.words[item]
                     right, e1 = grown(self.words, w, k + SEED - 1, p + SEED - 1, 1)
                     left, e2 = grown(self.words, w, k, p, -1)
                     if not e1 and not e2:
-                        seen.add((item, p - k))
+                        seen.setdefault((d, item, p - k), []).append((k - left, k + right))
                     equal = SEED + left + right
                     if equal >= LEAST_EQUAL and equal >= WORDS_PER_EDIT * (e1 + e2):
                         out.add((d, item))

@@ -66,6 +66,15 @@ def test_leaks(spark):
     assert leaked(d, "doc_id", "text", items.limit(0), "item_id", "text").collect() == []
 
 
+def test_leak_behind_a_short_match(spark):
+    item = [f"w{i:02d}" for i in range(50)]
+    far = item[:7] + ["x1", "x2", "x3"] + item[10:35]
+    split = item[:9] + ["x1", item[10], "x2"] + item[12:40]
+    docs = [(1, " ".join(far)), (2, " ".join(split)), (3, " ".join(item[:9])), (4, "a b " + " ".join(item[20:41])), (5, " ".join(item[3:12]))]
+    got = leaked(spark.createDataFrame(docs, "doc_id bigint, text string").coalesce(1), "doc_id", "text", spark.createDataFrame([(7, " ".join(item))], "item_id bigint, text string"), "item_id", "text")
+    assert sorted(r.doc_id for r in got.collect()) == [1, 2, 4]
+
+
 def test_plain_words():
     assert plain_words("12. Don’t­ stop\n[10:22] the   Büro") == ["dont", "stop", "the", "buro"]
 
