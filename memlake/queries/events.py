@@ -137,7 +137,7 @@ def e13_unembedded(spark: SparkSession, d: str) -> DataFrame:
     return ingest.unembedded(load(spark, d, "episodic")).select("id", us("ts"))
 
 
-@query("""with p as (select session_id, unnest(list_filter(regexp_split_to_array(summary || chr(10) || chr(10) || summary, '\n\s*\n'), lambda x: trim(x) <> '')) as c from (select distinct session_id, summary from sessions) where summary <> '')
+@query(r"""with p as (select session_id, unnest(list_filter(regexp_split_to_array(summary || chr(10) || chr(10) || summary, '\n\s*\n'), lambda x: trim(x) <> '')) as c from (select distinct session_id, summary from sessions) where summary <> '')
 select session_id as id, count(*)::bigint as n, max(length(trim(c)))::bigint as longest from p where length(trim(c)) >= 5 group by 1""")
 def e25_chunks(spark: SparkSession, d: str) -> DataFrame:
     s = load(spark, d, "sessions").select("session_id", "summary").distinct().filter("summary <> ''")
@@ -239,11 +239,11 @@ def a02_pricing_summary(spark: SparkSession, d: str) -> DataFrame:
     return li.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.round(F.sum("l_extendedprice"), 2).alias("sum_base"), F.round(F.avg("l_discount"), 9).alias("avg_disc"), F.count(F.lit(1)).alias("n"))
 
 
-@query("""with m as (select distinct tenant_id, user_id, lower(trim(subject)) as subject, valid_from, valid_to, version from memories where user_id is not null and subject is not null),
-k as (select * from (select *, row_number() over (partition by tenant_id, user_id, valid_from order by version, subject) as r, count(*) over (partition by tenant_id, user_id, valid_from) as c from m) where c = 1)
-select e.id, e.tenant_id, e.src, epoch_us(e.valid_from) as at, case when k.valid_to is null or k.valid_to > e.valid_from then k.subject end as subject
-from (select distinct id, tenant_id, src, valid_from from memory_edges where valid_from is not null) e
-asof left join k on e.tenant_id = k.tenant_id and e.src = k.user_id and e.valid_from >= k.valid_from""")
+@query("""with m as (select distinct id as mid, tenant_id, user_id, lower(trim(subject)) as subject, valid_from, valid_to, version from memories where user_id is not null and subject is not null),
+e as (select distinct id, tenant_id, src, valid_from from memory_edges where valid_from is not null),
+h as (select e.id, e.tenant_id, e.src, e.valid_from, m.subject from e join m on e.tenant_id = m.tenant_id and e.src = m.user_id and m.valid_from <= e.valid_from and (m.valid_to is null or m.valid_to > e.valid_from)
+  qualify row_number() over (partition by e.id, e.tenant_id, e.src, e.valid_from order by m.valid_from desc, m.version desc, m.mid, m.subject desc) = 1)
+select id, tenant_id, src, epoch_us(valid_from) as at, subject from e left join h using (id, tenant_id, src, valid_from)""")
 def j03_as_of_join(spark: SparkSession, d: str) -> DataFrame:
     """Of memories with one start the highest version counts, then the smallest id."""
     m = load(spark, d, "memories").filter("user_id is not null and subject is not null").select(F.col("id").alias("mid"), "tenant_id", F.col("user_id").alias("src"), F.lower(F.trim("subject")).alias("subject"), F.col("valid_from").alias("s"), F.col("valid_to").alias("e"), "version").distinct()
