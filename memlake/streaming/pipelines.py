@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from memlake.operators.joins import wildcard_match
-from memlake.plans.shared import blank_trimmed
+from memlake.operators.sessions import session_timers  # noqa: F401 - one of the streaming verbs
 
 
 def table_stream(spark: SparkSession, folder: str, files_each: int | None = None) -> DataFrame:
@@ -23,51 +23,9 @@ def table_stream(spark: SparkSession, folder: str, files_each: int | None = None
 
 
 def idempotent(events: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Events of one idempotency key once within the watermark; events without key pass."""
-    marked = events.withWatermark("ts", delay).withColumn("__k", F.coalesce("idempotency_key", F.concat(F.lit("\0"), "id")))
-    return marked.dropDuplicatesWithinWatermark(["__k"]).drop("__k")
-
-
-def session_timers(entries: DataFrame, key: str, time: str, gap: str = "30 minutes", delay: str = "10 minutes") -> DataFrame:
-    """(identity, start_us, end_us, n_entries) of a live stream: one event-time timer for each key.
-
-    An entry opens a session or resets the deadline to its time plus the gap; entries up to the watermark's delay late
-    are ordered in first. When the watermark passes the deadline the timer fires: the session is final.
-    """
-    gap_us = int(pd.Timedelta(gap).value // 1000)
-    delay_us = int(pd.Timedelta(delay).value // 1000)
-
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times = list(state.get[0]) if state.exists else []
-        done: list[tuple] = []
-        for pdf in batches:
-            times += pdf["at"].tolist()
-        times.sort()
-        mark = state.getCurrentWatermarkMs() * 1000
-        while times:
-            end = 0
-            while end + 1 < len(times) and times[end + 1] - times[end] <= gap_us:
-                end += 1
-            if times[end] + gap_us >= mark:
-                break
-            done.append((k[0], times[0], times[end], end + 1))
-            times = times[end + 1 :]
-        if times:
-            end = 0
-            while end + 1 < len(times) and times[end + 1] - times[end] <= gap_us:
-                end += 1
-            state.update((times,))
-            state.setTimeoutTimestamp((times[end] + gap_us) // 1000 + 1 if (times[end] + gap_us) // 1000 + 1 > mark // 1000 else mark // 1000 + 1)
-        elif state.exists:
-            state.remove()
-        if done:
-            yield pd.DataFrame(done, columns=["identity", "start_us", "end_us", "n_entries"])
-
-    src = entries.select(F.lower(blank_trimmed(F.col(key))).alias("identity"), F.col(time).cast("timestamp").alias("ts")).filter("identity <> ''")
-    marked = src.withWatermark("ts", f"{delay_us // 1_000_000} seconds").withColumn("at", F.unix_micros("ts"))
-    return marked.groupBy("identity").applyInPandasWithState(
-        step, "identity string, start_us bigint, end_us bigint, n_entries bigint", "times array<bigint>", "append", GroupStateTimeout.EventTimeTimeout
-    )
+    """Events of one idempotency key once within the watermark; events without key all pass, whatever their id."""
+    keyed = events.filter("idempotency_key is not null").withWatermark("ts", delay)
+    return keyed.dropDuplicatesWithinWatermark(["idempotency_key"]).unionByName(events.filter("idempotency_key is null").withWatermark("ts", delay))
 
 
 def windowed_counts(events: DataFrame, width: str, delay: str, slide: str | None = None) -> DataFrame:

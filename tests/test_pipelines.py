@@ -167,6 +167,11 @@ def test_streams(spark, tmp_path):
     spark.createDataFrame([event(5, "k")], EVENT).coalesce(1).write.mode("append").parquet(src)
     sp.run_available(sp.idempotent(sp.table_stream(spark, src)), f"{tmp_path}/c1", sp.append_to(out))
     assert spark.read.parquet(out).count() == 3
+    # events without key are all kept, even those sent again under their id, or with none
+    free = [event(1), event(1), (None, *event(6)[1:]), (None, *event(6)[1:])]
+    spark.createDataFrame(free, EVENT).coalesce(1).write.parquet(f"{tmp_path}/free")
+    sp.run_available(sp.idempotent(sp.table_stream(spark, f"{tmp_path}/free")), f"{tmp_path}/c3", sp.append_to(f"file://{tmp_path}/kept"))
+    assert spark.read.parquet(f"file://{tmp_path}/kept").count() == 4
     sp.reindex(sp.table_stream(spark, src), lambda ts: [[1.0] for _ in ts], f"file://{tmp_path}/vec", f"{tmp_path}/c2")
     assert spark.read.parquet(f"file://{tmp_path}/vec").count() == 5
     trig = spark.createDataFrame([("t", "*", "a.b", "w1"), ("u", "*", "*", "w2")], "tenant_id string, match_source string, match_type string, workflow string")
@@ -188,6 +193,18 @@ def test_session_timers_match_batch(spark, tmp_path):
     assert got == want
 
 
+def test_session_timers_keep_bounded_state(spark, tmp_path):
+    """Entries in many small batches, late by less than the delay and sent twice: as the replay, and old ones leave the state."""
+    src, out = f"{tmp_path}/log", f"file://{tmp_path}/s"
+    at = [("a", 7 * i % 40 + 40 * (i // 40)) for i in range(120)] + [("a", 500), ("b", 500), ("c", 9000)]
+    for i in range(0, len(at), 41):
+        spark.createDataFrame([(k, T0 + timedelta(minutes=m), m) for k, m in at[i : i + 41] + at[i : i + 3]], "identity string, timestamp timestamp, n int").coalesce(1).write.mode("append").parquet(src)
+    timers = sp.session_timers(sp.table_stream(spark, src, 1), "identity", "timestamp", delay="80 minutes")
+    sp.run_available(timers, f"{tmp_path}/c", sp.append_to(out))
+    got = [r for r in rows(spark.read.parquet(out).drop("batch")) if r[0] != "c"]
+    assert got == [r for r in rows(sessionize(spark.read.parquet(src), "identity", "timestamp")) if r[0] != "c"]
+
+
 def test_state_and_windows(spark, tmp_path):
     src, out = f"{tmp_path}/st", f"file://{tmp_path}/o"
     log = [("a", "k", "set", "1", None, 1, "x"), ("a", "k", "cas", "2", 1, 2, "y"), ("a", "k", "cas", "3", 1, 3, "z")]

@@ -43,14 +43,23 @@ def sessions_by_hand(data):
     return sorted(out, key=lambda r: [(True, str(x)) for x in r])
 
 
-def test_sessions_random(spark, small_blocks):
+@pytest.mark.parametrize("group_rows", [7, 100_000])
+def test_sessions_random(spark, group_rows):
     rng = random.Random(4)
     data = [(rng.choice(["hot", "hot", "hot", " HOT\t", "b", "", None, "  ", "ü"]), rng.choice([None, *range(0, 60 * GAP, GAP // 2)]), rng.choice(["/a", None]), None) for _ in range(400)]
     data += data[:50]
-    assert rows(sessionize(entries(spark, data), "identity", "at")) == sessions_by_hand(data)
+    assert rows(sessionize(entries(spark, data), "identity", "at", group_rows=group_rows)) == sessions_by_hand(data)
 
 
-def test_sessions_edges(spark, small_blocks):
+def test_sessions_of_one_hot_key(spark):
+    rng = random.Random(5)
+    at = rng.choices(range(0, 10**12, 10**6), k=3_000) + list(range(4 * 10**11, 4 * 10**11 + 10**10, 10**7))
+    data = [("hot", a, "x", None) for a in at] + [("cold", a, "x", None) for a in at[:5]]
+    for group_rows in (50, 700):
+        assert rows(sessionize(entries(spark, data), "identity", "at", group_rows=group_rows)) == sessions_by_hand(data)
+
+
+def test_sessions_edges(spark):
     data = [("a", 0, "x", None), ("a", GAP, "x", None), ("a", 2 * GAP + 1, "x", None), ("a", 2 * GAP + 1, None, "x")]
     assert rows(sessionize(entries(spark, data), "identity", "at")) == [("a", 0, GAP, 2), ("a", 2 * GAP + 1, 2 * GAP + 1, 2)]
     assert rows(sessionize(entries(spark, []), "identity", "at")) == []
