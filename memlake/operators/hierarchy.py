@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from memlake.plans.runs import pack, unpack
+from memlake.plans.runs import MAX_BLOCKS, pack, unpack
 from memlake.plans.shared import freed_shuffles, quoted, width, written
 
 ON_CIRCLE, BELOW_CIRCLE = -1, -2
@@ -195,7 +195,7 @@ def _placed(df: DataFrame, id: str, parent: str, locality: str | None) -> tuple[
     """The blocks, and the contracted edges between them: child and its size, parent's place p and steps w below its top u."""
     spark = df.sparkSession
     rows = df.count()
-    parts = width(spark, rows, BLOCK_ROWS)
+    parts = width(spark, rows, max(BLOCK_ROWS, rows // MAX_BLOCKS))
     norm = lambda c: F.lower(F.btrim(F.col(quoted(c)).cast("string"), F.lit(BLANKS)))
     src = df.select(
         packed_id(norm(id)).alias("id"),
@@ -204,9 +204,10 @@ def _placed(df: DataFrame, id: str, parent: str, locality: str | None) -> tuple[
         (F.col(quoted(locality)).isNotNull() if locality else F.lit(False)).alias("has"),
         norm(id).alias("name"),
     ).where("name <> ''").select("id", "parent", F.when(F.col("has"), F.col("near0")).alias("near"))
-    hot = [r.near for r in src.where("near is not null").groupBy("near").count().where(F.col("count") > max(1000, rows // (4 * parts))).collect()]
-    nodes = src.groupBy("id").agg(F.max("parent").alias("parent"), F.max("near").alias("near"))
-    split = F.when(F.col("near").isNull() | (F.col("near").isin(hot) if hot else F.lit(False)), F.xxhash64("id")).otherwise(F.col("near"))
+    # no more than four for each block, of which there are MAX_BLOCKS at most or as many as the session's partitions
+    hot = src.where("near is not null").groupBy("near").count().where(F.col("count") > max(1000, rows // (4 * parts))).select("near", F.lit(True).alias("hot"))
+    nodes = src.groupBy("id").agg(F.max("parent").alias("parent"), F.max("near").alias("near")).join(F.broadcast(hot), "near", "left")
+    split = F.when(F.col("near").isNull() | F.col("hot").isNotNull(), F.xxhash64("id")).otherwise(F.col("near"))
     blocks = _blocks(nodes, [split], parts)
     h = lambda c: (F.xxhash64(c), F.xxhash64(F.lit(0x7EE), c))
     asked = _links_of(blocks)
@@ -250,9 +251,11 @@ def hierarchy(df: DataFrame, id: str, parent: str, locality: str | None = None)
             ).alias("note"),
         )
         hung = edges.join(state.select(F.col("v").alias("child"), "acc"), "child").join(circles.select(F.col("v").alias("child"), "on"), "child", "left")
-        up = hung.select(
+        # what hangs from one node comes as one note, however many children lie in other blocks
+        sums = hung.groupBy("p").agg(F.min(F.when(F.col("on"), ON_CIRCLE).otherwise(0)).alias("state"), F.least(F.sum("acc"), F.lit(NO_COUNT)).alias("number"))
+        up = sums.select(
             F.shiftrightunsigned("p", 32).alias("pid"),
-            F.struct(F.lit(1).alias("what"), F.col("p").bitwiseAND(0xFFFFFFFF).alias("pre"), F.when(F.col("on"), ON_CIRCLE).otherwise(0).alias("state"), F.col("acc").alias("number"), F.lit(None).cast("binary").alias("root")).alias("note"),
+            F.struct(F.lit(1).alias("what"), F.col("p").bitwiseAND(0xFFFFFFFF).alias("pre"), "state", "number", F.lit(None).cast("binary").alias("root")).alias("note"),
         )
         notes = written(down.union(up).groupBy("pid").agg(F.collect_list("note").alias("notes")), "tree-notes")
     final = blocks.select("pid", "rows").join(notes, "pid", "left").mapInArrow(_emit, "id binary, root binary, depth bigint, n_descendants bigint")
@@ -266,19 +269,20 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, n = t.column("id").combine_chunks(), t.num_rows
             depth, size, top = (t.column(c).to_numpy().astype(np.int64) for c in ("depth", "size", "top"))
             circle = t.column("circle").to_numpy().copy()
-            notes = b.column("notes")[i].as_py() or []
             hangs, total = np.zeros(n, np.int64), np.zeros(n, np.int64)
             root, add = top.copy(), np.zeros(n, np.int64)
-            state = np.where(circle[top], BELOW_CIRCLE, 0)
-            names, extra = [], {}
-            for x in notes:
-                if x["what"]:
-                    hangs[x["pre"]] += x["number"]
-                else:
-                    state[x["pre"]], add[x["pre"]] = x["state"], x["number"]
-                    if x["root"] is not None and not x["state"]:
-                        root[x["pre"]] = n + extra.setdefault(x["root"], len(extra))
-            names = list(extra)
+            state, names, rings = np.where(circle[top], BELOW_CIRCLE, 0), pa.array([], pa.binary()), []
+            if b.column("notes")[i].is_valid:
+                notes = b.column("notes")[i].values
+                what, pre, said, number = (notes.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("what", "pre", "state", "number"))
+                hung, told = what == 1, what == 0
+                np.add.at(hangs, pre[hung], number[hung])
+                rings = pre[hung & (said == ON_CIRCLE)].tolist()
+                state[pre[told]], add[pre[told]] = said[told], number[told]
+                far = told & (said == 0) & notes.field("root").is_valid().to_numpy(zero_copy_only=False)
+                coded = notes.field("root").filter(pa.array(far)).dictionary_encode()
+                names = coded.dictionary
+                root[pre[far]] = n + coded.indices.to_numpy().astype(np.int64)
             sums = np.concatenate([[0], np.cumsum(hangs)])
             here = np.arange(n)
             below = size - 1 + sums[here + size] - sums[here]
@@ -286,15 +290,12 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             below = np.where(circle, total[top] - 1, below)
             status, shift = state[top], add[top]
             where = root[top]
-            for x in notes:
-                if x["what"] and x["state"] == ON_CIRCLE:
-                    p = x["pre"]
-                    up = np.arange(top[p], p + 1)
-                    up = up[up + size[up] > p]
-                    circle[up] = True
-                    below[up] = add[top[p]] - 1
+            for p in rings:
+                up = _chain(size, top, p)
+                circle[up] = True
+                below[up] = add[top[p]] - 1
             depth = np.where(circle, ON_CIRCLE, np.where(status != 0, status, depth + shift))
-            pool = pa.concat_arrays([ids, pa.array(names, pa.binary())])
+            pool = pa.concat_arrays([ids, names])
             roots = pool.take(pa.array(where, mask=depth < 0))
             yield from pa.table({"id": ids, "root": roots, "depth": depth, "n_descendants": below}).to_batches(max_chunksize=50_000)
 
@@ -309,11 +310,11 @@ def paths(df: DataFrame, id: str, parent: str, locality: str | None = None) -> D
     spark = df.sparkSession
     with freed_shuffles(spark):
         blocks, edges = _placed(df, id, parent, locality)
-        asked = edges.groupBy(F.shiftrightunsigned("p", 32).alias("pid")).agg(F.collect_list(F.struct("child", F.col("p").bitwiseAND(0xFFFFFFFF).alias("pre"))).alias("asked"))
-        ways = blocks.select("pid", "rows").join(asked, "pid").mapInArrow(_ways, "v bigint, way array<binary>")
+        asked = edges.select("p").distinct().groupBy(F.shiftrightunsigned("p", 32).alias("pid")).agg(F.collect_list(F.col("p").bitwiseAND(0xFFFFFFFF)).alias("asked"))
+        ways = blocks.select("pid", "rows").join(asked, "pid").mapInArrow(_ways, "p bigint, way array<binary>")
         inside = edges.select(F.col("child").alias("u"), F.lit(True).alias("in"))
-        own = edges.select(F.col("child").alias("v"), "u", "below").join(inside, "u", "left")
-        state = own.join(ways, "v").select("v", F.when(F.col("in"), F.col("u")).alias("anc"), "way", F.coalesce("below", F.lit(False)).alias("lost"))
+        own = edges.select(F.col("child").alias("v"), "u", "p", "below").join(inside, "u", "left")
+        state = own.join(ways, "p").select("v", F.when(F.col("in"), F.col("u")).alias("anc"), "way", F.coalesce("below", F.lit(False)).alias("lost"))
         state, left = written(state, "tree-ways"), None
         while (open_ := state.where("anc is not null").count()) and open_ != left:
             left = open_
@@ -336,11 +337,14 @@ def _chain(size: np.ndarray, top: np.ndarray, p: int) -> np.ndarray:
 
 def _ways(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for i in range(b.num_rows):
-            t = unpack(b.column("rows")[i].as_buffer())
-            ids, size, top = t.column("id").to_pylist(), t.column("size").to_numpy().astype(np.int64), t.column("top").to_numpy().astype(np.int64)
-            for x in b.column("asked")[i].as_py():
-                yield pa.RecordBatch.from_pydict({"v": pa.array([x["child"]], pa.int64()), "way": pa.array([[ids[k] for k in _chain(size, top, x["pre"])]], pa.list_(pa.binary()))})
+        for pid, blob, asked in zip(b.column("pid").to_pylist(), b.column("rows"), b.column("asked"), strict=True):
+            t = unpack(blob.as_buffer())
+            ids, size, top = t.column("id").combine_chunks(), t.column("size").to_numpy().astype(np.int64), t.column("top").to_numpy().astype(np.int64)
+            pre = asked.values.to_numpy()
+            for a in range(0, len(pre), 5_000):
+                chains = [_chain(size, top, p) for p in pre[a : a + 5_000].tolist()]
+                ends = np.cumsum([0, *map(len, chains)]).astype(np.int32)
+                yield pa.RecordBatch.from_pydict({"p": pre[a : a + 5_000] + (pid << 32), "way": pa.ListArray.from_arrays(ends, ids.take(pa.array(np.concatenate(chains))))})
 
 
 def _emit_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -361,3 +365,14 @@ def _emit_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     names, out = [], []
             if names:
                 yield pa.RecordBatch.from_pydict({"id": pa.array(names, pa.binary()), "path": pa.array(out, pa.list_(pa.binary()))})
+
+
+def descendants(df: DataFrame, id: str, parent: str, locality: str | None = None) -> DataFrame:
+    """(id, descendant, steps): every pair of a node and a distinct other one below it, with the steps between them.
+
+    Read off the paths, so nodes on and below circles have no rows; ids and repeats count as in ``hierarchy``. One row
+    for each pair is the result itself: its size is the sum of all depths.
+    """
+    way = paths(df, id, parent, locality).where(F.size("path") > 1)
+    above = way.select(F.col("id").alias("descendant"), F.posexplode(F.slice(F.reverse("path"), 2, 1 << 30)).alias("step", "id"))
+    return above.select("id", "descendant", (F.col("step") + 1).cast("bigint").alias("steps"))

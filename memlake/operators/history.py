@@ -4,6 +4,10 @@ The updates of all entities are range-sorted by (entity, valid_from). The merge
 each update's attribute hash with the entity's current version: equal and without time between, the version goes on;
 else it is closed, at its own end or where the update begins, and a new one opens. Blocks do this on their own and
 carry the current version across their edges (``memlake.plans.runs``).
+
+A history grows by merges: ``merged_updates`` takes in a batch of updates, late ones too, and rebuilds the entities that
+the batch names and no others; ``merged_snapshot`` compares a whole snapshot with the current versions. A full build is
+the merge into an empty history.
 """
 
 from __future__ import annotations
@@ -15,7 +19,20 @@ from pyspark.sql import functions as F
 
 from memlake.operators.intervals import OPEN, one_per_id
 from memlake.plans.runs import changes, ordered_blocks, rescanned
-from memlake.plans.shared import micros, quoted
+from memlake.plans.shared import micros, quoted, written
+
+
+def update_log(df: DataFrame, entity: Column, attributes: list[Column], start: str, end: str, version: str, id: str | None = None) -> DataFrame:
+    """(id, entity, s, e, v, h): the updates of a table, their times in microseconds and a hash of their attributes."""
+    nulls = F.concat(*[F.when(a.isNull(), "0").otherwise("1") for a in attributes])
+    return df.select(
+        (F.col(quoted(id)).cast("string") if id else F.lit(None).cast("string")).alias("id"),
+        entity.alias("entity"),
+        micros(df, start).alias("s"),
+        F.coalesce(micros(df, end), F.lit(int(OPEN))).alias("e"),
+        F.col(quoted(version)).cast("bigint").alias("v"),
+        F.xxhash64(nulls, *attributes).alias("h"),
+    )
 
 
 def version_history(df: DataFrame, entity: Column, attributes: list[Column], start: str, end: str, version: str, id: str | None = None) -> DataFrame:
@@ -28,16 +45,41 @@ def version_history(df: DataFrame, entity: Column, attributes: list[Column], sta
     start are ignored. With ``id``, rows of one id count once (the greatest by entity, start, end, version and hash);
     rows without id stand for themselves. An empty table gives no rows; further columns play no part.
     """
-    nulls = F.concat(*[F.when(a.isNull(), "0").otherwise("1") for a in attributes])
-    rows = df.select(
-        *([F.col(quoted(id)).cast("string").alias("id")] if id else []),
-        entity.alias("entity"),
-        micros(df, start).alias("s"),
-        F.coalesce(micros(df, end), F.lit(int(OPEN))).alias("e"),
-        F.col(quoted(version)).cast("bigint").alias("v"),
-        F.xxhash64(nulls, *attributes).alias("h"),
-    )
-    rows = (one_per_id(rows, "id") if id else rows).where("entity is not null and s is not null and e > s")
+    return versions(update_log(df, entity, attributes, start, end, version, id), id is not None)
+
+
+def merged_updates(history: DataFrame, log: DataFrame, updates: DataFrame, ids: bool = True) -> DataFrame:
+    """The history after a batch of ``updates``, as if it had been built from ``log`` and ``updates`` at once.
+
+    ``log`` holds the updates (``update_log``) that ``history`` was built from. The entities that the batch names, and
+    those that lose a row to one sent again under its id, are rebuilt from their part of the log; all others pass.
+    """
+    touched = updates.select("entity")
+    if ids:
+        touched = touched.unionByName(log.join(updates.select("id"), "id", "left_semi").select("entity"))
+    touched = written(touched.where("entity is not null").distinct(), "history-touched")
+    redone = versions(log.join(touched, "entity", "left_semi").unionByName(updates), ids)
+    return history.join(touched, "entity", "left_anti").unionByName(redone)
+
+
+def merged_snapshot(history: DataFrame, snapshot: DataFrame, at_us: int, complete: bool = True) -> DataFrame:
+    """The history after a snapshot (entity, attr_hash) taken at ``at_us``: where the hash differs from the current
+    version's, that one is closed and a new one opens; new entities open; with ``complete``, entities that the snapshot
+    lacks are closed. Only current versions meet the snapshot. Of an entity's several rows the smallest hash counts.
+    A version that would end at its own start is dropped. Snapshots come in the order of their times.
+    """
+    now = snapshot.where("entity is not null").groupBy("entity").agg(F.min("attr_hash").alias("new"))
+    met = history.where("to_us = -1").join(now, "entity", "full")
+    known, seen = F.col("from_us").isNotNull(), F.col("new").isNotNull()
+    old = F.struct("from_us", F.when((known & seen & (F.col("attr_hash") != F.col("new"))) | (~seen & F.lit(complete)), F.lit(at_us).cast("bigint")).otherwise(F.lit(-1).cast("bigint")).alias("to_us"), "attr_hash")
+    new = F.struct(F.lit(at_us).cast("bigint").alias("from_us"), F.lit(-1).cast("bigint").alias("to_us"), F.col("new").alias("attr_hash"))
+    rows = F.array_compact(F.array(F.when(known, old), F.when(seen & (~known | (F.col("attr_hash") != F.col("new"))), new)))
+    return history.where("to_us <> -1").unionByName(met.select("entity", F.inline(rows)).where("to_us = -1 or to_us > from_us"))
+
+
+def versions(log: DataFrame, ids: bool = True) -> DataFrame:
+    """The version history of an update log."""
+    rows = (one_per_id(log, "id") if ids else log.drop("id")).where("entity is not null and s is not null and e > s")
 
     def fold(t: pa.Table) -> tuple[dict, pa.Table]:
         t = t.filter(pa.array(changes(t, ["entity", "s"])))
@@ -76,7 +118,7 @@ def version_history(df: DataFrame, entity: Column, attributes: list[Column], sta
         [F.col("entity"), F.col("s"), F.col("v").desc_nulls_last(), F.col("h"), F.col("e")],
         fold,
         "k0 string, s0 bigint, h0 bigint, k1 string, s1 bigint, e1 bigint, h1 bigint, one int",
-        df.count(),
+        log.count(),
         "history",
     )
     return rescanned(blocks, carry, emit, "entity string, from_us bigint, to_us bigint, attr_hash bigint")

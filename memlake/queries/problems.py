@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memlake.operators.features import entity_features
-from memlake.operators.hierarchy import hierarchy
-from memlake.operators.history import version_history
+from memlake.operators.hierarchy import descendants, hierarchy, paths
+from memlake.operators.history import merged_updates, update_log, version_history, versions
 from memlake.operators.intervals import periods_and_gaps, subject_entity
 from memlake.operators.sessions import sessionize
 
@@ -21,12 +21,21 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return cells.select(F.col("entity").alias("source"), F.col("kind").alias("event_type"), F.col("n").alias("n_events"), "last_us", F.col("total").alias("total_units"))
 
 
+_OUTER = r"(?U)^\s+|\s+$"
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    outer = F.regexp_replace("content", r"(?U)^\s+|\s+$", "")
-    found = version_history(spark.read.parquet(f"{d}/memories.parquet"), subject_entity(), [outer], "valid_from", "valid_to", "version", "id")
+    found = version_history(spark.read.parquet(f"{d}/memories.parquet"), subject_entity(), [F.regexp_replace("content", _OUTER, "")], "valid_from", "valid_to", "version", "id")
     return found.select("entity", "from_us", "to_us")
 
 
+def p4_merge(spark: SparkSession, d: str) -> DataFrame:
+    """The history of all rows, built from three quarters of them and the rest merged in as one batch of updates."""
+    log = update_log(spark.read.parquet(f"{d}/memories.parquet"), subject_entity(), [F.regexp_replace("content", _OUTER, "")], "valid_from", "valid_to", "version", "id")
+    late = F.pmod(F.coalesce(F.xxhash64("id", "s", "h"), F.lit(0)), F.lit(4)) == 0
+    return merged_updates(versions(log.where(~late)), log.where(~late), log.where(late)).select("entity", "from_us", "to_us")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return periods_and_gaps(spark.read.parquet(f"{d}/memories.parquet"), subject_entity(), "valid_from", "valid_to", "id")
 
@@ -35,7 +44,16 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy(spark.read.parquet(f"{d}/episodic.parquet"), "id", "parent_id", "trace_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p4_found, p5_found, p6_found)}
+def p6_paths(spark: SparkSession, d: str) -> DataFrame:
+    way = paths(spark.read.parquet(f"{d}/episodic.parquet"), "id", "parent_id", "trace_id")
+    return way.select("id", F.array_join("path", ">").alias("path"))
+
+
+def p6_descendants(spark: SparkSession, d: str) -> DataFrame:
+    return descendants(spark.read.parquet(f"{d}/episodic.parquet"), "id", "parent_id", "trace_id")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p4_found, p4_merge, p5_found, p6_found, p6_paths, p6_descendants)}
 
 _ENTITY = r"""coalesce(tenant_id, '') || '|' || coalesce(user_id, '') || '|' ||
   trim(regexp_replace(lower(subject), '[\s\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g'))"""
@@ -87,4 +105,15 @@ below as (select anc as id, count(*) as c from up where anc <> id group by 1)
 select n.id, case when c.id is not null or h.id is not null then '' else coalesce(t.root, n.id) end as root_id,
   (case when c.id is not null then -1 when h.id is not null then -2 else coalesce(t.d, 0) end)::bigint as depth, coalesce(b.c, 0)::bigint as n_descendants
 from n left join circle c using (id) left join hang h using (id) left join top t using (id) left join below b using (id)""",
+    "p6_paths": """
+with recursive one as (select lower(trim(id)) as id, max(nullif(lower(trim(parent_id)), '')) as p from episodic where trim(id) <> '' group by 1),
+n as (select a.id, b.id as p from one a left join one b on a.p = b.id),
+way(id, path) as (select id, id from n where p is null union all select n.id, way.path || '>' || n.id from way join n on n.p = way.id)
+select n.id, way.path from n left join way using (id)""",
+    "p6_descendants": """
+with recursive one as (select lower(trim(id)) as id, max(nullif(lower(trim(parent_id)), '')) as p from episodic where trim(id) <> '' group by 1),
+n as (select a.id, b.id as p from one a left join one b on a.p = b.id),
+way(id, path) as (select id, [id] from n where p is null union all select n.id, list_append(way.path, n.id) from way join n on n.p = way.id)
+select path[i] as id, id as descendant, (len(path) - i)::bigint as steps from (select id, path, unnest(range(1, len(path))) as i from way)""",
 }
+ORACLES["p4_merge"] = ORACLES["p4_found"]
