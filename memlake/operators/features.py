@@ -8,14 +8,12 @@ A hot entity costs no more than its number of types in any bucket.
 
 from __future__ import annotations
 
-import json
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memlake.plans.shared import blank_trimmed, micros, quoted, spread, width
@@ -24,21 +22,19 @@ CELL_SCHEMA = pa.schema([("entity", pa.string()), ("kind", pa.string()), ("n", p
 NEVER = np.iinfo(np.int64).min
 #: Entities of one dense block, and rows of one scatter: 2^20 weights under 2^32 keep float64 sums exact.
 BLOCK_ENTITIES, SCATTER_ROWS = 256, 1 << 20
-_INTEGER = re.compile(r"\s*[+-]?\d{1,19}\s*")
+_INTEGER = r"^\s*[+-]?[0-9]+\s*$"
 
 
-def json_units(payload: str | None, field: str = "units") -> int:
-    """The top-level integer ``field`` of a JSON object, also from a string; 0 where absent, null, unreadable or beyond 64 bits."""
-    if payload is None or (field not in payload and "\\u" not in payload):
-        return 0
-    try:
-        doc = json.loads(payload)
-    except (ValueError, RecursionError):
-        return 0
-    v = doc.get(field) if isinstance(doc, dict) else None
-    if isinstance(v, str) and _INTEGER.fullmatch(v):
-        v = int(v)
-    return v if isinstance(v, int) and not isinstance(v, bool) and -(1 << 63) <= v < 1 << 63 else 0
+def json_units(payload: Column, field: str = "units") -> Column:
+    """The top-level integer ``field`` of a JSON object, also from a string, as a bigint; 0 where it is absent, null, no
+    integer or beyond 64 bits, and where the payload is not readable as a whole, names a field twice or is no object.
+    All in the JVM; payloads that do not name the field are not parsed."""
+    text = F.get_json_object(payload, f"$.{field}")
+    # what follows the payload is only reached if the payload ends where its object does
+    framed = F.try_parse_json(F.concat(F.lit('{"payload":'), payload, F.lit(',"framed":1}')))
+    whole = F.try_variant_get(framed, "$.framed", "int").isNotNull() & F.btrim(payload, F.lit(" \t\r\n")).startswith("{")
+    named = payload.contains(f'"{field}"') | payload.contains("\\u")
+    return F.coalesce(F.when(named & text.rlike(_INTEGER) & whole, F.regexp_replace(text, r"\s+", "").try_cast("bigint")), F.lit(0).cast("bigint"))
 
 
 def merge_copies(t: pa.Table, key: str = "id") -> pa.Table:
@@ -96,7 +92,7 @@ def cells_of(t: pa.Table) -> Iterator[pa.Table]:
     e = pc.dictionary_encode(t.column("entity")).combine_chunks()
     k = pc.dictionary_encode(t.column("kind")).combine_chunks()
     ei, ki, width_ = e.indices.to_numpy(), k.indices.to_numpy(), len(k.dictionary)
-    n, total = t.column("n").to_numpy(), t.column("total").to_numpy()
+    n, total = t.column("n").to_numpy(), pc.fill_null(t.column("total"), 0).to_numpy()
     last = pc.fill_null(t.column("last"), NEVER).to_numpy()
     order = np.argsort(ei // BLOCK_ENTITIES, kind="stable") if len(e.dictionary) > BLOCK_ENTITIES else np.arange(len(ei))
     bounds = np.searchsorted((ei // BLOCK_ENTITIES)[order], np.arange(len(e.dictionary) // BLOCK_ENTITIES + 2))
@@ -136,15 +132,13 @@ def entity_features(df: DataFrame, entity: str, kind: str, time: str, payload: s
         F.lower(blank_trimmed(F.col(quoted(kind)).cast("string"))).alias("kind"),
         micros(df, time).alias("at"),
         F.col(quoted(idem)).cast("string").alias("idem"),
-        F.col(quoted(payload)).cast("string").alias("payload"),
+        F.when(F.col(quoted(payload)).isNotNull(), json_units(F.col(quoted(payload)).cast("string"), field)).alias("total"),
     )
     event = "id string, entity string, kind string, at bigint, idem string, total bigint"
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            t = pa.Table.from_batches([b])
-            units = pa.array([json_units(p, field) for p in t.column("payload").to_pylist()], pa.int64())
-            yield from merge_copies(t.drop_columns(["payload"]).append_column("total", units)).to_batches()
+            yield from merge_copies(pa.Table.from_batches([b])).to_batches()
 
     def out(t: pa.Table, raw: bool) -> Iterator[pa.RecordBatch]:
         """Events or cells in the schema that both share on the second exchange."""

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlake.operators.features import entity_features
+from memlake.operators.features import entity_features, feature_columns
 from memlake.operators.hierarchy import descendants, hierarchy, paths
 from memlake.operators.history import merged_updates, update_log, version_history, versions
 from memlake.operators.intervals import periods_and_gaps, subject_entity
 from memlake.operators.sessions import sessionize
+from memlake.plans.shared import written
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -21,6 +22,15 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return cells.select(F.col("entity").alias("source"), F.col("kind").alias("event_type"), F.col("n").alias("n_events"), "last_us", F.col("total").alias("total_units"))
 
 
+def p3_features(spark: SparkSession, d: str) -> DataFrame:
+    """One row for each source, with one feature column group for each of its tables' event types in order of name."""
+    cells = written(entity_features(spark.read.parquet(f"{d}/episodic.parquet"), "source", "event_type", "ts", "payload", "id", "idempotency_key"), "cells")
+    types = [r.kind for r in cells.select("kind").distinct().orderBy("kind").limit(10_001).collect()]
+    wide = feature_columns(cells, types)
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",", "-")
+    return wide.select(F.col("entity").alias("source"), F.lit(len(types)).cast("bigint").alias("n_types"), text("n").alias("n_events"), text("last_us").alias("last_us"), text("total").alias("total_units"))
+
+
 _OUTER = r"(?U)^\s+|\s+$"
 
 
@@ -53,7 +63,7 @@ def p6_descendants(spark: SparkSession, d: str) -> DataFrame:
     return descendants(spark.read.parquet(f"{d}/episodic.parquet"), "id", "parent_id", "trace_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p4_found, p4_merge, p5_found, p6_found, p6_paths, p6_descendants)}
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_features, p4_found, p4_merge, p5_found, p6_found, p6_paths, p6_descendants)}
 
 _ENTITY = r"""coalesce(tenant_id, '') || '|' || coalesce(user_id, '') || '|' ||
   trim(regexp_replace(lower(subject), '[\s\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g'))"""
@@ -117,3 +127,6 @@ way(id, path) as (select id, [id] from n where p is null union all select n.id,
 select path[i] as id, id as descendant, (len(path) - i)::bigint as steps from (select id, path, unnest(range(1, len(path))) as i from way)""",
 }
 ORACLES["p4_merge"] = ORACLES["p4_found"]
+ORACLES["p3_features"] = f"""with c as ({ORACLES["p3_found"]}), t as (select distinct event_type from c), s as (select distinct source from c)
+select s.source, count(*)::bigint as n_types, string_agg(coalesce(n_events, 0), ',' order by t.event_type) as n_events, string_agg(coalesce(last_us::varchar, '-'), ',' order by t.event_type) as last_us,
+string_agg(coalesce(total_units, 0), ',' order by t.event_type) as total_units from s cross join t left join c on c.source = s.source and c.event_type = t.event_type group by 1"""

@@ -2,15 +2,36 @@
 
 import json
 import random
+import re
 
 from conftest import rows
 
 from memlake.operators.features import entity_features, feature_columns, json_units, scatter
+from pyspark.sql import functions as F
 import numpy as np
 
 SCHEMA = "id string, source string, event_type string, at bigint, payload string, key string, n string, entity string"
 
 
+def units_by_hand(payload):
+    try:
+        doc = json.loads(payload or "")
+    except ValueError:
+        return 0
+    v = doc.get("units") if isinstance(doc, dict) else None
+    if isinstance(v, str) and re.fullmatch(r"\s*[+-]?\d+\s*", v):
+        v = int(v)
+    return v if isinstance(v, int) and not isinstance(v, bool) and -(1 << 63) <= v < 1 << 63 else 0
+
+
+def test_units(spark):
+    payloads = ['{"units":3}', '{"units": " +12 "}', '{"units":null}', '{"units":2.5}', '{"units":3.0}', '{"units":1e2}', '{"units":true}', '{"units":5,"no', '{"units":5} x', '[{"units":1}]', None, "", " ", "units", '{"x":{"units":9}}', '{"x":{"units":9},"units":7}',
+                '{"units":9223372036854775807}', '{"units":9223372036854775808}', '{"units":"-9223372036854775808"}', '{"units":[1]}', '{"units":{"a":1}}', '{"\\u0075nits":4}', ' {"units":"12x"}', '{"units":"1 2"}', '"units"', '{"Units":1}']
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(payloads)], "i int, p string")
+    got = [r.u for r in df.orderBy("i").select(json_units(F.col("p")).alias("u")).collect()]
+    assert got == [units_by_hand(p) for p in payloads]
+
+
 def by_hand(data):
     one, loose = {}, []
     for r in data:
@@ -37,7 +58,7 @@ def by_hand(data):
         c = out.setdefault((s, k.strip(" \t").lower()), [0, None, 0])
         c[0] += 1
         c[1] = at if c[1] is None else c[1] if at is None else max(at, c[1])
-        c[2] += json_units(p)
+        c[2] += units_by_hand(p)
     return sorted(((*k, *v) for k, v in out.items()), key=lambda r: [(x is not None, str(x)) for x in r])
 
 
