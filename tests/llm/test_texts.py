@@ -66,6 +66,27 @@ def test_leaks(spark):
     assert leaked(d, "doc_id", "text", items.limit(0), "item_id", "text").collect() == []
 
 
+def test_leaks_behind_labels_of_lines(spark):
+    stamped = lambda label, n: "\n".join(label + " ".join(WORDS[i : i + n]) for i in range(0, 30, n))
+    docs = [
+        (1, stamped("2024-01-05 10:22:01 INFO ", 6)), (2, stamped("run.retried - ", 5)), (3, stamped("x" * 700 + ": ", 6)), (4, stamped("| 09:14 | Night Shift: ", 8)), (5, stamped("<p class='" + "y" * 900 + "'>", 6)),
+        (6, " ".join(WORDS[2:19])), (7, "a " * 9 + " ".join(WORDS[2:12]) + "\nother words of a line that say nothing of it and go on for long, at last " + " ".join(WORDS[12:21])),
+    ]
+    got = leaked(spark.createDataFrame(docs, "doc_id bigint, text string"), "doc_id", "text", spark.createDataFrame([(7, ITEM)], "item_id bigint, text string"), "item_id", "text")
+    assert sorted(r.doc_id for r in got.collect()) == [1, 2, 3, 4, 5]
+
+
+def test_items_in_blocks(spark, monkeypatch):
+    from memlake.llm import leaks
+
+    monkeypatch.setattr(leaks, "ITEM_BLOCK", 2)
+    monkeypatch.setattr(leaks, "SHARD_CHARS", 300)
+    items = [(i, " ".join(f"w{i}x{k}" for k in range(30))) for i in range(5)]
+    docs = [(i, f"{i} filler " * 20 + " ".join(f"w{i}x{k}" for k in range(4, 28))) for i in range(5)] + [(9, " ".join(t for _, t in items))]
+    got = leaked(spark.createDataFrame(docs, "doc_id bigint, text string").coalesce(1), "doc_id", "text", spark.createDataFrame(items, "item_id bigint, text string"), "item_id", "text")
+    assert sorted((r.doc_id, r.item_id) for r in got.collect()) == [(i, i) for i in range(5)] + [(9, i) for i in range(5)]
+
+
 def test_leak_behind_a_short_match(spark):
     item = [f"w{i:02d}" for i in range(50)]
     far = item[:7] + ["x1", "x2", "x3"] + item[10:35]
