@@ -4,11 +4,12 @@ import base64
 import os
 import random
 
+import numpy as np
 import pytest
 
 from memlake.llm import queries as q
 from memlake.llm.leaks import leaked, plain_words
-from memlake.llm.stuffing import LineModel, labelled, signs, units
+from memlake.llm.stuffing import SIGNS, LineModel, labelled, signs, units
 from memlake.llm.tokens import PrefixEncoder, encoded
 
 VOCABULARY = f"{q.TOKENIZERS}/byte_bpe_50k.tiktoken"
@@ -119,5 +120,30 @@ def test_stuffed_pages(spark):
 def test_units_keep_every_character():
     for t in (PROSE * 3, "a" * 1000, "one\n\ntwo. three", " ".join(["word"] * 500)):
         assert "".join(units(t)) == t
-    rows, chars = signs(PROSE)
-    assert chars.sum() == len(PROSE) and (LineModel.initial().path(rows) == 0).all()
+    rows, chars, page = signs([PROSE, "", PROSE * 3])
+    assert chars[page == 0].sum() == len(PROSE) and set(page.tolist()) == {0, 2} and (LineModel.initial().path(rows, page) == 0).all()
+
+
+def test_paths_of_many_pages_are_those_of_each():
+    rng = np.random.default_rng(3)
+    sizes = [5, 1, 40, 2, 40, 7]
+    page, rows = np.repeat(np.arange(6) * 2, sizes), np.column_stack([rng.integers(0, k, sum(sizes)) for k in SIGNS.values()])
+    model = LineModel.initial()
+    for p in np.unique(page):
+        alone = rows[page == p]
+        like = sum(e[:, alone[:, i]].T for i, e in enumerate(model.emit))
+        score, back = model.start + like[0], []
+        for x in like[1:]:
+            step = score[:, None] + model.move
+            back.append(step.argmax(0))
+            score = step.max(0) + x
+        way = [int(score.argmax())]
+        for b in reversed(back):
+            way.append(int(b[way[-1]]))
+        assert model.path(rows, page)[page == p].tolist() == way[::-1]
+
+
+def test_long_links_are_links(spark):
+    page = "\n".join(f"https://shop.example/{'x' * 400}/{i}" for i in range(20))
+    rows, _, _ = signs([page])
+    assert (rows[:, list(SIGNS).index("link")] == 2).all()
