@@ -9,9 +9,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlake.functions.text import normalize_subject
 from memlake.operators import memory as m
 from memlake.operators.retrieval import memory_search
+from memlake.plans.shared import written
 
 SCHEMA = (
     "id string, tenant_id string, user_id string, agent_id string, session_id string, subject string, content string, importance double, "
@@ -25,7 +25,7 @@ class Embedded:
 
     def __init__(self, spark: SparkSession, folder: str, scope: m.Scope, provider: Callable | None = None, clock: Callable[[], float] = time.time):
         self.spark, self.path, self.scope, self.provider, self.clock = spark, f"{folder}/memories", scope, provider, clock
-        self.waiting: list[tuple[str | None, str, float]] = []
+        self.waiting: list[tuple[str | None, str, float, float]] = []
 
     @classmethod
     def open(cls, spark: SparkSession, folder: str, tenant: str = "default", user: str | None = None, **more) -> "Embedded":
@@ -37,7 +37,7 @@ class Embedded:
         return self.spark.read.schema(SCHEMA).parquet(self.path) if there else self.spark.createDataFrame([], SCHEMA)
 
     def add(self, content: str, subject: str | None = None, importance: float = 0.5) -> None:
-        self.waiting.append((subject, content, importance))
+        self.waiting.append((subject, content, importance, self.clock()))
 
     def remember(self, text: str) -> int:
         """Adds the facts of a text; returns how many."""
@@ -47,25 +47,18 @@ class Embedded:
         return len(facts)
 
     def flush(self) -> None:
-        """Applies what waits, one statement after the other: equal ones confirm, others supersede."""
-        for subject, content, importance in self.waiting:
-            now = F.timestamp_seconds(F.lit(self.clock()))
-            new = self.spark.range(1).select(
-                F.lit(str(uuid.uuid4())).alias("id"), *[F.lit(getattr(self.scope, c)).cast("string").alias(c) for c in m.SCOPE], normalize_subject(F.lit(subject).cast("string")).alias("subject"), F.lit(content).alias("content"),
-                F.lit(float(importance)).alias("importance"), now.alias("valid_from"), F.lit(None).cast("timestamp").alias("valid_to"), F.lit("active").alias("state"), F.lit(None).cast("string").alias("supersedes"),
-                F.array().cast("array<string>").alias("source_event_ids"), F.lit(1).cast("bigint").alias("version"), now.alias("created_at"), now.alias("updated_at"), F.lit("{}").alias("metadata"), F.lit("semantic").alias("mem_type"), F.lit(None).cast("array<float>").alias("embedding"),
-            )
-            current = m.latest(self._log())
-            plan = m.plan_additions(current, new, now).first()
-            if plan.outcome == "confirmed":
-                rows = current.filter(F.col("id") == plan.target).withColumn("importance", F.greatest("importance", F.lit(float(importance)))).withColumn("version", F.col("version") + 1).withColumn("updated_at", now)
-            else:
-                rows = new.withColumn("supersedes", F.lit(plan.target).cast("string"))
-                rows = m.embedded_rows(rows, "content", self.provider) if self.provider else rows
-                if plan.outcome == "superseded":
-                    old = current.filter(self.scope.predicate() & (F.col("state") == "active") & (normalize_subject(F.col("subject")) == normalize_subject(F.lit(subject))))
-                    rows = rows.unionByName(old.withColumn("state", F.lit("superseded")).withColumn("valid_to", now).withColumn("updated_at", now).withColumn("version", F.col("version") + 1))
-            self.spark.createDataFrame(rows.collect(), rows.schema).write.mode("append").parquet(self.path)  # a statement changes few rows
+        """Applies what waits as one batch, in order: equal statements confirm, others supersede. One file for each flush."""
+        if not self.waiting:
+            return
+        batch = [(str(uuid.uuid4()), i, subject, content, float(importance), at) for i, (subject, content, importance, at) in enumerate(self.waiting)]
+        new = self.spark.createDataFrame(batch, "id string, seq int, subject string, content string, importance double, at double").select(
+            "id", *[F.lit(getattr(self.scope, c)).cast("string").alias(c) for c in m.SCOPE], "subject", "content", "importance", F.array().cast("array<string>").alias("source_event_ids"),
+            F.lit("{}").alias("metadata"), F.lit("semantic").alias("mem_type"), F.lit(None).cast("array<float>").alias("embedding"), F.timestamp_seconds("at").alias("at"), "seq",
+        )
+        new = m.embedded_rows(new, "content", self.provider) if self.provider else new
+        current = m.latest(self._log())
+        rows = written(m.applied(current, m.additions(current, new)), "flush")
+        rows.coalesce(1).write.mode("append").parquet(self.path)
         self.waiting.clear()
 
     def recall(self, query: str, k: int = 5) -> DataFrame:

@@ -8,13 +8,20 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from memlake.functions.scalars import json_text, scope_key
 from memlake.functions.text import normalize_subject
+from memlake.plans.runs import changes, numbered, ordered_blocks, rescanned
+from memlake.plans.shared import micros
 
 SCOPE = ["tenant_id", "user_id", "agent_id", "session_id"]
 
@@ -46,55 +53,164 @@ def latest(log: DataFrame, id: str = "id") -> DataFrame:
     return log.groupBy(id).agg(F.max_by(F.struct(*rest), order).alias("r")).select(id, "r.*").select(*log.columns)
 
 
+_BLANK = r"(?U)^\s+|\s+$"
+
+
+def same_text(c: Column) -> Column:
+    """A content as it is compared: without white space at its ends, of whatever kind."""
+    return F.regexp_replace(c, _BLANK, "")
+
+
 def fold_contradictions(events: DataFrame, key: list[str], content: str, time: str, seq: str) -> DataFrame:
     """Memories from a stream of statements: equal ones confirm, a different one supersedes.
 
     One row for each run of equal trimmed contents of a key, in order of (time, seq): version counts the statements,
-    importance is their maximum, the run holds until the next begins. Keys are subjects in scopes; a subject that may
-    hold a large share of all rows goes through ``operators.history.version_history`` instead.
+    importance is their maximum, the run holds until the next begins. A null content equals another null. The
+    statements are walked in ordered blocks (``plans.runs``), so a hot key spreads over many tasks.
     """
-    w = Window.partitionBy(*key).orderBy(time, seq)
-    text = F.regexp_replace(F.col(content), r"(?U)^\s+|\s+$", "")
-    runs = events.withColumn("__t", text).withColumn("__new", (~F.col("__t").eqNullSafe(F.lag("__t").over(w)) | (F.row_number().over(w) == 1)).cast("int"))
-    runs = runs.withColumn("__island", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    mem = runs.groupBy(*key, "__island").agg(
-        F.min_by(content, F.struct(time, seq)).alias("content"),
-        F.min(time).alias("valid_from"),
-        F.max(time).alias("seen"),
-        F.count(F.lit(1)).alias("version"),
-        F.max("importance").alias("importance"),
+    kinds = {f.name: f.dataType for f in events.schema.fields}
+    keyed = events.select(
+        F.to_json(F.struct(*key), {"ignoreNullFields": "false"}).alias("k"),
+        F.col(time).alias("at"),
+        F.xxhash64(F.col(content).isNull(), same_text(F.col(content))).alias("h"),
+        F.col(content).cast("string").alias("content"),
+        F.col("importance").cast("double").alias("importance"),
+        F.col(seq).alias("__seq"),
     )
-    o = Window.partitionBy(*key).orderBy("__island")
-    return mem.withColumn("valid_to", F.lead("valid_from").over(o)).select(
-        *key,
-        F.col("__island").cast("bigint").alias("island"),
-        "content",
+
+    def fold(t: pa.Table) -> tuple[dict, pa.Table]:
+        new, h = changes(t, ["k"]), t.column("h").to_numpy()
+        opens = new.copy()
+        opens[1:] |= h[1:] != h[:-1]
+        first = np.flatnonzero(opens)
+        last = np.append(first[1:], len(h)) - 1
+        at = t.column("at").cast(pa.int64()).to_numpy()
+        best = np.maximum.reduceat(np.nan_to_num(t.column("importance").to_numpy(zero_copy_only=False), nan=-np.inf), first)
+        names = t.column("k").take(pa.array(first))
+        runs = pa.table({"k": names, "content": t.column("content").take(pa.array(first)), "s": at[first], "seen": at[last], "n": last - first + 1, "best": best})
+        tail = int(np.count_nonzero(opens[np.flatnonzero(new)[-1] :]))  # runs of the block's last key
+        head = {"k0": names[0].as_py(), "h0": int(h[0]), "s0": int(at[0]), "k1": names[-1].as_py(), "h1": int(h[-1]), "s1": int(at[first[-1]]), "e1": int(at[-1]), "n1": int(last[-1] - first[-1] + 1), "b1": float(best[-1]), "c1": runs.column("content")[-1].as_py(), "runs": int(len(first)), "tail": tail}
+        return head, runs
+
+    def carry(heads: list) -> list:
+        """The open run that each block may go on with, its number, and how the block's last run ends."""
+        out, run, number = [], None, 0
+        for i, x in enumerate(heads):
+            q = heads[i + 1] if i + 1 < len(heads) else None
+            same = run is not None and run["k"] == x.k0
+            joins = same and run["h"] == x.h0
+            goes_on = bool(q and q.k0 == x.k1 and q.h0 == x.h1)
+            base = (number if joins else number + 1) if same else 1
+            out.append({"run": run if joins else None, "base": base, "open": goes_on, "until": q.s0 if q and q.k0 == x.k1 and not goes_on else None})
+            number = base + x.runs - 1 if x.k1 == x.k0 else x.tail
+            alone = joins and x.runs == 1
+            run = {"k": x.k1, "h": x.h1, "s": run["s"] if alone else x.s1, "n": x.n1 + (run["n"] if alone else 0), "best": max(x.b1, run["best"]) if alone else x.b1, "content": run["content"] if alone else x.c1}
+        return out
+
+    def emit(runs: pa.Table, c: dict) -> pa.Table:
+        new = changes(runs, ["k"])
+        s, n, best, content = runs.column("s").to_numpy().copy(), runs.column("n").to_numpy().copy(), runs.column("best").to_numpy().copy(), runs.column("content").to_pylist()
+        if r := c["run"]:
+            s[0], n[0], best[0], content[0] = r["s"], n[0] + r["n"], max(best[0], r["best"]), r["content"]
+        place = np.arange(len(s))
+        number = place - np.maximum.accumulate(np.where(new, place, 0)) + 1
+        second = int(np.flatnonzero(new)[1]) if new.sum() > 1 else len(s)
+        number[:second] += c["base"] - 1
+        until = pa.array(np.append(s[1:], 0), mask=np.append(new[1:], True))
+        if c["until"] is not None:
+            until = pa.concat_arrays([until.slice(0, len(s) - 1), pa.array([c["until"]], pa.int64())])
+        out = pa.table({"k": runs.column("k"), "island": number, "content": pa.array(content, pa.string()), "importance": pa.array(best, mask=np.isneginf(best)), "version": n, "valid_from": s, "valid_to": until, "seen": runs.column("seen")})
+        return out.slice(0, len(s) - c["open"])
+
+    edges = "k0 string, h0 bigint, s0 bigint, k1 string, h1 bigint, s1 bigint, e1 bigint, n1 bigint, b1 double, c1 string, runs bigint, tail bigint"
+    numeric = micros(keyed, "at")
+    blocks = ordered_blocks(keyed.withColumn("at", numeric), ["k", "at", "__seq"], [F.col("k"), F.col("at"), F.col("__seq")], fold, edges, events.count(), "statements")
+    rows = rescanned(blocks, carry, emit, "k string, island bigint, content string, importance double, version bigint, valid_from bigint, valid_to bigint, seen bigint")
+    back = (lambda c: F.timestamp_micros(c)) if kinds[time].typeName().startswith("timestamp") else (lambda c: F.col(c).cast(kinds[time]))
+    whole = F.from_json("k", StructType([StructField(c, kinds[c]) for c in key]))
+    return rows.select(
+        *[whole[c].alias(c) for c in key],
+        "island",
+        F.col("content").cast(kinds[content]).alias("content"),
         "importance",
         "version",
-        "valid_from",
-        "valid_to",
+        back("valid_from").alias("valid_from"),
+        back("valid_to").alias("valid_to"),
         F.when(F.col("valid_to").isNull(), "active").otherwise("superseded").alias("state"),
-        F.coalesce("valid_to", "seen").alias("updated_at"),
-        F.lag("__island").over(o).cast("bigint").alias("supersedes"),
+        F.coalesce(back("valid_to"), back("seen")).alias("updated_at"),
+        F.when(F.col("island") > 1, F.col("island") - 1).alias("supersedes"),
     )
 
 
-def plan_additions(current: DataFrame, new: DataFrame, now: Column, review: bool = False) -> DataFrame:
-    """(new_id, outcome, target): what adding each subject statement does, given the active memories of its scope.
+def additions(current: DataFrame, new: DataFrame, review: bool = False) -> DataFrame:
+    """What adding each statement of a batch does, one after the other, given the memories that are there.
 
-    ``confirmed`` where an active one has the same trimmed content, ``conflict`` in review mode, ``superseded`` where
-    others are active, else ``inserted``; target is the newest active one concerned.
+    ``new`` has id, the scope, subject, content, importance, source_event_ids, metadata, mem_type, embedding, at
+    (timestamp) and seq, the order of arrival. Per scope and subject, a statement whose trimmed content is that of the
+    newest active memory *confirms* it; else, where some are active, it *supersedes* them all (or, in review, stands
+    beside them as a *conflict*); else it is *inserted*. Statements with a null or blank subject are always inserted.
+    Columns: those of ``new``, subject normalised, with outcome, target (the newest active memory before it), island
+    (the number of changes of content so far) and head (the id of the memory that holds its content). A batch's
+    statements on one subject are sorted in one task; a stream of any size goes through ``fold_contradictions``.
     """
-    act = current.filter("state = 'active' and subject is not null").select(key_of_scope().alias("s"), normalize_subject(F.col("subject")).alias("j"), F.struct("valid_from", "id", F.trim("content").alias("t")).alias("a"))
-    asked = new.select(F.col("id").alias("new_id"), key_of_scope().alias("s"), normalize_subject(F.col("subject")).alias("j"), F.trim("content").alias("t"))
-    hit = asked.join(act, ["s", "j"], "left").groupBy("new_id").agg(
-        F.max(F.when(F.col("a.t") == F.col("t"), F.col("a"))).alias("same"), F.max("a").alias("newest")
+    j = F.when(normalize_subject(F.col("subject")) != "", normalize_subject(F.col("subject")))
+    newest = current.filter("state = 'active'").select(*SCOPE, j.alias("subject"), "valid_from", "id", same_text(F.col("content")).alias("t")).filter("subject is not null")
+    newest = newest.groupBy(*[F.col(c).alias(f"__{c}") for c in (*SCOPE, "subject")]).agg(F.max_by(F.struct("id", "t"), F.struct("valid_from", "id")).alias("a"))
+    asked = new.withColumn("tenant_id", F.coalesce(F.when(F.col("tenant_id") != "", F.col("tenant_id")), F.lit("default"))).withColumn("subject", j)
+    place = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in SCOPE] + [F.col("subject") == F.col("__subject")]
+    met = asked.join(newest, reduce(and_, place), "left").select(*asked.columns, F.col("a.id").alias("__id"), F.col("a.t").alias("__t"))
+    own = F.when(F.col("subject").isNull(), F.col("id"))  # a statement without subject stands for itself
+    w = Window.partitionBy(*SCOPE, "subject", own).orderBy("seq", "id")
+    text, before = same_text(F.col("content")), F.lag(same_text(F.col("content"))).over(w)
+    first = F.row_number().over(w) == 1
+    there = ~first | F.col("__id").isNotNull()
+    same = there & text.eqNullSafe(F.when(first, F.col("__t")).otherwise(before))
+    out = met.withColumn("__same", same).withColumn("__there", there)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    out = out.withColumn("island", F.sum((~F.col("__same")).cast("bigint")).over(upto))
+    out = out.withColumn("head", F.coalesce(F.last(F.when(~F.col("__same"), F.col("id")), True).over(upto), F.col("__id")))
+    earlier = F.coalesce(F.last(F.when(~F.col("__same"), F.col("id")), True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("__id"))
+    return out.select(
+        *asked.columns,
+        F.when(F.col("__same"), "confirmed").when(~F.col("__there"), "inserted").when(F.lit(review), "conflict").otherwise("superseded").alias("outcome"),
+        earlier.alias("target"),
+        "island",
+        "head",
     )
-    return hit.select(
-        "new_id",
-        F.when(F.col("same").isNotNull(), "confirmed").when(F.col("newest").isNull(), "inserted").when(F.lit(review), "conflict").otherwise("superseded").alias("outcome"),
-        F.coalesce("same.id", "newest.id").alias("target"),
+
+
+def applied(current: DataFrame, plan: DataFrame) -> DataFrame:
+    """The rows to append to the log of memories for a batch planned by ``additions``: new memories, and the old ones
+    that it confirmed or closed. A memory that several statements confirm comes once, with all of them counted."""
+    group = [*SCOPE, "subject"]
+    key = [*group, F.when(F.col("subject").isNull(), F.col("id"))]
+    runs = plan.groupBy(*key, "island", "head").agg(
+        F.min_by(F.struct("id", "content", "source_event_ids", "metadata", "mem_type", "embedding", "at", "outcome", "target"), F.struct("seq", "id")).alias("f"),
+        F.max("importance").alias("importance"), F.count(F.lit(1)).alias("n"), F.max("at").alias("seen"),
+    )
+    w = Window.partitionBy(*group, F.when(F.col("subject").isNull(), F.col("head"))).orderBy("island")
+    runs = runs.withColumn("until", F.lead("f.at").over(w)).withColumn("next", F.lead("f.outcome").over(w))
+    closed = F.col("next") == "superseded"
+    made = runs.filter("f.outcome <> 'confirmed'").select(
+        F.col("f.id").alias("id"), *group, "f.content", "importance", F.col("f.at").alias("valid_from"), F.when(closed, F.col("until")).alias("valid_to"), F.when(closed, "superseded").otherwise("active").alias("state"),
+        F.when(F.col("f.outcome") == "superseded", F.col("f.target")).alias("supersedes"), "f.source_event_ids", F.col("n").alias("version"), F.col("f.at").alias("created_at"), F.when(closed, F.col("until")).otherwise(F.col("seen")).alias("updated_at"), "f.metadata", "f.mem_type", "f.embedding",
+    )
+    # what happened to memories that were there: confirmations of the newest one, then the first change closes all
+    kept = runs.filter("f.outcome = 'confirmed' and subject is not null and island = 0").select(F.col("head").alias("id"), F.struct("n", "importance", "seen", F.col("f.embedding").alias("embedding")).alias("c"))
+    change = runs.filter("f.outcome = 'superseded'").groupBy(*[F.col(c).alias(f"__{c}") for c in group]).agg(F.min("f.at").alias("closing"))
+    live = current.filter("state = 'active'").withColumn("__j", normalize_subject(F.col("subject")))
+    place = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in SCOPE] + [F.col("__j") == F.col("__subject")]
+    old = live.join(change, reduce(and_, place), "left").select(*current.columns, "closing").join(kept, "id", "left").filter("closing is not null or c is not null")
+    old = (
+        old.withColumn("importance", F.greatest("importance", F.coalesce("c.importance", "importance")))
+        .withColumn("version", F.col("version") + F.coalesce("c.n", F.lit(0)))
+        .withColumn("embedding", F.coalesce("c.embedding", "embedding"))
+        .withColumn("state", F.when(F.col("closing").isNotNull(), "superseded").otherwise(F.col("state")))
+        .withColumn("valid_to", F.coalesce("closing", "valid_to"))
+        .withColumn("updated_at", F.coalesce("closing", "c.seen"))
     )
+    cols = [f.name for f in current.schema.fields]
+    return old.select(*cols).unionByName(made.select(*[F.col(c).cast(current.schema[c].dataType).alias(c) for c in cols]))
 
 
 def as_of(mem: DataFrame, at: Column, keys: list[str] | None = None) -> DataFrame:
@@ -129,13 +245,12 @@ def over_cap(mem: DataFrame, cap: int) -> DataFrame:
     """Active memories beyond the ``cap`` best of their scope by importance, then last update; none for cap 0."""
     if cap <= 0:
         return mem.limit(0)
-    w = Window.partitionBy(*SCOPE).orderBy(F.desc("importance"), F.desc("updated_at"), "id")
-    return mem.filter("state = 'active'").withColumn("__r", F.row_number().over(w)).filter(F.col("__r") > cap).drop("__r")
+    return numbered(mem.filter("state = 'active'"), SCOPE, [F.desc("importance"), F.desc("updated_at"), F.col("id")]).filter(F.col("__r") > cap).drop("__r")
 
 
 def contradictions(mem: DataFrame) -> DataFrame:
     """(scope, subject, n, ids): subjects with several active memories, ids sorted. Groups are the live versions of one subject."""
-    act = mem.filter("state = 'active' and subject is not null").select(*SCOPE, normalize_subject(F.col("subject")).alias("subject"), "id")
+    act = mem.filter("state = 'active'").select(*SCOPE, normalize_subject(F.col("subject")).alias("subject"), "id").filter("subject <> ''")
     return act.groupBy(*SCOPE, "subject").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("id")).alias("ids")).filter("n > 1")
 
 
@@ -202,80 +317,119 @@ def list_paged(mem: DataFrame, scope: Column, limit: int, offset: int = 0, mem_t
     return out.orderBy(F.desc("importance"), F.desc("valid_from"), "id").offset(offset).limit(limit)
 
 
-def consolidated_tail(mem: DataFrame, keep: int = 20) -> DataFrame:
-    """One bullet summary (importance 0.6) for each scope of the active memories beyond its ``keep`` best, with their ids."""
-    w = Window.partitionBy(*SCOPE).orderBy(F.desc("importance"), F.desc("valid_from"), "id")
-    tail = mem.filter("state = 'active'").withColumn("r", F.row_number().over(w)).filter(F.col("r") > keep)
+def consolidated_tail(mem: DataFrame, keep: int = 20, each: int = 1_000) -> DataFrame:
+    """Bullet summaries (importance 0.6) of the active memories of each scope beyond its ``keep`` best, with their ids.
+
+    One for each ``each`` memories in order of importance (column part, from 0), so that no row grows with the scope;
+    a scope with fewer has one summary.
+    """
+    tail = numbered(mem.filter("state = 'active'"), SCOPE, [F.desc("importance"), F.desc("valid_from"), F.col("id")], "r").filter(F.col("r") > keep)
     lines = F.array_sort(F.collect_list(F.struct("r", F.concat(F.lit("- "), F.col("content")).alias("line"), "id")))
-    grouped = tail.groupBy(*SCOPE).agg(F.count(F.lit(1)).alias("n"), lines.alias("l"))
+    grouped = tail.groupBy(*SCOPE, F.floor((F.col("r") - keep - 1) / each).alias("part")).agg(F.count(F.lit(1)).alias("n"), lines.alias("l"))
     text = F.concat(F.lit("Consolidated "), F.col("n").cast("string"), F.lit(" memories:\n"), F.array_join("l.line", "\n"))
-    return grouped.select(*SCOPE, "n", text.alias("content"), F.lit(0.6).alias("importance"), F.col("l.id").alias("expired_ids"))
+    return grouped.select(*SCOPE, "part", "n", text.alias("content"), F.lit(0.6).alias("importance"), F.col("l.id").alias("expired_ids"))
 
 
-def consolidated_similar(mem: DataFrame, threshold: float = 0.92, max_rows: int = 10_000) -> DataFrame:
+def consolidated_similar(mem: DataFrame, threshold: float = 0.92, max_rows: int | None = None) -> DataFrame:
     """Greedy clusters of at least two similar active memories of a scope, in order of importance.
 
-    The order decides, so a scope is one task's work; as in a search, at most ``max_rows`` memories of it take part,
-    the most important first. Columns: the scope's key, ids, importance (maximum), content (bullets).
+    The order decides, so a scope is one task's work; its rows come sorted and are compared in blocks of one matrix
+    product each, with the heads of clusters alone carried on. ``max_rows`` cuts a scope to its most important
+    memories, as a search does; by default all take part. Columns: the scope's key, ids, importance (maximum), content
+    (bullets), source_event_ids (all members' once).
     """
-    import numpy as np
-
-    w = Window.partitionBy(*SCOPE).orderBy(F.desc("importance"), F.desc("valid_from"), "id")
-    act = mem.filter("state = 'active' and embedding is not null").withColumn("r", F.row_number().over(w)).filter(F.col("r") <= max_rows).select(key_of_scope().alias("scope"), "r", "id", "content", "importance", "embedding")
+    order = [F.desc("importance"), F.desc("valid_from"), F.col("id")]
+    act = numbered(mem.filter("state = 'active' and embedding is not null"), SCOPE, order, "r")
+    act = act if max_rows is None else act.filter(F.col("r") <= max_rows)
+    act = act.select(key_of_scope().alias("scope"), "r", "id", "content", "importance", "source_event_ids", "embedding")
 
     def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, out = pdf.sort_values("r"), []
         for _, part in pdf.groupby(pdf.embedding.map(len)):
             x = np.stack(part.embedding.to_list()).astype(np.float64)
             norm = np.linalg.norm(x, axis=1)
-            x, part = x[norm > 0] / norm[norm > 0, None], part[norm > 0]
-            free = np.ones(len(x), bool)
-            for i in range(len(x)):
-                if free[i]:
-                    s = x @ x[i]
-                    near = np.flatnonzero(free & (s >= threshold))
-                    free[i] = False
-                    if len(near) > 1:
-                        near = near[np.argsort(-s[near], kind="stable")]
-                        free[near] = False
-                        c = part.iloc[near]
-                        out.append((part.scope.iloc[0], c.id.to_list(), float(c.importance.max()), f"Consolidated {len(c)} memories:\n" + "\n".join("- " + t for t in c.content)))
-        return pd.DataFrame(out, columns=["scope", "ids", "importance", "content"])
-
-    return act.groupBy("scope").applyInPandas(cluster, "scope string, ids array<string>, importance double, content string")
-
-
-def merged_similar(new: DataFrame, threshold: float = 0.92) -> DataFrame:
-    """Sequential merge of subject-less memories within each scope, in order of arrival (``seq``).
-
-    A memory whose best active neighbour reaches the threshold closes it and takes over its importance (maximum) and
-    sources (union). Columns: scope, id, outcome (inserted or merged), target, importance, source_event_ids.
+            ok = np.isfinite(norm) & (norm > 0)
+            x, part = x[ok] / norm[ok, None], part[ok]
+            for members in greedy(x, threshold):
+                if len(members) > 1:
+                    c = part.iloc[members]
+                    out.append((c.scope.iloc[0], c.id.to_list(), float(c.importance.max()), f"Consolidated {len(c)} memories:\n" + "\n".join("- " + (t or "") for t in c.content), list(dict.fromkeys(e for s in c.source_event_ids if s is not None for e in s))))
+        return pd.DataFrame(out, columns=["scope", "ids", "importance", "content", "source_event_ids"])
+
+    return act.groupBy("scope").applyInPandas(cluster, "scope string, ids array<string>, importance double, content string, source_event_ids array<string>")
+
+
+def greedy(x: np.ndarray, threshold: float, block: int = 1_024) -> list[list[int]]:
+    """Clusters of unit vectors: each, in order, joins the first head of at least ``threshold`` or becomes a head; members
+    by falling similarity to their head."""
+    heads: list[int] = []
+    members: dict[int, list[tuple[float, int]]] = {}
+    for a in range(0, len(x), block):
+        part = x[a : a + block]
+        free = np.ones(len(part), bool)
+        for h in range(0, len(heads), block):  # the heads so far, in their order
+            own = np.array(heads[h : h + block])
+            s = part @ x[own].T
+            near = s >= threshold
+            first = near.argmax(1)
+            for i in np.flatnonzero(free & near.any(1)).tolist():
+                members[int(own[first[i]])].append((-float(s[i, first[i]]), a + i))
+                free[i] = False
+        s = part @ part.T
+        for i in range(len(part)):
+            if free[i]:
+                heads.append(a + i)
+                free[i] = False
+                near = np.flatnonzero(free & (s[i] >= threshold))
+                members[a + i] = [(-np.inf, a + i), *((-float(s[i, k]), a + k) for k in near.tolist())]
+                free[near] = False
+    return [[k for _, k in sorted(members[h])] for h in heads]
+
+
+def merged_similar(new: DataFrame, current: DataFrame | None = None, threshold: float = 0.92) -> DataFrame:
+    """Sequential merge of subject-less memories into each scope, in order of arrival (``seq``).
+
+    A memory whose best active neighbour, among those stored in ``current`` and those added before it, reaches the
+    threshold closes it and takes over its subject, importance (maximum) and sources (union). Columns: scope, id,
+    outcome (inserted or merged), target, subject, importance, source_event_ids. The order decides, so a scope is one
+    task's work, in blocks of one matrix product each against all that is live.
     """
-    import numpy as np
+    cols = ["id", "subject", "importance", "source_event_ids", "embedding"]
+    rows = new.select(key_of_scope().alias("scope"), F.col("seq"), F.lit(True).alias("fresh"), *[c if c != "subject" else F.lit(None).cast("string").alias(c) for c in cols])
+    if current is not None:
+        stored = current.filter("state = 'active' and embedding is not null").select(key_of_scope().alias("scope"), F.lit(None).cast(new.schema["seq"].dataType).alias("seq"), F.lit(False).alias("fresh"), *cols)
+        rows = stored.join(rows.select("scope").distinct(), "scope", "left_semi").unionByName(rows)
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        live, out = {}, []
-        for r in pdf.sort_values("seq").itertuples():
-            v, hit, importance, sources = None, None, float(r.importance), list(r.source_event_ids if r.source_event_ids is not None else [])
-            if r.embedding is not None and len(r.embedding):
-                v = np.asarray(r.embedding, np.float64)
-                n = np.linalg.norm(v)
-                v = v / n if n > 0 else None
-            if v is not None:
-                best = max(((float(x[0] @ v), i) for i, x in live.items() if len(x[0]) == len(v)), default=(-2.0, None))
-                if best[0] >= threshold:
-                    hit = best[1]
-                    old = live.pop(hit)
-                    importance = max(importance, old[1])
-                    sources = list(dict.fromkeys([*old[2], *sources]))
-            if v is not None:
-                live[r.id] = (v, importance, sources)
-            out.append((r.scope, r.id, "merged" if hit else "inserted", hit, importance, sources))
-        return pd.DataFrame(out, columns=["scope", "id", "outcome", "target", "importance", "source_event_ids"])
-
-    return new.select(key_of_scope().alias("scope"), "seq", "id", "importance", "source_event_ids", "embedding").groupBy("scope").applyInPandas(
-        merge, "scope string, id string, outcome string, target string, importance double, source_event_ids array<string>"
-    )
+        pdf = pdf.sort_values(["fresh", "seq", "id"])
+        ids, fresh = pdf.id.to_list(), pdf.fresh.to_numpy()
+        subject, importance = pdf.subject.where(pdf.subject.notna(), None).to_list(), pdf.importance.to_numpy(float).copy()
+        sources = [list(s) if s is not None else [] for s in pdf.source_event_ids]
+        sizes = np.array([0 if v is None else len(v) for v in pdf.embedding])
+        target: dict[int, int] = {}
+        for dim in np.unique(sizes[sizes > 0]):
+            at = np.flatnonzero(sizes == dim)
+            x = np.stack([pdf.embedding.iloc[i] for i in at]).astype(np.float64)
+            norm = np.linalg.norm(x, axis=1)
+            live = np.isfinite(norm) & (norm > 0)
+            x[live] /= norm[live, None]
+            x[~live] = 0
+            for a in range(int(np.count_nonzero(~fresh[at])), len(at), 256):
+                s = x[a : a + 256] @ x[: a + 256].T
+                for i in range(len(s)):
+                    if live[a + i]:
+                        score = np.where(live[: a + i], s[i, : a + i], -2.0)
+                        k = int(score.argmax()) if a + i else -1
+                        if k >= 0 and score[k] >= threshold:
+                            me, it = int(at[a + i]), int(at[k])
+                            live[k], target[me] = False, it
+                            importance[me] = max(importance[me], importance[it])
+                            subject[me] = subject[it]
+                            sources[me] = list(dict.fromkeys([*sources[it], *sources[me]]))
+        mine = np.flatnonzero(fresh).tolist()
+        return pd.DataFrame([(pdf.scope.iloc[0], ids[i], "merged" if i in target else "inserted", ids[target[i]] if i in target else None, subject[i], float(importance[i]), sources[i]) for i in mine], columns=["scope", "id", "outcome", "target", "subject", "importance", "source_event_ids"])
+
+    return rows.groupBy("scope").applyInPandas(merge, "scope string, id string, outcome string, target string, subject string, importance double, source_event_ids array<string>")
 
 
 def template(name: Column, fields: Column) -> Column:
@@ -324,6 +478,26 @@ def add_grants(grants: DataFrame, new: DataFrame) -> DataFrame:
     return grants.unionByName(new.dropDuplicates(key).join(grants.select(*key), key, "left_anti").select(*grants.columns))
 
 
+def revoked(grants: DataFrame, tenant: str, gone: DataFrame) -> DataFrame:
+    """Grants without those of ``gone`` (grantee_user_id, grantor_user_id) in a tenant."""
+    key = ["grantee_user_id", "grantor_user_id"]
+    own = gone.select(F.lit(tenant).alias("tenant_id"), *key).distinct()
+    return grants.join(own, ["tenant_id", *key], "left_anti").select(*grants.columns)
+
+
+def grants_of(grants: DataFrame, tenant: str, user: str | None = None) -> DataFrame:
+    """A tenant's grants, or those that one user has received, in the order of their creation."""
+    out = grants.filter(F.col("tenant_id") == tenant)
+    out = out if user is None else out.filter(F.col("grantee_user_id") == user)
+    return out.orderBy(*[c for c in ("created_at",) if c in grants.columns], "grantee_user_id", "grantor_user_id")
+
+
+def migrated(tables: dict[str, tuple[DataFrame, DataFrame]], tenant: str) -> dict[str, tuple[DataFrame, DataFrame]]:
+    """Each (source, destination) after a tenant's rows have moved over; what the destination had of it is replaced."""
+    own = F.coalesce(F.col("tenant_id") == tenant, F.lit(False))
+    return {name: (a.filter(~own), b.filter(~own).unionByName(a.filter(own))) for name, (a, b) in tables.items()}
+
+
 def reembed_plan(mem: DataFrame, limit: int) -> DataFrame:
     """The active memories updated longest ago, to be given new vectors."""
     return mem.filter("state = 'active'").orderBy("updated_at", "id").limit(limit)
@@ -331,8 +505,6 @@ def reembed_plan(mem: DataFrame, limit: int) -> DataFrame:
 
 def embedded_rows(df: DataFrame, text: str, provider, out: str = "embedding", batch: int = 64) -> DataFrame:
     """The rows with vectors from ``provider`` (texts -> vectors), in Arrow batches; a failing batch leaves nulls."""
-    import pyarrow as pa
-
     schema = df.drop(out).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

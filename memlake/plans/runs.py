@@ -17,9 +17,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
-from memlake.plans.shared import width, written
+from memlake.plans.shared import quoted, width, written
 
 #: Rows of a block, at least; with more than MAX_BLOCKS blocks they grow, so that the driver's part stays bounded.
 BLOCK_ROWS, MAX_BLOCKS = 250_000, 100_000
@@ -89,7 +90,7 @@ def ordered_blocks(
         if n:
             yield block(pa.Table.from_batches(held), seq)
 
-    kinds = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}
+    kinds = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64()}
     schema = pa.schema(
         [("pid", pa.int32()), ("seq", pa.int32())]
         + [(x.split()[0], kinds[x.split()[1]]) for x in edges.split(",")]
@@ -117,3 +118,29 @@ def rescanned(
                 yield from out.to_batches(max_chunksize=50_000)
 
     return blocks.select("pid", "seq", "payload").mapInArrow(scan, schema)
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str = "__r") -> DataFrame:
+    """``df`` with each row's 1-based place within its keys (null is a key too), by ``order``, as a bigint column.
+
+    A window per key would sort a hot key in one task. Here the rows are range-partitioned by keys and order; each
+    partition numbers its own rows, and what the partitions before it hold of the same keys, counted in one small
+    table, is added. Without keys the whole table is numbered so. Rows equal in ``order`` may come in any order.
+    """
+    k = [F.col(quoted(c)) for c in keys]
+    each = df.count()
+    placed = df.repartitionByRange(width(df.sparkSession, each, max(BLOCK_ROWS, each // MAX_BLOCKS)), *k, *order).withColumn("__pid", F.spark_partition_id())
+    placed = written(placed, "numbered")
+    upto = Window.partitionBy(*k).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    held = placed.groupBy("__pid", *k).agg(F.count(F.lit(1)).alias("n"))
+    before = held.select("__pid", *[c.alias(f"__k{i}") for i, c in enumerate(k)], F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("__before"))
+    own = placed.withColumn("__own", F.row_number().over(Window.partitionBy("__pid", *k).orderBy(*order)))
+    out = own.join(before.withColumnRenamed("__pid", "__pid2"), (own["__pid"] == F.col("__pid2")) & _same(own, keys))
+    return out.select(*[F.col(quoted(c)) for c in df.columns], (F.col("__own") + F.col("__before")).cast("bigint").alias(name))
+
+
+def _same(own: DataFrame, keys: list[str]) -> Column:
+    out = F.lit(True)
+    for i, c in enumerate(keys):
+        out = out & own[quoted(c)].eqNullSafe(F.col(f"__k{i}"))
+    return out

@@ -1,8 +1,10 @@
 """The engine's own operators on small tables."""
 
 import hashlib
+from datetime import datetime, timedelta
 
 import hypothesis.strategies as some
+import numpy as np
 import pytest
 from conftest import rows
 from hypothesis import HealthCheck, given, settings
@@ -16,6 +18,7 @@ from memlake.operators import memory as m
 from memlake.operators import retrieval as r
 from memlake.operators import state as st
 from memlake.operators import vector as v
+from memlake.plans import runs
 from memlake.queries import memory as queries
 
 few = settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -201,15 +204,19 @@ def test_memories(spark):
     assert m.consolidated_tail(mem, 2).first().content == "Consolidated 1 memories:\n- C"
     near = m.consolidated_similar(mem, 0.9).first()
     assert sorted(near.ids) == ["2", "4"] and near.importance == 0.9
-    merged = m.merged_similar(mem.filter("state = 'active'").withColumn("seq", F.col("id")), 0.9)
+    merged = m.merged_similar(mem.filter("state = 'active'").withColumn("seq", F.col("id")), threshold=0.9)
     assert rows(merged, "id", "outcome", "target") == [("2", "inserted", None), ("3", "inserted", None), ("4", "merged", "2")]
     log = mem.unionByName(m.patched(mem, patch, now))
     assert rows(m.latest(log).filter("id = '2'"), "content", "version") == [("B2", 2)]
     new = mem.filter("id = '1'").withColumn("id", F.lit("n")).withColumn("content", F.lit(" B "))
-    assert rows(m.plan_additions(mem, new, now), "outcome", "target") == [("confirmed", "2")]
-    assert rows(m.plan_additions(mem, new.withColumn("content", F.lit("Z")), now), "outcome", "target") == [("superseded", "3")]
-    assert rows(m.plan_additions(mem, new.withColumn("content", F.lit("Z")), now, review=True), "outcome") == [("conflict",)]
-    assert rows(m.plan_additions(mem, new.withColumn("subject", F.lit("new")), now), "outcome", "target") == [("inserted", None)]
+    new = new.withColumn("at", now).withColumn("seq", F.lit(1))
+    plan = lambda df, **x: rows(m.additions(mem, df, **x), "outcome", "target")
+    assert plan(new) == [("superseded", "3")]  # only the newest active memory can be confirmed
+    assert plan(new.withColumn("content", F.lit(" C\n\u00a0"))) == [("confirmed", "3")]
+    assert plan(new, review=True) == [("conflict", "3")]
+    assert plan(new.withColumn("subject", F.lit("new"))) == [("inserted", None)]
+    assert plan(new.withColumn("subject", F.lit(" \t")).unionByName(new.withColumn("subject", F.lit("")).withColumn("id", F.lit("o")))) == [("inserted", None)] * 2
+    assert plan(new.withColumn("subject", F.lit("new")).unionByName(new.withColumn("subject", F.lit("New ")).withColumn("id", F.lit("o")).withColumn("seq", F.lit(2)))) == [("confirmed", "n"), ("inserted", None)]
     left = m.erased({"memories": mem, "memory_grants": spark.createDataFrame([("t", "u", "w")], "tenant_id string, grantee_user_id string, grantor_user_id string")}, "t", "u")
     assert left["memories"].count() == 0 and left["memory_grants"].count() == 0
     vecs = m.embedded_rows(mem.select("id", "content"), "content", lambda ts: [[float(len(t))] for t in ts]).filter("id = '1'").first().embedding
@@ -218,25 +225,110 @@ def test_memories(spark):
     assert broken.filter("embedding is not null").count() == 0
 
 
-def test_fold_against_replay(spark):
+@pytest.mark.parametrize("review", [False, True])
+def test_additions_against_replay(spark, review):
+    """A batch of statements, applied at once, leaves what applying them one after the other leaves."""
     import random
 
+    rng, d = random.Random(9), lambda n: datetime(2024, 1, 1) + timedelta(minutes=n)
+    scopes = [("t", None), ("t", "u")]
+    store = {}
+    for i in range(14):
+        t, u = rng.choice(scopes)
+        store[f"o{i:02d}"] = {"scope": (t, u), "subject": rng.choice(["s", "p"]), "content": rng.choice("abc"), "importance": rng.choice([0.2, 0.8]), "valid_from": d(i), "valid_to": None, "state": rng.choice(["active", "expired"]), "supersedes": None, "version": 1 + i % 3, "updated_at": d(i)}
+    row = lambda i, x: (i, x["scope"][0], x["scope"][1], None, None, x["subject"], x["content"], x["importance"], x["valid_from"], x["valid_to"], x["state"], x["version"], x["updated_at"], "{}", "semantic", ["e"], [1.0])
+    kind = MEM + ", supersedes string, created_at timestamp"
+    mem = spark.createDataFrame([(*row(i, x), None, x["valid_from"]) for i, x in store.items()], kind)
+    batch, outcomes = [], {}
+    for k in range(60):
+        t, u = rng.choice(scopes)
+        s, c, imp = rng.choice(["s", " S", "p", "q", None, "  "]), rng.choice(["a", "b", " a\n", "c"]), rng.choice([0.1, 0.5, 0.9])
+        batch.append((f"n{k:02d}", t, u, None, None, s, c, imp, ["e"], "{}", "semantic", [1.0], d(100 + k), k))
+        j = " ".join((s or "").lower().split())
+        act = sorted((x["valid_from"], i) for i, x in store.items() if j and x["scope"] == (t, u) and x["subject"] == j and x["state"] == "active")
+        newest = act[-1][1] if act else None
+        if newest and store[newest]["content"].strip() == c.strip():
+            x = store[newest]
+            x.update(importance=max(x["importance"], imp), version=x["version"] + 1, updated_at=d(100 + k))
+            outcomes[f"n{k:02d}"] = ("confirmed", newest)
+            continue
+        if newest and not review:
+            for _, i in act:
+                store[i].update(state="superseded", valid_to=d(100 + k), updated_at=d(100 + k))
+        outcomes[f"n{k:02d}"] = ("inserted" if not newest else "conflict" if review else "superseded", newest)
+        store[f"n{k:02d}"] = {"scope": (t, u), "subject": j or None, "content": c, "importance": imp, "valid_from": d(100 + k), "valid_to": None, "state": "active", "supersedes": newest if not review else None, "version": 1, "updated_at": d(100 + k)}
+    new = spark.createDataFrame(batch, "id string, tenant_id string, user_id string, agent_id string, session_id string, subject string, content string, importance double, source_event_ids array<string>, metadata string, mem_type string, embedding array<double>, at timestamp, seq int")
+    plan = m.additions(mem, new, review)
+    assert {r.id: (r.outcome, r.target) for r in plan.collect()} == outcomes
+    got = m.latest(mem.unionByName(m.applied(mem, plan)))
+    fields = ["subject", "content", "importance", "valid_from", "valid_to", "state", "supersedes", "version", "updated_at"]
+    assert {r.id: tuple(r[f] for f in fields) for r in got.collect()} == {i: tuple(x[f] for f in fields) for i, x in store.items()}
+
+
+def test_numbered(spark):
+    import random
+
+    rng = random.Random(2)
+    data = [(rng.choice(["hot", "hot", "x", None]), rng.randrange(50), i) for i in range(300)]
+    df = spark.createDataFrame(data, "k string, v int, i int")
+    want, seen = {}, {}
+    for k, v, i in sorted(data, key=lambda r: (r[1], r[2])):
+        seen[k] = seen.get(k, 0) + 1
+        want[i] = seen[k]
+    for block in (10, 250_000):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(runs, "BLOCK_ROWS", block)
+            assert {r["i"]: r["n"] for r in runs.numbered(df, ["k"], [F.col("v"), F.col("i")], "n").collect()} == want
+    assert sorted(r["n"] for r in runs.numbered(df, [], [F.col("i")], "n").collect()) == list(range(1, 301))
+
+
+def test_greedy_clusters_in_blocks():
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((300, 3))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    free, want = set(range(300)), []
+    for i in range(300):
+        if i in free:
+            near = [k for k in sorted(free) if k == i or x[k] @ x[i] >= 0.9]
+            free -= set(near)
+            want.append(sorted(near))
+    for block in (1, 7, 1_000):
+        assert [sorted(c) for c in m.greedy(x, 0.9, block)] == want
+
+
+def test_merges_into_what_is_stored(spark):
+    d = datetime(2024, 1, 1)
+    row = lambda i, e, s=None, imp=0.5: (i, "t", "u", None, None, s, i, imp, d, None, "active", 1, d, "{}", "semantic", [i], e)
+    old = spark.createDataFrame([row("o1", [1.0, 0.0], "plan", 0.9), row("o2", [0.0, 1.0])], MEM)
+    new = spark.createDataFrame([row("n1", [0.99, 0.05]), row("n2", [0.98, 0.1]), row("n3", None), row("n4", [0.0, 0.0]), row("n5", [-1.0, 0.0])], MEM).withColumn("seq", F.col("id"))
+    got = {r.id: (r.outcome, r.target, r.subject, r.importance, list(r.source_event_ids)) for r in m.merged_similar(new, old).collect()}
+    assert got["n1"] == ("merged", "o1", "plan", 0.9, ["o1", "n1"]) and got["n2"] == ("merged", "n1", "plan", 0.9, ["o1", "n1", "n2"])
+    assert [got[k][0] for k in ("n3", "n4", "n5")] == ["inserted"] * 3
+
+
+@pytest.mark.parametrize("block", [4, 250_000])
+def test_fold_against_replay(spark, block, monkeypatch):
+    import random
+
+    monkeypatch.setattr(runs, "BLOCK_ROWS", block)
     rng = random.Random(6)
-    ev = [("k" + str(rng.randrange(3)), rng.choice(["a", "b", " a", None]), t, rng.random()) for t in range(80)]
+    ev = [(rng.choice(["k0", "k0", "k0", "k1", None]), rng.choice(["a", "b", " a\n", None]) if t < 40 or t > 60 else "a", t, rng.random()) for t in range(120)]
     df = spark.createDataFrame(ev, "key string, content string, at long, importance double").withColumn("seq", F.col("at"))
-    got = rows(m.fold_contradictions(df, ["key"], "content", "at", "seq"), "key", "content", "version", "valid_from", "valid_to", "state")
+    got = rows(m.fold_contradictions(df, ["key"], "content", "at", "seq"), "key", "content", "version", "valid_from", "valid_to", "importance", "island", "supersedes", "updated_at", "state")
     out = []
-    for k in sorted({e[0] for e in ev}):
+    for k in {e[0] for e in ev}:
         cur = []
-        for _, c, t, _ in [e for e in ev if e[0] == k]:
+        for _, c, t, imp in [e for e in ev if e[0] == k]:
             if cur and (cur[-1][0] or "").strip() == (c or "").strip() and (cur[-1][0] is None) == (c is None):
                 cur[-1][1] += 1
+                cur[-1][4], cur[-1][7] = max(cur[-1][4], imp), t
             else:
                 if cur:
-                    cur[-1][3] = t
-                cur.append([c, 1, t, None])
+                    cur[-1][3] = cur[-1][7] = t
+                cur.append([c, 1, t, None, imp, len(cur) + 1, len(cur) or None, t])
         out += [(k, *x, "active" if x[3] is None else "superseded") for x in cur]
     assert got == sorted(out, key=lambda r: [(x is not None, str(x)) for x in r])
+    assert m.fold_contradictions(df.limit(0), ["key"], "content", "at", "seq").collect() == []
 
 
 def test_templates_and_facts(spark):
