@@ -5,11 +5,14 @@ Iterative operators write each round's small state to the shared folder instead
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlake.functions.scalars import uuid5_text
-from memlake.plans.shared import freed_shuffles, written
+from memlake.plans.runs import numbered
+from memlake.plans.shared import freed_shuffles, shared_dir, written
 
 #: Verbs that make a relation by themselves, and those that need a following preposition (fixed values).
 VERBS = "likes is are has have uses knows owns prefers loves hates wants plays teaches visited met speaks joined manages leads drives founded created wrote enjoys dislikes needs avoids".split()
@@ -106,35 +109,73 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def communities(edges: DataFrame) -> DataFrame:
-    """(component, size): components by size, then by first node."""
-    return components(edges).groupBy("component").agg(F.count(F.lit(1)).alias("size")).orderBy(F.desc("size"), "component")
+    """(component, size, place, node): the members of each component in order; places from 0 by size, then first node.
+
+    One row for each member, so that no row grows with its component."""
+    own = written(components(edges), "components")
+    size = own.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    placed = numbered(size, [], [F.desc("size"), F.col("component")], "place").withColumn("place", F.col("place") - 1)
+    return own.join(placed, "component").select("component", "size", "place", "node")
 
 
-def shortest_path(edges: DataFrame, src: str, dst: str, max_depth: int = 64) -> list[str] | None:
-    """The nodes of a shortest directed path, the smallest predecessor on ties; [src] for src = dst; None without one."""
+def shortest_path(edges: DataFrame, src: str, dst: str) -> list[str] | None:
+    """The nodes of a shortest directed path, the smallest predecessor on ties; [src] for src = dst, even if it is not in
+    the graph; None without one. A round for each step, whatever their number; each round keeps its new nodes alone."""
     if src == dst:
         return [src]
     spark = edges.sparkSession
-    e = edges.select("src", "dst").distinct()
-    seen = written(spark.createDataFrame([(src, None)], "node string, before string"), "path")
-    front, layers = seen.select("node"), [seen]
     with freed_shuffles(spark):
-        for _ in range(max_depth):
-            step = e.join(front.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("before"))
-            step = written(step.join(seen.select("node"), "node", "left_anti"), "path")
-            if step.filter(F.col("node") == dst).limit(1).count():
-                path = [dst]
-                for layer in [step, *reversed(layers)]:
-                    before = layer.filter(F.col("node") == path[-1]).first().before
-                    if before is None:
-                        break
-                    path.append(before)
-                return path[::-1]
+        e = written(edges.select("src", "dst").filter("src is not null and dst is not null").distinct(), "path-edges")
+        base = f"{shared_dir(spark)}/memlake-reached-{uuid.uuid4().hex}"
+        kinds = "node string, before string, hop int"
+        spark.createDataFrame([(src, None, 0)], kinds).coalesce(1).write.parquet(base)
+        hop = 0
+        while True:
+            seen = spark.read.schema(kinds).parquet(base)
+            front = seen.filter(F.col("hop") == hop).select(F.col("node").alias("src"))
+            step = e.join(front, "src").groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("before")).join(seen.select("node"), "node", "left_anti")
+            hop += 1
+            step = written(step.withColumn("hop", F.lit(hop)), "path")
             if not step.limit(1).count():
                 return None
-            layers.append(step)
-            seen, front = seen.union(step), step.select("node")
-    return None
+            step.coalesce(1 if hop % 16 else 8).write.mode("append").parquet(base)
+            if step.filter(F.col("node") == dst).limit(1).count():
+                break
+        reached, path = spark.read.schema(kinds).parquet(base), [dst]
+        for h in range(hop, 0, -1):
+            path.append(reached.filter((F.col("hop") == h) & (F.col("node") == path[-1])).first().before)
+        return path[::-1]
+
+
+def add_edges(edges: DataFrame, new: DataFrame) -> DataFrame:
+    """The edges with new ones added; an id that is there already, or comes again, changes nothing."""
+    rest = [c for c in new.columns if c != "id"]
+    once_ = new.groupBy("id").agg(F.min(F.struct(*rest)).alias("r")).select("id", "r.*").select(*new.columns)
+    return edges.unionByName(once_.join(edges.select("id"), "id", "left_anti"))
+
+
+def listed_edges(edges: DataFrame, tenant: str, limit: int | None = None, all_states: bool = False) -> DataFrame:
+    """A tenant's active edges by weight, or all of them by start."""
+    own = edges.filter(F.col("tenant_id") == tenant)
+    own = own.orderBy("valid_from", "id") if all_states else own.filter("state = 'active'").orderBy(F.desc("weight"), "id")
+    return own if limit is None else own.limit(limit)
+
+
+def linked(edges: DataFrame, new: DataFrame) -> DataFrame:
+    """The edges after functional links (id, tenant_id, src, relation, dst, weight, valid_from): each closes the active
+    edges of its (tenant, src, relation), or the link of the batch before it, and names itself as the cause."""
+    key = ["tenant_id", "src", "relation"]
+    w = Window.partitionBy(*key).orderBy("valid_from", "id")
+    made = new.withColumn("__next", F.lead("id").over(w)).withColumn("__until", F.lead("valid_from").over(w))
+    first = made.groupBy(*[F.col(c).alias(f"__{c}") for c in key]).agg(F.min_by(F.struct("id", "valid_from"), F.struct("valid_from", "id")).alias("__f"))
+    on = F.lit(True)
+    for c in key:
+        on = on & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    hit = (F.col("state") == "active") & F.col("__f").isNotNull()
+    old = edges.join(first, on, "left").withColumns({"valid_to": F.when(hit, F.col("__f.valid_from")).otherwise(F.col("valid_to")), "invalidated_by": F.when(hit, F.col("__f.id")).otherwise(F.col("invalidated_by")), "state": F.when(hit, "superseded").otherwise(F.col("state"))})
+    add = made.withColumns({"valid_to": F.col("__until"), "invalidated_by": F.col("__next"), "state": F.when(F.col("__next").isNull(), "active").otherwise("superseded"), "created_at": F.col("valid_from")})
+    cols = edges.columns
+    return old.select(*cols).unionByName(add.select(*[(F.col(c) if c in add.columns else F.lit(None)).cast(edges.schema[c].dataType).alias(c) for c in cols]))
 
 
 def subgraph(edges: DataFrame, tenant: str, entity: str, depth: int, max_edges: int) -> DataFrame:

@@ -70,18 +70,19 @@ def interval_join(left: DataFrame, right: DataFrame, keys: list[str], time: str,
 
 
 def wildcard_match(rows: DataFrame, patterns: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """Rows with every pattern row whose columns are ``*`` or equal; ``columns`` maps pattern to row columns. The
-    patterns split by which columns are wild, so each part is an equi-join."""
+    """Rows with every pattern row whose columns are ``*`` or equal; ``columns`` maps pattern to row columns.
+
+    Each row is asked for once with every choice of wild columns that the patterns use, as one key of its own, so that
+    one scan of the rows and one equi-join do for all. Nulls match ``*`` alone.
+    """
     names = list(columns)
-    out = None
-    for wild in range(1 << len(names)):
-        on = [n for i, n in enumerate(names) if not wild >> i & 1]
-        part = patterns
-        for i, n in enumerate(names):
-            part = part.filter((F.col(n) == "*") if wild >> i & 1 else (F.col(n) != "*"))
-        cond: Column | bool = F.lit(True)
-        for n in on:
-            cond = cond & (part[n] == rows[columns[n]])
-        joined = rows.join(part, cond)
-        out = joined if out is None else out.unionByName(joined)
-    return out
+    keyed = patterns.withColumn("__wild", sum((F.when(F.col(n) == "*", 1 << i).otherwise(0) for i, n in enumerate(names)), F.lit(0)))
+    key = lambda mask, value: F.concat_ws("\u001f", mask.cast("string"), *[F.when(F.bit_get(mask, F.lit(i)) == 1, "").otherwise(value(n)) for i, n in enumerate(names)])
+    null = lambda mask, value: sum((F.when((F.bit_get(mask, F.lit(i)) == 0) & value(n).isNull(), 1).otherwise(0) for i, n in enumerate(names)), F.lit(0)) > 0
+    keyed = keyed.filter(~null(F.col("__wild"), F.col)).withColumn("__key", key(F.col("__wild"), F.col))
+    masks = sorted(r[0] for r in keyed.select("__wild").distinct().collect())  # one for each choice of wild columns
+    own = lambda n: F.col(columns[n]).cast("string")
+    asked = rows.withColumn("__mask", F.explode(F.array(*[F.lit(x) for x in masks]) if masks else F.array().cast("array<int>")))
+    asked = asked.filter(~null(F.col("__mask"), own)).withColumn("__key", key(F.col("__mask"), own)).drop("__mask")
+    return asked.join(keyed.drop("__wild"), "__key").drop("__key")
+

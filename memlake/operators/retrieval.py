@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from memlake.functions.scalars import cosine, recency
+from memlake.functions.scalars import recency
 from memlake.functions.text import tokenize
-from memlake.operators.vector import vector_literal
+from memlake.plans.shared import written
 
 K1, B, RRF_K = 1.2, 0.75, 60.0
 SCAN_CAP, POOL = 2048, 50
@@ -79,17 +80,44 @@ def rrf(arms: list[DataFrame]) -> DataFrame:
 
 
 def list_active(mem: DataFrame, scope: Column, limit: int) -> DataFrame:
-    """Active memories of a scope by importance, then newest start, ties by id."""
-    return mem.filter(scope & (F.col("state") == "active")).orderBy(F.desc("importance"), F.desc("valid_from"), "id").limit(max(1, min(limit, 10_000)))
+    """The ``limit`` best active memories of a scope by importance, then newest start, ties by id."""
+    return mem.filter(scope & (F.col("state") == "active")).orderBy(F.desc("importance"), F.desc("valid_from"), "id").limit(max(1, limit))
 
 
-def graph_arm(edges: DataFrame, cand: DataFrame, query: str, scan_cap: int) -> DataFrame:
-    """(id, first) of the candidates whose source edge touches a query term; ``first`` is the edge's place by weight."""
+def graph_arm(edges: DataFrame, live: DataFrame, query: str, scan_cap: int, tenant: str | None = None) -> DataFrame:
+    """(id, first) of the memories among ``live`` whose source edge touches a query term; ``first`` is the edge's place by
+    weight among the ``scan_cap`` heaviest active edges of the tenant. ``live`` are the active memories of the scope,
+    not the lexical candidates alone: the arm is there to find what those lack."""
     terms = query_terms(query, edges)
-    top = edges.filter("state = 'active' and source_memory_id is not null").orderBy(F.desc("weight"), "id").limit(scan_cap)
+    own = edges.filter("state = 'active'")
+    top = (own if tenant is None else own.filter(F.col("tenant_id") == tenant)).orderBy(F.desc("weight"), "id").limit(scan_cap)
     q = F.array(*[F.lit(t) for t in terms]) if terms else F.array().cast("array<string>")
-    hit = top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("weight"), "id"))).filter(F.arrays_overlap(tokenize(F.col("src")), q) | F.arrays_overlap(tokenize(F.col("dst")), q))
-    return hit.groupBy(F.col("source_memory_id").alias("id")).agg(F.min("place").alias("first")).join(cand.select("id"), "id", "left_semi")
+    placed = top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("weight"), "id")))  # scan_cap rows
+    hit = placed.filter("source_memory_id is not null").filter(F.arrays_overlap(tokenize(F.col("src")), q) | F.arrays_overlap(tokenize(F.col("dst")), q))
+    return hit.groupBy(F.col("source_memory_id").alias("id")).agg(F.min("place").alias("first")).join(live.select("id"), "id", "left_semi")
+
+
+def similarity(query: list[float]) -> Callable[[Column], Column]:
+    """The cosine of a vector column with ``query``: one matrix product for each Arrow batch. Null for vectors of another
+    length, with nulls or numbers that are not finite, and of length 0."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    q = np.array(query, np.float64)
+    q = q / np.sqrt((q * q).sum())
+
+    @F.arrow_udf("double")
+    def cosines(v: pa.Array) -> pa.Array:
+        fits = pc.fill_null(pc.equal(pc.list_value_length(v), len(q)), False)
+        x = pc.list_flatten(v.filter(fits)).to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, len(q))
+        norm = np.sqrt((x * x).sum(1))
+        ok = np.isfinite(norm) & (norm > 0)
+        out, known = np.zeros(len(v)), np.zeros(len(v), bool)
+        at = np.flatnonzero(fits.to_numpy(zero_copy_only=False))[ok]
+        out[at], known[at] = (x[ok] / norm[ok, None]) @ q, True
+        return pa.array(out, mask=~known)
+
+    return cosines
 
 
 def memory_search(
@@ -104,34 +132,68 @@ def memory_search(
     lexical_weight: float = 1.0,
     importance_weight: float = 0.3,
     recency_weight: float = 0.2,
-    scan_cap: int = SCAN_CAP,
+    scan_cap: int | None = SCAN_CAP,
     pool: int = POOL,
     rerank: Callable[[str, list[str]], list[float]] | None = None,
+    tenant: str | None = None,
 ) -> DataFrame:
     """The k best memories of a scope by BM25, vector and graph arms, fused and blended with importance and recency.
 
-    ``mem`` has id, content, importance, state, valid_from, updated_us and embedding. A blank query, and a query that
-    no arm answers, list the scope by importance with score 0. Ties go by id.
+    ``mem`` has id, content, importance, state, valid_from, updated_us and embedding. The scope is read once, without
+    its vectors, and kept in a written table while the arms rank it. BM25 works on the ``scan_cap`` most important
+    memories (None: on all, its statistics too). ``edges``, those of ``tenant``, switch on the graph arm. A blank
+    query, and a query that no arm answers, list the scope by importance with score 0. Ties go by id. The result has
+    the columns of ``mem`` but for the embedding, and the score.
     """
-    plain = lambda n: list_active(mem, scope, n).withColumn("score", F.lit(0.0))
-    if not query.strip() or k <= 0:
-        return plain(max(k, 1))
+    near = F.lit(None).cast("double") if vector is None else similarity(vector)(F.col("embedding"))
     live = mem.filter(scope & (F.col("state") == "active"))
-    cand = list_active(mem, scope, max(scan_cap, k)).select("id", "content")
+    cols = [c for c in mem.columns if c != "embedding"]
+    plain = lambda df, n: list_active(df, F.lit(True), n).select(*cols, F.lit(0.0).alias("score"))
+    if not query.strip() or k <= 0:
+        return plain(live, max(k, 1))
+    live = written(live.select(*cols, near.alias("__near")), "scope")
+    cand = (live if scan_cap is None else list_active(live, F.lit(True), max(scan_cap, k))).select("id", "content")
     pool = max(pool, k)
     arms = [ranked(bm25(cand, query), [F.desc("score"), F.col("id")], lexical_weight)]
     if vector is not None:
-        near = live.select("id", cosine(F.col("embedding"), vector_literal(vector)).alias("score")).filter("score is not null")
-        arms.append(ranked(near, [F.desc("score"), F.col("id")], vector_weight, max(pool, 4 * k)))
+        arms.append(ranked(live.filter("__near is not null").select("id", F.col("__near").alias("score")), [F.desc("score"), F.col("id")], vector_weight, max(pool, 4 * k)))
     if edges is not None:
-        arms.append(ranked(graph_arm(edges, cand, query, max(scan_cap, k)), [F.col("first"), F.col("id")], lexical_weight))
+        arms.append(ranked(graph_arm(edges, live, query, max(scan_cap or SCAN_CAP, k), tenant), [F.col("first"), F.col("id")], lexical_weight))
     fused = rrf(arms).orderBy(F.desc("rrf"), "id").limit(pool)
     fresh = recency(F.col("updated_us"), F.lit(now_us))
-    hits = live.join(fused, "id").withColumn("score", F.col("rrf") * (1.0 + importance_weight * F.col("importance") + recency_weight * fresh)).drop("rrf")
+    hits = live.drop("__near").join(F.broadcast(fused), "id").withColumn("score", F.col("rrf") * (1.0 + importance_weight * F.col("importance") + recency_weight * fresh)).drop("rrf")  # pool rows
     if rerank is not None:
         hits = reranked(hits, query, rerank, fresh)
-    best = hits.orderBy(F.desc("score"), "id").limit(k)
-    return best.unionByName(plain(k).join(best.select(F.lit(1).alias("some")).limit(1), how="left_anti")) if vector is None else best
+    best = hits.orderBy(F.desc("score"), "id").limit(k).select(*cols, "score")
+    if vector is not None:  # some vector is always nearest, unless there is none
+        return best
+    return best.unionByName(plain(live, k).join(best.select(F.lit(1).alias("some")).limit(1), how="left_anti"))
+
+
+def memory_search_batch(mem: DataFrame, scope: Column, questions: DataFrame, k: int, now_us: int, vector_weight: float = 1.0, lexical_weight: float = 1.0, importance_weight: float = 0.3, recency_weight: float = 0.2, scan_cap: int | None = SCAN_CAP, pool: int = POOL) -> DataFrame:
+    """(qid, id, score, rank): ``memory_search`` for many questions (qid, query, vector) on one scope at once.
+
+    The scope is read once; postings, vectors and fused ranks of all questions run through the same few exchanges. The
+    questions are a stated set that fits the driver; one without vector, or with an unusable one, has no vector arm.
+    One that nothing answers has no rows.
+    """
+    from memlake.operators.vector import knn_batch
+
+    live = written(mem.filter(scope & (F.col("state") == "active")), "scope")
+    cand = (live if scan_cap is None else list_active(live, F.lit(True), max(scan_cap, k))).select("id", "content")
+    pool = max(pool, k)
+    place = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
+    lex = bm25_batch(cand, questions.select("qid", "query")).filter("score > 0").select("qid", "id", (F.lit(lexical_weight) / (RRF_K + F.row_number().over(place))).alias("w"))
+    asked = [(r.qid, list(r.vector)) for r in questions.filter("vector is not null").select("qid", F.col("vector").cast("array<double>").alias("vector")).collect() if r.vector and all(x is not None and x == x and abs(x) != float("inf") for x in r.vector) and any(r.vector)]
+    arms = [lex]
+    for dim in sorted({len(q) for _, q in asked}):
+        near = knn_batch(live, [(i, q) for i, q in asked if len(q) == dim], max(pool, 4 * k))
+        arms.append(near.select(F.col("query").cast(questions.schema["qid"].dataType).alias("qid"), "id", (F.lit(vector_weight) / (RRF_K + F.col("rank"))).alias("w")))
+    fused = reduce(DataFrame.unionByName, arms).groupBy("qid", "id").agg(F.sum("w").alias("rrf"))
+    fused = fused.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("rrf"), "id"))).filter(F.col("r") <= pool)
+    fresh = recency(F.col("updated_us"), F.lit(now_us))
+    hits = live.select("id", "importance", "updated_us").join(fused, "id").select("qid", "id", (F.col("rrf") * (1.0 + importance_weight * F.col("importance") + recency_weight * fresh)).alias("score"))
+    return hits.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= k)
 
 
 def reranked(hits: DataFrame, query: str, scorer: Callable[[str, list[str]], list[float]], fresh: Column) -> DataFrame:
@@ -153,13 +215,41 @@ def reranked(hits: DataFrame, query: str, scorer: Callable[[str, list[str]], lis
 
 def shared_search(mem: DataFrame, grants: DataFrame, tenant: str, user: str, search: Callable[[Column], DataFrame], k: int) -> DataFrame:
     """The user's own scope and those of each grantor in the tenant, best score for an id, top k. ``search`` maps a scope
-    predicate to hits; grantors are few (one user's grants)."""
+    predicate to hits; grantors are few (one user's grants). Hits with source_event_ids keep all their sources."""
     grantors = [r.grantor_user_id for r in grants.filter((F.col("tenant_id") == tenant) & (F.col("grantee_user_id") == user)).select("grantor_user_id").distinct().orderBy("grantor_user_id").collect()]
-    out = None
-    for u in [user, *grantors]:
-        hits = search((F.col("tenant_id") == tenant) & (F.col("user_id") == u))
-        out = hits if out is None else out.unionByName(hits)
-    return out.groupBy("id").agg(F.max("score").alias("score")).orderBy(F.desc("score"), "id").limit(k)
+    hits = reduce(DataFrame.unionByName, [search((F.col("tenant_id") == tenant) & (F.col("user_id") == u)) for u in dict.fromkeys([user, *grantors])])
+    sources = [F.array_sort(F.array_distinct(F.flatten(F.collect_list("source_event_ids")))).alias("source_event_ids")] if "source_event_ids" in hits.columns else []
+    return hits.groupBy("id").agg(F.max("score").alias("score"), *sources).orderBy(F.desc("score"), "id").limit(k)
+
+
+def merged_shards(shards: list[DataFrame], k: int) -> DataFrame:
+    """The k best hits of several shards' answers (id, score), an id of several shards with its best score."""
+    return reduce(DataFrame.unionByName, [s.select("id", "score") for s in shards]).groupBy("id").agg(F.max("score").alias("score")).orderBy(F.desc("score"), "id").limit(k)
+
+
+def rag_context(hits: DataFrame, events: DataFrame, memories: DataFrame, k: int = 5, least: float = 0.3, chars: int = 300) -> DataFrame:
+    """(part, place, line): what a prompt gets: the k best events by similarity (``hits``: id, content, score of at least
+    ``least``), the k newest events, and the k best memories, each text cut to ``chars``; ``context_hash`` gives its hash."""
+    cut = lambda c: F.substring(F.coalesce(F.col(c), F.lit("")), 1, chars)
+    line = lambda df, by, text: df.orderBy(*by, "id").limit(k).select("id", text.alias("line"), F.row_number().over(Window.orderBy(*by, "id")).alias("place"))
+    a = line(hits.filter(F.col("score") >= least), [F.desc("score")], cut("content")).withColumn("part", F.lit("similar"))
+    b = line(events, [F.desc("ts")], F.concat(F.lit("["), F.col("source"), F.lit("] "), F.col("event_type"), F.lit(": "), cut("payload"))).withColumn("part", F.lit("recent"))
+    c = line(memories, [F.desc("score")], cut("content")).withColumn("part", F.lit("memory"))
+    return a.unionByName(b).unionByName(c).select("part", "place", "line")
+
+
+def context_hash(context: DataFrame) -> DataFrame:
+    """(sha256) of a context's lines in order."""
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "place", "line"))), lambda x: x["line"]), "\n")
+    return context.agg(F.sha2(lines, 256).alias("sha256"))
+
+
+def first_hit(hits: DataFrame, gold: DataFrame) -> DataFrame:
+    """(qid, rank): the rank of the first hit (qid, rank, content) that contains the expected text of (qid, expected),
+    whatever its case; null where none does."""
+    met = gold.join(hits.select("qid", "rank", "content"), "qid", "left")
+    good = F.lower("content").contains(F.lower("expected"))
+    return met.groupBy("qid").agg(F.min(F.when(good, F.col("rank"))).alias("rank"))
 
 
 def retrieval_metrics(ranks: DataFrame) -> DataFrame:

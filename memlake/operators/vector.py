@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType, DoubleType, StructField, StructType
 
 from memlake.functions.scalars import cosine, dot
-from memlake.functions.text import normalize_key
+from memlake.functions.text import embed_prefixes, normalize_key
 
 #: Questions of one pass over a cache; rows of it multiplied at a time.
 QUESTION_BLOCK, CACHE_ROWS = 4_096, 2_048
@@ -111,6 +112,49 @@ def delete(current: DataFrame, ids: DataFrame, id: str = "id") -> DataFrame:
     return current.join(ids.select(id), id, "left_anti")
 
 
+def modal_upsert(current: DataFrame, new: DataFrame) -> DataFrame:
+    """The entries (id, modality, embedding, ..) after replacing and adding those of ``new`` by (modality, id). A modality's
+    length is that of its stored vectors, else of the smallest new id's; vectors of another length fail at run time."""
+    dims = current.groupBy("modality").agg(F.max(F.size("embedding")).alias("__old"))
+    first = new.groupBy("modality").agg(F.min_by(F.size("embedding"), "id").alias("__first"))
+    own = new.join(first, "modality", "left").join(dims, "modality", "left").withColumn("__dim", F.coalesce("__old", "__first"))
+    wrong = F.raise_error(F.concat(F.lit("vector has another dimension than "), F.col("__dim").cast("string"), F.lit(": "), F.size("embedding").cast("string")))
+    fit = own.withColumn("embedding", F.when(F.size("embedding") == F.col("__dim"), F.col("embedding")).otherwise(wrong.cast(new.schema["embedding"].dataType))).select(*new.columns)
+    rest = [c for c in new.columns if c not in ("id", "modality")]
+    once = fit.groupBy("modality", "id").agg(F.max(F.struct(*rest)).alias("r")).select("modality", "id", "r.*").select(*new.columns)
+    return current.join(once.select("modality", "id"), ["modality", "id"], "left_anti").select(*current.columns).unionByName(once)
+
+
+def entries(df: DataFrame, limit: int, id: str = "id") -> DataFrame:
+    """Up to ``limit`` entries; by id, so that the answer is always the same."""
+    return df.orderBy(id).limit(limit)
+
+
+def save_index(df: DataFrame, folder: str) -> None:
+    """The entries as a table in ``folder``; a reader sees the former table or this one, never half of it."""
+    stage = f"{folder}/{uuid.uuid4().hex}"
+    df.write.parquet(stage)
+    df.sparkSession.createDataFrame([(stage,)], "at string").coalesce(1).write.mode("overwrite").text(f"{folder}/current")
+
+
+def load_index(spark: SparkSession, folder: str) -> DataFrame:
+    """The entries that were saved last."""
+    return spark.read.parquet(spark.read.text(f"{folder}/current").first().value)
+
+
+def embed_and_search(df: DataFrame, text: str, provider: Callable[[list[str]], list[list[float]]], k: int, model: str = "", where: Column | None = None, min_score: float | None = None) -> DataFrame:
+    """The k nearest entries to a question: it gets its model's prefix for queries and goes through the provider."""
+    query = embed_prefixes(model)[0] + text
+    return knn(df, [float(x) for x in provider([query])[0]], k, where=where, min_score=min_score)
+
+
+def joined_hits(events: DataFrame, hits: DataFrame) -> DataFrame:
+    """Every event with every one of the k hits of a search (columns hit_id, hit_score): the join of a search table on
+    true. The hits are the k rows of a top-k, so they are sent to all tasks."""
+    few = hits.select(F.col("id").alias("hit_id"), F.col("score").alias("hit_score"))
+    return events.join(F.broadcast(few), F.lit(True))
+
+
 def image_histogram(pixels: list[tuple[int, int, int]], buckets: int = 16) -> list[float]:
     """RGB histogram of ``buckets`` bins per channel, normalised to length 1."""
     p = np.asarray(pixels, np.int64).reshape(-1, 3)

@@ -24,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if "dir" not in _local:
         _local["dir"] = tempfile.mkdtemp(prefix="memlake-")
         atexit.register(shutil.rmtree, _local["dir"], ignore_errors=True)

@@ -20,6 +20,14 @@ FORBIDDEN = frozenset(
     "read_parquet read_xlsx parquet_scan parquet_metadata parquet_schema parquet_file_metadata parquet_kv_metadata csv_sniff sniff_csv glob "
     "reflect java_method try_reflect read_files python_worker_logs input_file_name read_kafka".split()
 )
+#: Groups of built-in functions that statements may call; of the rest only PLAIN. What no registry knows is refused.
+FUNCTION_GROUPS = frozenset(
+    "agg_funcs array_funcs bitwise_funcs collection_funcs conditional_funcs conversion_funcs datetime_funcs generator_funcs hash_funcs json_funcs lambda_funcs "
+    "map_funcs math_funcs predicate_funcs string_funcs struct_funcs url_funcs variant_funcs window_funcs".split()
+)
+PLAIN = frozenset("typeof uuid equal_null".split())
+#: Table functions that statements may call.
+TABLE_FUNCTIONS = frozenset("range explode explode_outer posexplode posexplode_outer inline inline_outer stack json_tuple variant_explode variant_explode_outer".split())
 #: Plan nodes of plain queries; anything else fails closed.
 ALLOWED_NODES = frozenset(
     "Project Filter Aggregate Join Sort GlobalLimit LocalLimit Offset Distinct SubqueryAlias UnresolvedRelation UnresolvedSubqueryColumnAliases "
@@ -70,6 +78,16 @@ def _functions(e):
         yield from _functions(c)
 
 
+def allowed(spark: SparkSession, name: str, own: frozenset[str] = frozenset()) -> bool:
+    """Whether a statement may call a function: one of ``own``, or a built-in of an allowed group."""
+    n = name.lower()
+    if n in own or n in PLAIN:
+        return n not in FORBIDDEN
+    jvm = spark._jvm
+    known = jvm.org.apache.spark.sql.catalyst.analysis.FunctionRegistry.builtin().lookupFunction(jvm.org.apache.spark.sql.catalyst.FunctionIdentifier(n))
+    return n not in FORBIDDEN and known.isDefined() and known.get().getGroup() in FUNCTION_GROUPS
+
+
 def parse(spark: SparkSession, sql: str):
     try:
         return spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
@@ -77,8 +95,9 @@ def parse(spark: SparkSession, sql: str):
         raise Refused(f"not a statement: {str(x).splitlines()[0]}") from None
 
 
-def inspect(spark: SparkSession, sql: str) -> tuple[set[str], set[str]]:
-    """The relations (lower-cased) and table functions of a plain query; refuses everything else."""
+def inspect(spark: SparkSession, sql: str, own: frozenset[str] = frozenset()) -> tuple[set[str], set[str]]:
+    """The relations (lower-cased) and table functions of a plain query; refuses everything else. ``own`` names
+    registered functions that may be called beside the built-in ones."""
     if not sql.strip().rstrip(";").strip():
         raise Refused("empty statement")
     tables, tvfs, ctes = set(), set(), set()
@@ -97,9 +116,9 @@ def inspect(spark: SparkSession, sql: str) -> tuple[set[str], set[str]]:
             tvfs.add(".".join(_seq(p.name())).lower())
         for e in _seq(p.expressions()):
             for name in _functions(e):
-                if len(name) != 1 or name[0].lower() in FORBIDDEN:
+                if len(name) != 1 or not allowed(spark, name[0], own):
                     raise Refused(f"function {'.'.join(name)} is not allowed")
-    if bad := tvfs & FORBIDDEN:
+    if bad := tvfs - TABLE_FUNCTIONS:
         raise Refused(f"function {sorted(bad)[0]} is not allowed")
     return tables - ctes, tvfs
 
@@ -148,17 +167,20 @@ class TenantSql:
     only see the tenant's rows. ``search(text, k, tenant)`` gives the hits as a DataFrame.
     """
 
-    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], search: Callable[[str, int, str], DataFrame] | None = None, state: DataFrame | None = None, max_rows: int = 10_000):
-        self.spark, self.tables, self.search, self.state, self.max_rows = spark, tables, search, state, max_rows
+    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], search: Callable[[str, int, str], DataFrame] | None = None, state: DataFrame | None = None, max_rows: int = 10_000, functions: frozenset[str] = frozenset()):
+        self.spark, self.tables, self.search, self.state, self.max_rows, self.functions = spark, tables, search, state, max_rows, functions
 
     def query(self, sql: str, tenant: str, max_rows: int | None = None) -> DataFrame:
         """The statement's rows, at most ``max_rows``, as this tenant sees them."""
         own = self.spark.newSession()
         views: set[str] = set()
 
+        def adopted(df: DataFrame) -> DataFrame:
+            """The plan of ``df`` in the statement's session: nothing is computed or collected for that."""
+            return DataFrame(own._jvm.org.apache.spark.sql.classic.Dataset.ofRows(own._jsparkSession, df._jdf.queryExecution().logical()), own)
+
         def view(df: DataFrame, name: str) -> str:
-            own_df = own.createDataFrame(df.collect(), df.schema) if df.sparkSession is not own else df
-            own_df.createOrReplaceTempView(name)
+            adopted(df).createOrReplaceTempView(name)
             views.add(name)
             return name
 
@@ -175,12 +197,11 @@ class TenantSql:
             return view(found, f"state_{uuid.uuid4().hex}")
 
         text = dialect(STATE.sub(state, SEARCH.sub(hits, sql)))
-        names, _ = inspect(self.spark, text)
+        names, _ = inspect(self.spark, text, self.functions)
         if unknown := names - set(self.tables) - views:
             raise Refused(f"unknown table {sorted(unknown)[0]}")
         for name in names & set(self.tables):
-            plan = self.tables[name].filter(F.col("tenant_id") == tenant)
-            DataFrame(own._jvm.org.apache.spark.sql.classic.Dataset.ofRows(own._jsparkSession, plan._jdf.queryExecution().logical()), own).createOrReplaceTempView(name)
+            adopted(self.tables[name].filter(F.col("tenant_id") == tenant)).createOrReplaceTempView(name)
         return own.sql(text).limit(self.max_rows if max_rows is None else max_rows)
 
 
@@ -198,28 +219,42 @@ def within(df: DataFrame, seconds: float, action: Callable[[DataFrame], object]
 
 
 class MaterializedViews:
-    """Named results of plain queries, fully recomputed at each refresh, as Parquet under one folder."""
+    """Named results of plain queries, fully recomputed at each refresh, as Parquet under one folder, where their
+    statements are kept too: another session finds them there."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder, self.sql = spark, folder, {}
+        self.spark, self.folder = spark, folder
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        self.fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _path(self, *parts: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.folder, *parts]))
 
     def create(self, name: str, sql: str) -> DataFrame:
         if not re.fullmatch(r"[A-Za-z0-9_]+", name):
             raise Refused(f"bad view name {name}")
         inspect(self.spark, sql)
-        self.sql[name] = sql
+        self.spark.createDataFrame([(sql.replace("\n", " "),)], "sql string").coalesce(1).write.mode("overwrite").text(f"{self.folder}/mv_{name}/statement")
         return self.refresh(name)
 
+    def statement(self, name: str) -> str:
+        if name not in self.list():
+            raise Refused(f"no view {name}")
+        return self.spark.read.text(f"{self.folder}/mv_{name}/statement").first().value
+
     def refresh(self, name: str) -> DataFrame:
         path = f"{self.folder}/mv_{name}/{uuid.uuid4().hex}"
-        self.spark.sql(self.sql[name]).write.parquet(path)
+        self.spark.sql(self.statement(name)).write.parquet(path)
         df = self.spark.read.parquet(path)
         df.createOrReplaceTempView(f"mv_{name}")
         return df
 
     def drop(self, name: str) -> None:
-        self.sql.pop(name)
+        self.statement(name)
+        self.fs.delete(self._path(f"mv_{name}"), True)
         self.spark.catalog.dropTempView(f"mv_{name}")
 
     def list(self) -> list[str]:
-        return sorted(self.sql)
+        if not self.fs.exists(self._path()):
+            return []
+        return sorted(n[3:] for x in self.fs.listStatus(self._path()) if (n := x.getPath().getName()).startswith("mv_"))

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from memlake.functions.scalars import json_text, parse_ts
+from memlake.operators import events as ev
 from memlake.operators import state as st
 from memlake.operators.joins import as_of_join, wildcard_match
 from memlake.operators.retrieval import nearest_rank
 from memlake.plans.sql_guard import TenantSql
-from memlake.queries.registry import MIDDLE, NOW, Registry, instant, load, us
+from memlake.queries.registry import MIDDLE, NOW, NOW_US, Registry, instant, load, us
 from memlake.sources import ingest, sinks
 
 query = Registry()
@@ -44,42 +45,45 @@ def q05_cross_store_sql(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select distinct source from episodic")
 def q12_sources(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "episodic").select("source").distinct().orderBy("source")
+    return ev.sources(load(spark, d, "episodic"))
 
 
-@query("select tenant_id, user_id, agent_id, session_id, count(*)::bigint as n from memories where state = 'active' group by all")
+@query("select user_id, agent_id, session_id, count(*)::bigint as n from memories where state = 'active' group by all order by n desc, user_id nulls first, agent_id nulls first, session_id nulls first limit 10000")
 def q12_scopes(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "memories").filter("state = 'active'").groupBy("tenant_id", "user_id", "agent_id", "session_id").agg(F.count(F.lit(1)).alias("n"))
+    return ev.scopes(load(spark, d, "memories"))
 
 
-@query("select id, source, epoch_us(ts) as ts from episodic where source = 'billing-bot' and event_type like 'ticket.%' order by ts desc, id limit 500")
+@query("select distinct agent_id[3:] as agent_id from (select 'a-' || agent_id as agent_id from sessions where agent_id is not null)")
+def q12_agents(spark: SparkSession, d: str) -> DataFrame:
+    state = load(spark, d, "sessions").filter("agent_id is not null").select(F.concat(F.lit("a-"), "agent_id").alias("agent_id"))
+    return ev.agents(state, "a-")
+
+
+@query(f"select id, source, epoch_us(ts) as ts from episodic where source = 'billing-bot' and event_type like 'ticket.%' and ts >= timestamp '2018-01-03' order by ts desc, id limit 500")
 def q13_event_builder(spark: SparkSession, d: str) -> DataFrame:
-    e = load(spark, d, "episodic").filter((F.col("source") == "billing-bot") & F.col("event_type").startswith("ticket."))
-    return e.orderBy(F.desc("ts"), "id").limit(500).select("id", "source", us("ts"))
+    built = ev.EventQuery().source("billing-bot").event_type("ticket.*").since(instant("2018-01-03")).order_by("ts").limit(500)
+    return built.over(load(spark, d, "episodic")).select("id", "source", us("ts"))
 
 
 @query(f"select id, epoch_us(ts) as ts, event_type from episodic where ts >= timestamp '2018-01-05' and ts <= timestamp '{MIDDLE}'")
 def f02_time_range(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "episodic").filter(F.col("ts").between(instant("2018-01-05"), instant(MIDDLE))).orderBy("ts").select("id", us("ts"), "event_type")
+    return ev.in_time_range(load(spark, d, "episodic"), instant("2018-01-05"), instant(MIDDLE)).select("id", us("ts"), "event_type")
 
 
 @query("select id, epoch_us(ts) as ts from episodic where source = 'desk-assistant' order by ts desc, id limit 100")
 def f03_by_source(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "episodic").filter("source = 'desk-assistant'").orderBy(F.desc("ts"), "id").limit(100).select("id", us("ts"))
+    return ev.of_source(load(spark, d, "episodic"), "desk-assistant", 100).select("id", us("ts"))
 
 
 @query(f"select id, epoch_us(ts) as ts from episodic where tenant_id = '{TENANT}' order by ts, id limit 10000")
 def f05_by_tenant(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "episodic").filter(F.col("tenant_id") == TENANT).orderBy("ts", "id").limit(10_000).select("id", us("ts"))
+    return ev.of_tenant(load(spark, d, "episodic"), TENANT, 10_000).select("id", us("ts"))
 
 
-@query("""select m.id as memory_id, e.id as event_id, epoch_us(e.ts) as ts from (select id, tenant_id, unnest(source_event_ids) as eid from memories) m
-join episodic e on e.id = m.eid and e.tenant_id = m.tenant_id""")
+@query(f"select id, epoch_us(ts) as ts from episodic where tenant_id = '{TENANT}' and id in (select unnest(source_event_ids) from memories)")
 def f04_events_by_ids(spark: SparkSession, d: str) -> DataFrame:
-    from memlake.operators.memory import provenance
-
-    p = provenance(load(spark, d, "memories"), load(spark, d, "episodic"))
-    return p.select("memory_id", "event_id", us("ts"))
+    ids = load(spark, d, "memories").select(F.explode("source_event_ids").alias("id"))
+    return ev.of_ids(load(spark, d, "episodic"), ids, TENANT).select("id", us("ts"))
 
 
 @query(f"""select epoch_us("timestamp") as at, identity, path, status from audit_log where "timestamp" >= timestamp '{MIDDLE}' and tenant = 'dunlin' order by "timestamp" desc, identity, path limit 1000""")
@@ -87,13 +91,11 @@ def f15_audit_since(spark: SparkSession, d: str) -> DataFrame:
     return st.audit_since(load(spark, d, "audit_log"), instant(MIDDLE), "dunlin").select(us("timestamp", "at"), "identity", "path", "status")
 
 
-@query("""select id, case when status_code >= 400 then 'bad' else 'ok' end as verdict, path from (
-  select row_number() over (order by "timestamp", identity, path, method, status, duration_ms, tenant, ip) as id, status as status_code, path, method, duration_ms from audit_log) t
+@query("""select identity, case when status_code >= 400 then 'bad' else 'ok' end as verdict, path from (select identity, status as status_code, path, method, duration_ms from audit_log) t
 where method in ('GET', 'POST') and duration_ms between 5 and 50 and path like '/v1/%' and status_code in (select distinct status from audit_log where status >= 400)""")
 def f16_arbitrary_sql(spark: SparkSession, d: str) -> DataFrame:
     load(spark, d, "audit_log").createOrReplaceTempView("audit_view")
-    return spark.sql("""select id, case when status_code >= 400 then 'bad' else 'ok' end as verdict, path from (
-      select cast(row_number() over (order by `timestamp` nulls last, identity nulls last, path nulls last, method nulls last, status nulls last, duration_ms nulls last, tenant nulls last, ip nulls last) as bigint) as id, status as status_code, path, method, duration_ms from audit_view) t
+    return spark.sql("""select identity, case when status_code >= 400 then 'bad' else 'ok' end as verdict, path from (select identity, status as status_code, path, method, duration_ms from audit_view) t
     where method in ('GET', 'POST') and duration_ms between 5 and 50 and path like '/v1/%' and status_code in (select distinct status from audit_view where status >= 400)""")
 
 
@@ -106,12 +108,15 @@ def e03_idempotent_append(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""with v as (select event_id, case event_type when 'signup' then 'github' when 'error' then 'sentry' when 'click' then 'slack' when 'view' then 'pagerduty' else 'shop' end as vendor,
-  event_id % 4 as kind, user_id from events)
-select event_id,
+  event_id % 4 as kind, user_id from events),
+b as (select *, case vendor when 'github' then '{"action":"opened","repository":{"full_name":"org/r' || user_id || '"}' || case kind when 0 then ',"pull_request":{"n":1}' when 1 then ',"issue":{"n":1}' when 2 then ',"commits":[]' else '' end || '}' else '{"action":"opened"}' end as raw from v)
+select event_id, case vendor when 'github' then '{"action":"opened","repository":"org/r' || user_id || '","sender":"unknown","raw":' || raw || '}'
+    when 'sentry' then '{"project":"p' || user_id || '","title":"","level":"error","action":"opened"}' when 'slack' then '{"channel":"c' || user_id || '","user":"unknown","text":"hi"}'
+    when 'pagerduty' then '{"service":"s' || user_id || '","title":"","event_type":"incident.trigger"}' else raw end as payload,
   case vendor when 'github' then 'github/org/r' || user_id when 'sentry' then 'sentry/p' || user_id when 'slack' then 'slack/c' || user_id when 'pagerduty' then 'pagerduty/s' || user_id else 'shop' end as source,
   case vendor when 'github' then case kind when 0 then 'pull_request.opened' when 1 then 'issue.opened' when 2 then 'push' else 'github.opened' end
     when 'sentry' then 'issue.opened' when 'slack' then 'message' when 'pagerduty' then 'incident.trigger' else 'opened' end as event_type
-from v""")
+from b""")
 def e10_webhooks(spark: SparkSession, d: str) -> DataFrame:
     v = F.when(F.col("event_type") == "signup", "github").when(F.col("event_type") == "error", "sentry").when(F.col("event_type") == "click", "slack").when(F.col("event_type") == "view", "pagerduty").otherwise("shop")
     extra = F.element_at(F.array(F.lit(',"pull_request":{"n":1}'), F.lit(',"issue":{"n":1}'), F.lit(',"commits":[]'), F.lit("")), (F.col("event_id") % 4 + 1).cast("int"))
@@ -124,7 +129,7 @@ def e10_webhooks(spark: SparkSession, d: str) -> DataFrame:
         .otherwise(F.lit('{"action":"opened"}'))
     )
     raw = load(spark, d, "events").select("event_id", v.alias("vendor"), body.alias("body"))
-    return ingest.webhook_events(raw).select("event_id", "source", "event_type")
+    return ingest.webhook_events(raw).select("event_id", "source", "event_type", "payload")
 
 
 @query()
@@ -137,12 +142,16 @@ def e13_unembedded(spark: SparkSession, d: str) -> DataFrame:
     return ingest.unembedded(load(spark, d, "episodic")).select("id", us("ts"))
 
 
-@query(r"""with p as (select session_id, unnest(list_filter(regexp_split_to_array(summary || chr(10) || chr(10) || summary, '\n\s*\n'), lambda x: trim(x) <> '')) as c from (select distinct session_id, summary from sessions) where summary <> '')
-select session_id as id, count(*)::bigint as n, max(length(trim(c)))::bigint as longest from p where length(trim(c)) >= 5 group by 1""")
+@query(r"""with t as (select distinct session_id, summary || chr(10) || chr(10) || agent_id || chr(10) || ' ' || chr(10) || summary || chr(10) || chr(10) || session_id || '!' as t from sessions where summary <> ''),
+p as (select session_id, list_filter(list_transform(regexp_split_to_array(t, '\n\s*\n'), lambda x: trim(x)), lambda x: x <> '') as p from t),
+c as (select session_id, string_split(list_reduce(p, lambda a, x: case when length(string_split(a, chr(1))[-1]) + length(x) + 2 <= 40 then a || chr(10) || chr(10) || x else a || chr(1) || x end), chr(1)) as c from p),
+k as (select session_id, list_filter(c, lambda x: length(x) >= 14) as c from c)
+select session_id as id, (i - 1)::int as index, len(c)::int as total, c[i] as chunk from (select *, unnest(range(1, len(c) + 1)) as i from k)""")
 def e25_chunks(spark: SparkSession, d: str) -> DataFrame:
-    s = load(spark, d, "sessions").select("session_id", "summary").distinct().filter("summary <> ''")
-    c = ingest.chunks(s.select("session_id", F.concat_ws("\n\n", "summary", "summary").alias("text")), "session_id", "text", 1, 5)
-    return c.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.max(F.length("chunk")).cast("bigint").alias("longest"))
+    """Four paragraphs of each session, packed to chunks of 40 characters; those under 14 are dropped."""
+    s = load(spark, d, "sessions").filter("summary <> ''").select("session_id", "summary", "agent_id").distinct()
+    text = F.concat("summary", F.lit("\n\n"), "agent_id", F.lit("\n \n"), "summary", F.lit("\n\n"), "session_id", F.lit("!"))
+    return ingest.chunks(s.select("session_id", text.alias("text")).filter("text is not null"), "session_id", "text", 40, 14)
 
 
 @query("select id, epoch_us(ts) as ts from episodic where contains(payload, 'retry after')")
@@ -282,6 +291,31 @@ def t05_state(spark: SparkSession, d: str) -> DataFrame:
     return st.fold_state(log).select("agent_id", "key", "value", "version")
 
 
+@query(f"""with l as (select id, tenant_id as agent_id, event_type as key, payload as value, epoch_us(ts) as a from (select distinct id, tenant_id, event_type, payload, ts from episodic)),
+t as (select agent_id, key, max_by(value, (a, id)) as value, count(*)::bigint as version, max(a) as a from l group by 1, 2)
+select agent_id, key, value, version, case when a % 3 = 0 then a + 30 * 86400000000 end as expires_at from t where a % 3 <> 0 or a + 30 * 86400000000 > {NOW_US}""")
+def t06_ttl(spark: SparkSession, d: str) -> DataFrame:
+    """A third of the writes live for thirty days; what has not expired by now."""
+    at = F.unix_micros("ts")
+    e = load(spark, d, "episodic").select("id", "tenant_id", "event_type", "payload", "ts").distinct()
+    log = e.select(F.col("tenant_id").alias("agent_id"), F.col("event_type").alias("key"), F.when(at % 3 == 0, "set_ttl").otherwise("set").alias("op"), F.col("payload").alias("value"), F.lit(None).cast("bigint").alias("expected"), F.lit(30 * 86_400_000_000).alias("ttl_us"), at.alias("at"), F.col("id").alias("seq"))
+    return st.fold_state(log, F.lit(NOW_US)).select("agent_id", "key", "value", "version", "expires_at")
+
+
+@query("""with recursive l as (select id, tenant_id as agent_id, event_type as key, payload as value, epoch_us(ts) % 5 as m, row_number() over (partition by tenant_id, event_type order by ts, id) as k from (select distinct id, tenant_id, event_type, payload, ts from episodic)),
+r(agent_id, key, k, version, value, applied) as (select agent_id, key, 0, 0::bigint, null::varchar, 0::bigint from (select distinct agent_id, key from l)
+  union all select r.agent_id, r.key, l.k, case when m = 0 then 0 when m = 1 and version <> 1 then version else version + 1 end, case when m = 0 then null when m = 1 and version <> 1 then r.value else l.value end, applied + (m = 1 and version = 1)::int
+  from r join l on r.agent_id is not distinct from l.agent_id and r.key is not distinct from l.key and l.k = r.k + 1)
+select agent_id, key, value, version, applied from r qualify row_number() over (partition by agent_id, key order by k desc) = 1 and version > 0""")
+def t05_compare_and_set(spark: SparkSession, d: str) -> DataFrame:
+    """A fifth of the events delete, a fifth write only on version 1, the rest write."""
+    e = load(spark, d, "episodic").select("id", "tenant_id", "event_type", "payload", "ts").distinct()
+    at = F.unix_micros("ts")
+    op = F.when(at % 5 == 0, "delete").when(at % 5 == 1, "cas").otherwise("set")
+    log = e.select(F.col("tenant_id").alias("agent_id"), F.col("event_type").alias("key"), op.alias("op"), F.col("payload").alias("value"), F.lit(1).cast("bigint").alias("expected"), F.lit(None).cast("bigint").alias("ttl_us"), at.alias("at"), F.col("id").alias("seq"))
+    return st.replay_state(log).select("agent_id", "key", "value", "version", "applied")
+
+
 @query("select session_id, epoch_us(started_at) as started_at from (select distinct * from sessions) where agent_id = 'triage-agent-01' order by started_at desc, session_id limit 50")
 def t10_sessions(spark: SparkSession, d: str) -> DataFrame:
     return st.session_list(load(spark, d, "sessions").distinct(), "triage-agent-01", 50).select("session_id", us("started_at"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memlake.functions.scalars import cosine, recency
-from memlake.functions.text import normalize_subject, token_f1, tokenize
+from memlake.functions.text import STOP_WORDS, normalize_subject, token_f1, tokenize
 from memlake.operators import graph as g
 from memlake.operators import memory as m
 from memlake.operators import retrieval as r
@@ -16,7 +16,7 @@ from memlake.operators.state import by_prefix as state_by_prefix
 from memlake.plans.shared import written
 from memlake.queries.registry import MIDDLE, NOW, NOW_US, Registry, instant, load, us
 from memlake.sources import sinks
-from memlake.streaming.pipelines import change_stream
+from memlake.streaming.pipelines import change_stream, watch
 
 query = Registry()
 TENANT = "larkfield"
@@ -26,7 +26,7 @@ ASK = "keyboard layout of the billing agents"
 
 # Memories in SQL: rows sent twice come once, terms are split, stopped and stemmed as in the library.
 _ONCE = "(select distinct on (id) * from memories)"
-_STOP = ", ".join(f"'{w}'" for w in ("a an and are as at be been being but by did do does for from had has have he her here him his how i if in into is it its me my of on or our she so than that the their them then there they this to up us was we were what when where which who why will with would you your").split())
+_STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
 _STEM = """case when not regexp_full_match(w, '[\\x00-\\x7F]*') then w when length(w) > 4 and w like '%ing' then w[:-4] when length(w) > 3 and w like '%ies' then w[:-4] || 'y'
  when length(w) > 3 and w like '%ed' then w[:-3] when length(w) > 3 and w like '%s' and w not like '%ss' and w not like '%us' then w[:-2] else w end"""
 
@@ -125,9 +125,9 @@ def v06_upsert_delete(spark: SparkSession, d: str) -> DataFrame:
 
 
 # --- lexical and hybrid --------------------------------------------------------------------------------------------
-@query(rf"select id, array_to_string({_terms('content')}, ' ') as terms from {_ONCE} where content is not null and not regexp_matches(content, '\p{{M}}')")
+@query(rf"select id, array_to_string({_terms('content')}, ' ') as terms from {_ONCE} where content is not null")
 def h01_tokenize(spark: SparkSession, d: str) -> DataFrame:
-    return memories(spark, d).filter(r"content is not null and not content rlike '\\p{M}'").select("id", F.array_join(tokenize(F.col("content")), " ").alias("terms"))
+    return memories(spark, d).filter("content is not null").select("id", F.array_join(tokenize(F.col("content")), " ").alias("terms"))
 
 
 def _bm25_sql(cand: str, ask: str) -> str:
@@ -167,32 +167,88 @@ def h06_hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     return hits.select("id", F.round("score", 9).alias("score"))
 
 
-@query(f"""with {_bm25_sql(_CAND, 'reports for the triage hub')},
-e as (select *, row_number() over (order by weight desc, id) as place from (select distinct on (id) * from memory_edges) where tenant_id = '{TENANT}' and state = 'active' and source_memory_id is not null),
-hit as (select source_memory_id as id, min(place) as place from e where place <= 2048 and (list_has_any({_terms('src')}, (select list(term) from q)) or list_has_any({_terms('dst')}, (select list(term) from q))) group by 1),
-gr as (select id, place from hit where id in (select id from c)),
+# Candidates are far fewer than the scope here, so that the graph arm has to find memories beyond them.
+_FEW = f"select id, content, importance, updated_at from {_ONCE} where tenant_id = '{TENANT}' and state = 'active' order by importance desc, valid_from desc, id limit 60"
+
+
+@query(f"""with {_bm25_sql(_FEW, 'reports for the triage hub')},
+e as (select *, row_number() over (order by weight desc, id) as place from (select distinct on (id) * from memory_edges) where tenant_id = '{TENANT}' and state = 'active'),
+hit as (select source_memory_id as id, min(place) as place from e where place <= 2048 and source_memory_id is not null and (list_has_any({_terms('src')}, (select list(term) from q)) or list_has_any({_terms('dst')}, (select list(term) from q))) group by 1),
+gr as (select id, place from hit where id in (select id from {_ONCE} where tenant_id = '{TENANT}' and state = 'active')),
 arms as (select id, 1.0 / (60.0 + row_number() over (order by score desc, id)) as w from lex union all select id, 1.0 / (60.0 + row_number() over (order by place, id)) from gr)
 select id, round(sum(w), 9) as rrf from arms group by id""")
 def h07_graph_arm(spark: SparkSession, d: str) -> DataFrame:
     ask = "reports for the triage hub"
-    cand = r.list_active(memories(spark, d, TENANT), F.col("tenant_id") == TENANT, 2048)
-    own = edges(spark, d).filter(F.col("tenant_id") == TENANT)
-    arms = [r.ranked(r.bm25(cand, ask), [F.desc("score"), F.col("id")]), r.ranked(r.graph_arm(own, cand, ask, 2048), [F.col("first"), F.col("id")])]
+    live = memories(spark, d, TENANT).filter("state = 'active'")
+    cand = r.list_active(live, F.lit(True), 60)
+    arms = [r.ranked(r.bm25(cand, ask), [F.desc("score"), F.col("id")]), r.ranked(r.graph_arm(edges(spark, d), live, ask, 2048, TENANT), [F.col("first"), F.col("id")])]
     return r.rrf(arms).select("id", F.round("rrf", 9).alias("rrf"))
 
 
-@query("""with f as (select a.id, len(list_filter(regexp_split_to_array(a.content, '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) as n from (select distinct on (id) * from memories) a)
-select id, 1.0::double as f1 from f where n > 0""")
+_ASKED = "select item_id as qid, text as query, embedding as q from eval_items join embeddings on vec_id = item_id % 500"
+_LIVE = f"select id, content, importance, valid_from, updated_at, embedding from {_ONCE} where tenant_id = '{TENANT}' and state = 'active'"
+_BLEND = f"(1.0 + 0.3 * importance + 0.2 * pow(0.5, greatest(floor(({NOW_US} - epoch_us(updated_at)) / 1000000), 0) / 86400.0 / 30.0))"
+_BATCH_LEX = f"""live as ({_LIVE}), asked as ({_ASKED}), c as (select id, {_terms('content')} as ts from live order by importance desc, valid_from desc, id limit 2048),
+s as (select count(*)::double as n, greatest(avg(len(ts)), 1.0) as avgdl from c), q as (select distinct qid, unnest({_terms('query')}) as term from asked),
+p as (select id, len(ts)::double as dl, unnest(ts) as term from c), f as (select id, dl, term, count(*)::double as tf from p group by all), df as (select term, count(*)::double as nq from f group by 1),
+lex as (select qid, id, sum(ln((n - nq + 0.5) / (nq + 0.5) + 1.0) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) as score from q join f using (term) join df using (term), s group by 1, 2)"""
+
+
+@query(f"""with {_BATCH_LEX},
+near as (select qid, id, {_COS} as s from live, asked where len(embedding) = 64 and list_dot_product(embedding::double[], embedding::double[]) > 0 and not list_bool_or(list_transform(embedding, lambda x: isnan(x) or isinf(x)))
+  qualify row_number() over (partition by qid order by s desc, id) <= 50),
+arms as (select qid, id, 1.0 / (60.0 + row_number() over (partition by qid order by round(score, 12) desc, id)) as w from lex union all select qid, id, 1.0 / (60.0 + row_number() over (partition by qid order by s desc, id)) from near),
+fused as (select qid, id, sum(w) as rrf from arms group by 1, 2 qualify row_number() over (partition by qid order by rrf desc, id) <= 50),
+best as (select qid, id, rrf * {_BLEND} as score from fused join live using (id))
+select qid, id, round(score, 9) as score from best qualify row_number() over (partition by qid order by score desc, id) <= 10""")
+def h06_hybrid_batch(spark: SparkSession, d: str) -> DataFrame:
+    """Every evaluation item as a question, all at once."""
+    vec = load(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    asked = load(spark, d, "eval_items").join(vec, F.col("item_id") % 500 == F.col("vec_id")).select(F.col("item_id").alias("qid"), F.col("text").alias("query"), "vector")
+    mem = memories(spark, d, TENANT).withColumn("updated_us", F.unix_micros("updated_at"))
+    return r.memory_search_batch(mem, F.col("tenant_id") == TENANT, asked, 10, NOW_US).select("qid", "id", F.round("score", 9).alias("score"))
+
+
+@query(f"""with {_bm25_sql(_CAND, ASK)},
+fused as (select id, 1.0 / (60.0 + row_number() over (order by score desc, id)) as rrf from lex order by rrf desc, id limit 50),
+hits as (select id, content, pow(0.5, greatest(floor(({NOW_US} - epoch_us(updated_at)) / 1000000), 0) / 86400.0 / 30.0) as fresh from fused join {_ONCE} using (id))
+select id, round(length(content) * (1.0 + 0.1 * fresh), 6) as score from hits order by length(content) * (1.0 + 0.1 * fresh) desc, id limit 10""")
+def h08_rerank(spark: SparkSession, d: str) -> DataFrame:
+    """A second stage that takes the length of a text for its relevance."""
+    mem = memories(spark, d, TENANT).withColumn("updated_us", F.unix_micros("updated_at"))
+    hits = r.memory_search(mem, F.col("tenant_id") == TENANT, ASK, 10, NOW_US, rerank=lambda _, texts: [float(len(t)) for t in texts])
+    return hits.select("id", F.round("score", 6).alias("score"))
+
+
+_WORDS = "list_filter(list_transform(regexp_split_to_array({0}, '[^\\p{{L}}\\p{{N}}]+'), lambda x: lower(x)), lambda x: x <> '')"
+
+
+@query(f"""with p as (select a.id, {_WORDS.format('a.content')} as p, {_WORDS.format('b.content')} as g from {_ONCE} a join {_ONCE} b on b.id = a.supersedes where a.content is not null and b.content is not null),
+c as (select id, len(p) as np, len(g) as ng, coalesce(list_sum(list_transform(list_distinct(p), lambda t: least(len(list_filter(p, lambda x: x = t)), len(list_filter(g, lambda x: x = t))))), 0) as c from p)
+select id, round(case when np = 0 and ng = 0 then 1.0 when np = 0 or ng = 0 or c = 0 then 0.0 else 2 * (c / np) * (c / ng) / (c / np + c / ng) end, 9) as f1 from c""")
 def h12_token_f1(spark: SparkSession, d: str) -> DataFrame:
-    a = memories(spark, d).select("id", token_f1(F.col("content"), F.col("content")).alias("f1"), F.size(F.filter(F.split("content", r"[^\p{L}\p{N}]+"), lambda x: x != "")).alias("n"))
-    return a.filter("n > 0").select("id", "f1")
+    """Each memory's text against that of the memory it superseded."""
+    a = memories(spark, d).filter("content is not null")
+    old = a.select(F.col("id").alias("supersedes"), F.col("content").alias("before"))
+    return a.join(old, "supersedes").select("id", F.round(token_f1(F.col("content"), F.col("before")), 9).alias("f1"))
+
+
+_SUBJECTS = f"select distinct {_NORM.format('subject')} as query from {_ONCE} where tenant_id = '{TENANT}' and subject is not null and trim(subject) <> ''"
 
 
-@query("""with x as (select doc_id, case when doc_id % 7 = 0 then null else doc_id % 7 end as rank from documents)
-select round(avg(coalesce((rank <= 1)::int, 0)), 9) as r1, round(avg(coalesce((rank <= 3)::int, 0)), 9) as r3, round(avg(coalesce((rank <= 5)::int, 0)), 9) as r5, round(avg(coalesce(1.0 / rank, 0)), 9) as mrr from x""")
+@query(f"""with asked as ({_SUBJECTS}), c as (select id, content, {_terms('content')} as ts from {_ONCE}), s as (select count(*)::double as n, greatest(avg(coalesce(len(ts), -1)), 1.0) as avgdl from c),
+q as (select distinct query as qid, unnest({_terms('query')}) as term from asked), p as (select id, len(ts)::double as dl, unnest(ts) as term from c), f as (select id, dl, term, count(*)::double as tf from p group by all), df as (select term, count(*)::double as nq from f group by 1),
+lex as (select qid, id, sum(ln((n - nq + 0.5) / (nq + 0.5) + 1.0) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) as score from q join f using (term) join df using (term), s group by 1, 2),
+hits as (select qid, id, row_number() over (partition by qid order by round(score, 12) desc, id) as rank from lex qualify rank <= 10),
+k as (select query as qid, min(rank) as rank from asked left join (select qid, rank, content from hits join c using (id)) h on h.qid = query and contains(lower(h.content), lower(regexp_extract(query, '[^ ]+$'))) group by 1)
+select round(avg(coalesce((rank <= 1)::int, 0)), 9) as r1, round(avg(coalesce((rank <= 3)::int, 0)), 9) as r3, round(avg(coalesce((rank <= 5)::int, 0)), 9) as r5, round(avg(coalesce(1.0 / rank, 0)), 9) as mrr from k""")
 def h12_recall(spark: SparkSession, d: str) -> DataFrame:
-    ranks = load(spark, d, "documents").select(F.when(F.col("doc_id") % 7 != 0, F.col("doc_id") % 7).alias("rank"))
-    return r.retrieval_metrics(ranks).select(*[F.round(c, 9).alias(c) for c in ("r1", "r3", "r5", "mrr")])
+    """Every subject of the tenant as a question to all memories; expected is a text that holds the subject's last word."""
+    mem = memories(spark, d)
+    asked = mem.filter((F.col("tenant_id") == TENANT) & (F.trim("subject") != "")).select(normalize_subject(F.col("subject")).alias("query")).distinct()
+    hits = r.bm25_batch(mem, asked.select(F.col("query").alias("qid"), "query"), k=10).join(mem.select("id", "content"), "id")
+    gold = asked.select(F.col("query").alias("qid"), F.regexp_extract("query", "[^ ]+$", 0).alias("expected"))
+    return r.retrieval_metrics(r.first_hit(hits, gold)).select(*[F.round(c, 9).alias(c) for c in ("r1", "r3", "r5", "mrr")])
 
 
 @query(f"""select id, round(pow(0.5, greatest(floor(({NOW_US} - epoch_us(updated_at)) / 1000000), 0) / 86400.0 / 30.0), 9) as fresh from {_ONCE}""")
@@ -224,14 +280,42 @@ def b02_contradiction_fold(spark: SparkSession, d: str) -> DataFrame:
     return m.fold_contradictions(e, ["user_id", "event_type"], "content", "t", "event_id").select("user_id", "event_type", "island", "content", "version", "valid_from", "valid_to", "state", "supersedes")
 
 
-@query(f"""with a as (select tenant_id, user_id, agent_id, session_id, {_NORM.format('subject')} as j, valid_from, id, trim(content) as t from {_ONCE} where state = 'active' and subject is not null),
-n as (select id as new_id, tenant_id, user_id, agent_id, session_id, {_NORM.format('subject')} as j, trim(content) as t from {_ONCE} where state = 'superseded'),
-h as (select new_id, max(case when a.t = n.t then (a.valid_from, a.id) end) as same, max((a.valid_from, a.id)) as newest from n left join a on n.j = a.j
-  and n.tenant_id = a.tenant_id and n.user_id is not distinct from a.user_id and n.agent_id is not distinct from a.agent_id and n.session_id is not distinct from a.session_id group by 1)
-select new_id, count(*)::bigint as n from h group by 1""")
-def b02_plan_additions(spark: SparkSession, d: str) -> DataFrame:
+# What adding every superseded memory again, in order of its start, does to the active ones.
+_SAME = r"regexp_replace(content, '^[\s\x{00A0}\x{2000}-\x{200A}\x{3000}]+|[\s\x{00A0}\x{2000}-\x{200A}\x{3000}]+$', '', 'g')"
+_OF = "tenant_id, user_id, agent_id, session_id"
+_PLAN = f"""one as (select *, nullif({_NORM.format('subject')}, '') as j, {_SAME} as t from {_ONCE}),
+newest as (select {_OF}, j, max_by(id, (valid_from, id)) as nid, max_by(t, (valid_from, id)) as nt from one where state = 'active' and j is not null group by all),
+asked as (select n.*, a.nid, a.nt from (select * from one where state = 'superseded') n left join newest a on n.j = a.j and n.tenant_id = a.tenant_id and n.user_id is not distinct from a.user_id and n.agent_id is not distinct from a.agent_id and n.session_id is not distinct from a.session_id),
+w as (select *, row_number() over v as k, lag(t) over v as bt from asked window v as (partition by {_OF}, j, case when j is null then id end order by valid_from, id)),
+x as (select *, (k > 1 or nid is not null) as there, (k > 1 or nid is not null) and (t is not distinct from case when k = 1 then nt else bt end) as same from w),
+y as (select *, sum((not same)::int) over v as island, last_value(case when not same then id end ignore nulls) over v as own, last_value(case when not same then id end ignore nulls) over (partition by {_OF}, j, case when j is null then id end order by valid_from, id rows between unbounded preceding and 1 preceding) as former
+  from x window v as (partition by {_OF}, j, case when j is null then id end order by valid_from, id rows unbounded preceding)),
+plan as (select *, case when same then 'confirmed' when not there then 'inserted' else 'superseded' end as outcome, coalesce(former, nid) as target, coalesce(own, nid) as head from y)"""
+
+
+def _planned(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     mem = memories(spark, d)
-    return m.plan_additions(mem, mem.filter("state = 'superseded'"), instant(NOW)).groupBy("new_id").agg(F.count(F.lit(1)).alias("n"))
+    new = mem.filter("state = 'superseded'").withColumn("at", F.col("valid_from")).withColumn("seq", F.col("valid_from"))
+    new = new.select("id", *m.SCOPE, "subject", "content", "importance", "source_event_ids", "metadata", "mem_type", "embedding", "at", "seq")
+    return mem, m.additions(mem, new)
+
+
+@query(f"with {_PLAN} select id as new_id, outcome, target from plan")
+def b02_plan_additions(spark: SparkSession, d: str) -> DataFrame:
+    return _planned(spark, d)[1].select(F.col("id").alias("new_id"), "outcome", "target")
+
+
+@query(f"""with {_PLAN}, runs as (select {_OF}, j, case when j is null then id end as solo, island, head, min_by(outcome, (valid_from, id)) as outcome, min_by(target, (valid_from, id)) as target, min(valid_from) as began, max(valid_from) as seen, max(importance) as importance, count(*) as n from plan group by all),
+r as (select *, lead(began) over v as until, lead(outcome) over v as nxt from runs window v as (partition by {_OF}, j, case when j is null then head end order by island)),
+closing as (select {_OF}, j, min(began) as closing from r where outcome = 'superseded' group by all),
+made as (select head as id, importance, began as valid_from, case when nxt = 'superseded' then until end as valid_to, case when nxt = 'superseded' then 'superseded' else 'active' end as state, case when outcome = 'superseded' then target end as supersedes, n as version, case when nxt = 'superseded' then until else seen end as updated_at from r where outcome <> 'confirmed'),
+kept as (select head as id, n, importance, seen from r where outcome = 'confirmed' and island = 0 and j is not null),
+old as (select o.id, greatest(o.importance, coalesce(k.importance, o.importance)) as importance, o.valid_from, coalesce(c.closing, o.valid_to) as valid_to, case when c.closing is null then o.state else 'superseded' end as state, o.supersedes, o.version + coalesce(k.n, 0) as version, coalesce(c.closing, k.seen) as updated_at
+  from one o left join closing c on o.j = c.j and o.tenant_id = c.tenant_id and o.user_id is not distinct from c.user_id and o.agent_id is not distinct from c.agent_id and o.session_id is not distinct from c.session_id left join kept k on o.id = k.id where o.state = 'active' and (c.closing is not null or k.id is not null))
+select id, round(importance, 6) as importance, epoch_us(valid_from) as valid_from, epoch_us(valid_to) as valid_to, state, supersedes, version::bigint as version, epoch_us(updated_at) as updated_at from (select * from made union all by name select * from old)""")
+def b05_apply_rows(spark: SparkSession, d: str) -> DataFrame:
+    made = m.applied(*_planned(spark, d))
+    return made.select("id", F.round("importance", 6).alias("importance"), us("valid_from"), us("valid_to"), "state", "supersedes", F.col("version").cast("bigint").alias("version"), us("updated_at"))
 
 
 @query(f"""select id, epoch_us(valid_from) as valid_from from (select *, row_number() over (partition by tenant_id, user_id, agent_id, session_id, {_NORM.format('subject')} order by valid_from desc, id) as rn
@@ -258,9 +342,10 @@ def b11_over_cap(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""select tenant_id, user_id, agent_id, session_id, {_NORM.format('subject')} as subject, count(*)::bigint as n, string_agg(id, ',' order by id) as ids from {_ONCE}
-where state = 'active' and subject is not null group by all having count(*) > 1""")
+where {_NORM.format('subject')} <> '' group by all having count(*) > 1""")
 def b12_contradictions(spark: SparkSession, d: str) -> DataFrame:
-    return m.contradictions(memories(spark, d)).withColumn("ids", F.array_join("ids", ","))
+    """The queue as it would be had no memory been closed."""
+    return m.contradictions(memories(spark, d).withColumn("state", F.lit("active"))).withColumn("ids", F.array_join("ids", ","))
 
 
 @query(f"""select id, round(case when ascii(id[1:1]) % 2 = 0 then least(importance + 0.1, 1.0) else importance end, 9) as importance, version + (case when ascii(id[1:1]) % 2 = 0 then 1 else 0 end) as version,
@@ -286,20 +371,26 @@ def b17_consolidate_tail(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def b18_consolidate_similar(spark: SparkSession, d: str) -> DataFrame:
-    return m.consolidated_similar(memories(spark, d)).withColumn("ids", F.array_join("ids", ","))
+    return m.consolidated_similar(memories(spark, d), 0.3).withColumn("ids", F.array_join("ids", ",")).withColumn("source_event_ids", F.array_join("source_event_ids", ","))
 
 
 @query()
 def b03_semantic_merge(spark: SparkSession, d: str) -> DataFrame:
-    new = memories(spark, d).filter("subject is null").withColumn("seq", F.struct("valid_from", "id").cast("string"))
-    return m.merged_similar(new).withColumn("source_event_ids", F.array_join("source_event_ids", ","))
+    """The superseded memories without subject, added again to what is stored."""
+    mem = memories(spark, d)
+    new = mem.filter("subject is null and state = 'superseded'").withColumn("seq", F.col("valid_from"))
+    return m.merged_similar(new, mem).withColumn("source_event_ids", F.array_join("source_event_ids", ","))
 
 
-@query("select doc_id as id, coalesce(lang, 'none') || ': ' || doc_id as content, coalesce(lang, 'none') as subject, 'semantic' as mem_type from documents")
+@query("""with x as (select doc_id as id, coalesce(lang, 'none') as a, coalesce(source, '') as b, doc_id % 4 as k from documents)
+select id, case k when 0 then a || ': ' || id when 1 then case when b = '' then a else a || ' — ' || b end when 2 then 'Decision on ' || a || ': ' || id else b end as content,
+case when k = 3 then b else a end as subject, case when k = 3 then 'procedural' else 'semantic' end as mem_type from x where k <> 3 or trim(b) <> ''""")
 def b20_templates(spark: SparkSession, d: str) -> DataFrame:
-    docs = load(spark, d, "documents").select("doc_id", F.coalesce("lang", F.lit("none")).alias("subject"))
-    fields = F.to_json(F.struct(F.col("subject"), F.col("doc_id").cast("string").alias("value")))
-    return docs.select(F.col("doc_id").alias("id"), m.template(F.lit("preference"), fields).alias("t")).select("id", "t.*")
+    docs = load(spark, d, "documents").select(F.col("doc_id").alias("id"), F.coalesce("lang", F.lit("none")).alias("a"), F.coalesce("source", F.lit("")).alias("b"), (F.col("doc_id") % 4).alias("k"))
+    text = F.col("id").cast("string")
+    name = F.element_at(F.array(*[F.lit(x) for x in ("preference", "person", "decision", "task")]), (F.col("k") + 1).cast("int"))
+    fields = F.to_json(F.when(F.col("k") == 0, F.create_map(F.lit("subject"), "a", F.lit("value"), text)).when(F.col("k") == 1, F.create_map(F.lit("name"), "a", F.lit("detail"), "b")).when(F.col("k") == 2, F.create_map(F.lit("topic"), "a", F.lit("decision"), text)).otherwise(F.create_map(F.lit("task"), "b")))
+    return docs.select("id", m.template(name, fields).alias("t")).filter("t is not null").select("id", "t.*")
 
 
 @query(f"select id from {_ONCE} where tenant_id <> '{TENANT}'")
@@ -340,7 +431,7 @@ def g04_neighbours_as_of(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"select id, src, relation, dst, weight from {_EDGES} where tenant_id = '{TENANT}' and state = 'active'")
 def g05_active_edges(spark: SparkSession, d: str) -> DataFrame:
-    return edges(spark, d).filter((F.col("tenant_id") == TENANT) & (F.col("state") == "active")).orderBy(F.desc("weight"), "id").select("id", "src", "relation", "dst", "weight")
+    return g.listed_edges(edges(spark, d), TENANT).select("id", "src", "relation", "dst", "weight")
 
 
 @query(f"select tenant_id, src, dst, weight from {_EDGES} where {_HELD}")
@@ -373,19 +464,30 @@ def g11_components(spark: SparkSession, d: str) -> DataFrame:
     return g.components(edges(spark, d).filter("state = 'active'"))
 
 
-@query()
+@query(f"""with e as (select * from {_EDGES} where tenant_id = '{TENANT}'), h1 as (select *, 1 as hop from e where src = 'tenant-wide' or dst = 'tenant-wide'),
+n1 as (select src as n from h1 union select dst from h1), h2 as (select *, 2 as hop from e where id not in (select id from h1) and (src in (select n from n1) or dst in (select n from n1)))
+select id, src, dst, hop from (select * from h1 union all select * from h2) order by hop, weight desc, id limit 5000""")
 def g07_subgraph(spark: SparkSession, d: str) -> DataFrame:
     return g.subgraph(edges(spark, d), TENANT, "tenant-wide", 2, 5_000).select("id", "src", "dst", "hop")
 
 
-@query()
+_VERBS, _COMPOUND, _PREPOSITIONS = (", ".join(f"'{x}'" for x in w) for w in (g.VERBS, g.COMPOUND_VERBS, g.PREPOSITIONS))
+_TRIPLES = rf"""s as (select id, state, list_filter(regexp_split_to_array(unnest(regexp_split_to_array(content, '[.\n;!?]')), '[\s\x{{00A0}}\x{{2000}}-\x{{200A}}\x{{3000}}]+'), lambda x: x <> '') as w from {_ONCE}),
+p as (select id, state, w, unnest(range(2, len(w))) as i from s where len(w) >= 3),
+v as (select *, lower(w[i]) as verb, lower(w[i + 1]) as nx from p),
+t as (select id, state, array_to_string(w[1:i - 1], ' ') as subject, case when verb in ({_VERBS}) then verb else verb || '_' || nx end as relation, array_to_string(w[case when verb in ({_VERBS}) then i + 1 else i + 2 end:], ' ') as object
+  from v where verb in ({_VERBS}) or (verb in ({_COMPOUND}) and nx in ({_PREPOSITIONS})) or (verb = 'married' and nx = 'to'))"""
+
+
+@query(f"with {_TRIPLES} select id, subject, relation, object from t where object <> ''")
 def g12_triples(spark: SparkSession, d: str) -> DataFrame:
     return g.triples(memories(spark, d), "id", "content")
 
 
-@query()
+@query(f"with {_TRIPLES} select distinct subject as src, relation, object as dst, id as source_memory_id from t where object <> '' and state = 'active'")
 def g14_auto_graph(spark: SparkSession, d: str) -> DataFrame:
-    return g.auto_graph(memories(spark, d))
+    """The ids of these edges are name-based UUIDs, which the twin has no function for; tests compare them."""
+    return g.auto_graph(memories(spark, d)).select("src", "relation", "dst", "source_memory_id")
 
 
 @query(f"with a as (select 'hub:triage' as n), e as (select * from {_EDGES} where tenant_id = '{TENANT}') select id from e where src = 'hub:triage' or dst = 'hub:triage'")
@@ -393,22 +495,32 @@ def j05_one_hop(spark: SparkSession, d: str) -> DataFrame:
     return g.subgraph(edges(spark, d), TENANT, "hub:triage", 1, 1_000_000).select("id")
 
 
-@query("""with recursive e as (select distinct src, dst from memory_edges where state = 'active'), n as (select min(src) as s from e),
-w(node, d) as (select s, 0 from n union select e.dst, w.d + 1 from w join e on w.node = e.src where w.d < 6)
-select (select s from n) as start, max(d)::bigint as reach from (select node, min(d) as d from w group by 1)""")
-def g10_reach(spark: SparkSession, d: str) -> DataFrame:
-    """The greatest distance within six steps of the first source, by breadth-first rounds."""
-    e = load(spark, d, "memory_edges").filter("state = 'active'").select("src", "dst").distinct()
+# The ends of a shortest path: the smallest source, and the greatest node that it reaches at its greatest distance.
+_WALK = """e as (select distinct src, dst from memory_edges where state = 'active'), n as (select min(src) as s from e),
+w(node, d) as (select s, 0 from n union select e.dst, w.d + 1 from w join e on w.node = e.src where w.d < 40), near as (select node, min(d) as d from w group by 1)"""
+
+
+@query(f"""with recursive {_WALK}, goal as (select node, d from near order by d desc, node desc limit 1),
+back(node, d, path) as (select node, d, node from goal union all select (select min(e.src) from e join near on near.node = e.src where e.dst = back.node and near.d = back.d - 1), d - 1, (select min(e.src) from e join near on near.node = e.src where e.dst = back.node and near.d = back.d - 1) || '>' || path from back where d > 0)
+select path from back where d = 0""")
+def g10_shortest_path(spark: SparkSession, d: str) -> DataFrame:
+    e = written(load(spark, d, "memory_edges").filter("state = 'active'").select("src", "dst").distinct(), "active-edges")
     start = e.agg(F.min("src").alias("s")).first().s
-    seen = front = spark.createDataFrame([(start,)], "node string")
-    reach = 0
-    for hop in range(1, 7):
-        front = e.join(front.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti")
-        front = written(front, "reach")
-        if not front.limit(1).count():
-            break
-        seen, reach = seen.union(front), hop
-    return spark.createDataFrame([(start, reach)], "start string, reach bigint")
+    far = seen = front = spark.createDataFrame([(start,)], "node string")
+    while front.limit(1).count():
+        far = front
+        front = written(e.join(front.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti"), "reach")
+        seen = seen.union(front)
+    goal = far.agg(F.max("node").alias("n")).first().n
+    return spark.createDataFrame([(">".join(g.shortest_path(e, start, goal)),)], "path string")
+
+
+@query(f"""with recursive e as (select src as a, dst as b from {_EDGES} where state = 'active' union select dst, src from {_EDGES} where state = 'active'),
+n as (select distinct a from e), c(a, b) as (select a, a from n union select c.a, e.b from c join e on c.b = e.a), m as (select a as node, min(b) as component from c group by 1),
+z as (select component, count(*) as size, row_number() over (order by count(*) desc, component) - 1 as place from m group by 1)
+select component, size::bigint as size, place::bigint as place, node from m join z using (component)""")
+def g11_communities(spark: SparkSession, d: str) -> DataFrame:
+    return g.communities(edges(spark, d).filter("state = 'active'"))
 
 
 @query(f"""with a as (select distinct on (id) * from memory_edges) select e.id, m.content from a e join {_ONCE} m on m.id = e.source_memory_id and m.tenant_id = e.tenant_id where m.state = 'active' and e.state = 'active'""")
@@ -467,13 +579,20 @@ def h05_weighted_rrf(spark: SparkSession, d: str) -> DataFrame:
     return r.rrf([r.ranked(own, [F.desc("importance"), F.col("id")]), r.ranked(own, [F.desc("updated_at"), F.col("id")], 2.0)]).select("id", F.round("rrf", 9).alias("rrf"))
 
 
-@query(f"""with u as (select distinct user_id from {_ONCE} where tenant_id = '{TENANT}' and user_id is not null order by 1 limit 3)
-select id, max(importance) as score from {_ONCE} where tenant_id = '{TENANT}' and user_id in (select * from u) and state = 'active' group by 1 order by 2 desc, 1 limit 25""")
+@query(f"""with u as (select distinct user_id from {_ONCE} where tenant_id = '{TENANT}' and user_id is not null order by 1 limit 3),
+c as (select user_id, id, importance, updated_at, source_event_ids, {_terms('content')} as ts from {_ONCE} where tenant_id = '{TENANT}' and user_id in (select * from u) and state = 'active'),
+q as (select unnest(list_distinct({_terms("'" + 'agent step notes' + "'")})) as term), s as (select user_id, count(*)::double as n, greatest(avg(len(ts)), 1.0) as avgdl from c group by 1),
+f as (select user_id, id, len(ts)::double as dl, term, len(list_filter(ts, lambda x: x = term))::double as tf from c, q), df as (select user_id, term, count(*)::double as nq from f where tf > 0 group by all),
+lex as (select user_id, id, sum(ln((n - nq + 0.5) / (nq + 0.5) + 1.0) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) as score from f join df using (user_id, term) join s using (user_id) where tf > 0 group by 1, 2),
+hits as (select c.user_id, id, 1.0 / (60.0 + row_number() over (partition by user_id order by round(score, 12) desc, id)) * {_BLEND} as score from lex join c using (user_id, id) qualify row_number() over (partition by user_id order by score desc, id) <= 25),
+none as (select user_id, id, 0.0 as score from c where user_id not in (select user_id from lex) qualify row_number() over (partition by user_id order by importance desc, id) <= 25)
+select id, round(max(score), 9) as score, (select count(distinct x) from (select unnest(source_event_ids) as x from c where c.id = h.id))::bigint as sources from (select * from hits union all select * from none) h group by 1 order by max(score) desc, id limit 25""")
 def h09_shared_search(spark: SparkSession, d: str) -> DataFrame:
-    mem = memories(spark, d)
-    users = [x.user_id for x in mem.filter((F.col("tenant_id") == TENANT) & F.col("user_id").isNotNull()).select("user_id").distinct().orderBy("user_id").limit(3).collect()]
+    mem = memories(spark, d, TENANT).withColumn("updated_us", F.unix_micros("updated_at"))
+    users = [x.user_id for x in mem.filter(F.col("user_id").isNotNull()).select("user_id").distinct().orderBy("user_id").limit(3).collect()]
     grants = spark.createDataFrame([(TENANT, users[0], u) for u in users[1:]], "tenant_id string, grantee_user_id string, grantor_user_id string")
-    return r.shared_search(mem, grants, TENANT, users[0], lambda s: mem.filter(s & (F.col("state") == "active")).select("id", F.col("importance").alias("score")), 25)
+    ask = lambda s: r.memory_search(mem, s, "agent step notes", 25, NOW_US).select("id", "score", "source_event_ids")
+    return r.shared_search(mem, grants, TENANT, users[0], ask, 25).select("id", F.round("score", 9).alias("score"), F.size("source_event_ids").cast("bigint").alias("sources"))
 
 
 @query(f"""select id, 'expired' as state, {NOW_US} as valid_to from {_ONCE} where state = 'active' and importance < 0.2""")
@@ -496,17 +615,33 @@ def b22_grants(spark: SparkSession, d: str) -> DataFrame:
     return m.add_grants(e.filter(F.col("tenant_id") == TENANT).distinct(), e)
 
 
-@query("""with f as (select doc_id, (case when doc_id % 2 = 0 then 2 else 1 end)::bigint as n from documents) select doc_id as id, n from f""")
+@query(f"""with x as (select id, trim(content) as c, subject as s, ascii(id[1:1]) % 3 as k from {_ONCE} where trim(content) <> '')
+select id, null as subject, c as fact from x where k in (0, 2) union all select id, null, coalesce(s, '-') from x where k = 0 and trim(coalesce(s, '-')) <> '' union all select id, s, c from x where k = 1""")
 def b19_extract_facts(spark: SparkSession, d: str) -> DataFrame:
-    x = load(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.lit('[{"subject":"a","content":"b"},{"content":"c"}]')).otherwise(F.concat(F.lit("plain "), "doc_id")).alias("t"))
-    return x.select(F.col("doc_id").alias("id"), F.size(m.extracted_facts(F.col("t"))).cast("bigint").alias("n"))
+    """Contents as a list of texts, as a list of objects, and as plain text."""
+    x = memories(spark, d).filter("trim(content) <> ''").select("id", F.trim("content").alias("c"), F.col("subject").alias("s"), (F.ascii(F.substring("id", 1, 1)) % 3).alias("k"))
+    text = F.when(F.col("k") == 0, F.to_json(F.array("c", F.coalesce("s", F.lit("-"))))).when(F.col("k") == 1, F.to_json(F.array(F.struct(F.col("s").alias("subject"), F.col("c").alias("content"))))).otherwise(F.col("c"))
+    return x.select("id", F.explode(m.extracted_facts(text)).alias("f")).select("id", "f.subject", F.col("f.content").alias("fact"))
+
+
+_STATE_LOG = "select id as seq, tenant_id, 'a-' || tenant_id as agent_id, event_type as key, payload as value, case when epoch_us(ts) % 7 = 0 then 'delete' else 'set' end as op from (select distinct id, tenant_id, event_type, payload, ts from episodic)"
 
 
-@query(f"select kind, count(*)::bigint as n from (select 'upserted' as kind from {_ONCE} where state = 'active' union all select state from {_ONCE} where state <> 'active') group by 1")
+@query(f"""select 'memory' as stream, case when state = 'active' then 'upserted' else state end as event, id as key, tenant_id from {_ONCE}
+union all select 'state', op, coalesce(agent_id || '/', '') || key, tenant_id from ({_STATE_LOG})""")
 def t01_change_stream(spark: SparkSession, d: str) -> DataFrame:
-    mem = memories(spark, d)
-    none = spark.createDataFrame([], "agent_id string, key string, tenant_id string, op string")
-    return change_stream(mem, none).groupBy(F.col("event").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    return change_stream(memories(spark, d), state_log(spark, d)).select("stream", "event", "key", "tenant_id")
+
+
+@query(f"""select 'state' as stream, op as event, agent_id || '/' || key as key from ({_STATE_LOG}) where tenant_id = '{TENANT}'""")
+def t03_watch(spark: SparkSession, d: str) -> DataFrame:
+    return watch(change_stream(memories(spark, d), state_log(spark, d)), TENANT, "state", f"a-{TENANT}").select("stream", "event", "key")
+
+
+def state_log(spark: SparkSession, d: str) -> DataFrame:
+    """The distinct events as operations on state."""
+    e = load(spark, d, "episodic").select("id", "tenant_id", "event_type", "payload", "ts").distinct()
+    return e.select(F.col("id").alias("seq"), "tenant_id", F.concat(F.lit("a-"), "tenant_id").alias("agent_id"), F.col("event_type").alias("key"), F.col("payload").alias("value"), F.when(F.unix_micros("ts") % 7 == 0, "delete").otherwise("set").alias("op"))
 
 
 # --- sinks ---------------------------------------------------------------------------------------------------------

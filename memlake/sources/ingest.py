@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from memlake.functions.scalars import uuid5_text
+
 MAX_BATCH, MAX_EMBED_BYTES = 10_000, 2_048
 
 
@@ -199,3 +201,32 @@ def dialogues(df: DataFrame, body: str = "value") -> DataFrame:
     qa = F.transform(own_qa, lambda q: F.struct(q["question"].alias("question"), F.coalesce(q["expected"], q["answer"]).alias("expected"), q["category"].alias("category")))
     user = F.coalesce(F.get_json_object(b, "$.user"), F.get_json_object(b, "$.sample_id"), F.get_json_object(b, "$.question_id"), F.lit("user"))
     return df.select(user.alias("user"), F.coalesce(own_turns, talk, hay_turns).alias("turns"), F.coalesce(qa, F.when(F.get_json_object(b, "$.haystack_sessions").isNotNull(), single)).alias("qa"))
+
+
+def note_rows(parsed: DataFrame, tenant: str, at: Column, user: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The statements (for ``operators.memory.additions``) and edges that notes stand for: a note's body on the subject of
+    its title, its links as edges. Ids depend on path and link alone, so a note read again changes nothing but its text."""
+    none, name = F.lit(None).cast("string"), F.lit("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
+    statements = parsed.filter("body <> ''").select(
+        uuid5_text(name, F.concat_ws("|", F.lit(tenant), "path", "body")).alias("id"), F.lit(tenant).alias("tenant_id"), F.lit(user).cast("string").alias("user_id"), none.alias("agent_id"), none.alias("session_id"), F.col("title").alias("subject"), F.col("body").alias("content"),
+        F.lit(0.5).alias("importance"), F.array().cast("array<string>").alias("source_event_ids"), F.to_json("front_matter").alias("metadata"), F.lit("semantic").alias("mem_type"), F.lit(None).cast("array<float>").alias("embedding"), at.alias("at"), F.col("path").alias("seq"),
+    )
+    links = note_edges(parsed)
+    made = links.select(uuid5_text(name, F.concat_ws("|", F.lit(tenant), "src", "relation", "dst")).alias("id"), F.lit(tenant).alias("tenant_id"), "src", "relation", "dst", F.lit(1.0).alias("weight"), at.alias("valid_from"), F.lit("active").alias("state")).distinct()
+    return statements, made
+
+
+def marked(events: DataFrame, semantic: DataFrame) -> DataFrame:
+    """Events with the flag ``embedded`` true where their vector is there."""
+    own = semantic.select("id").distinct().withColumn("__has", F.lit(True))
+    return events.join(own, "id", "left").withColumn("embedded", F.coalesce("__has", "embedded")).select(*events.columns)
+
+
+def embedded_and_indexed(events: DataFrame, provider, batch: int = 64) -> DataFrame:
+    """(id, source, event_type, tenant_id, text, embedding) of the events that have no vector yet and get one."""
+    from memlake.operators.memory import embedded_rows
+
+    todo = events.filter("embedded is not true")
+    text = with_embedding_text(todo)
+    known = embedded_rows(text, "text", provider, batch=batch).filter("embedding is not null")
+    return known.join(todo.select("id", "source", "event_type", "tenant_id").dropDuplicates(["id"]), "id").select("id", "source", "event_type", "tenant_id", "text", "embedding")

@@ -58,9 +58,14 @@ def restore(spark: SparkSession, folder: str, target: str) -> dict[str, DataFram
     fs.delete(p, True)
     for name in m["tables"]:
         spark.read.parquet(f"{folder}/{name}").write.parquet(f"{stage}/{name}")
-    t = spark._jvm.org.apache.hadoop.fs.Path(target)
-    fs.delete(t, True)
-    fs.rename(p, t)
+    t, aside = (spark._jvm.org.apache.hadoop.fs.Path(x) for x in (target, f"{target.rstrip('/')}.before"))
+    fs.delete(aside, True)
+    if fs.exists(t) and not fs.rename(t, aside):  # what was there stays aside until the new tables are in place
+        raise OSError(f"cannot move {target} aside")
+    if not fs.rename(p, t):
+        fs.rename(aside, t)
+        raise OSError(f"cannot move {stage} to {target}")
+    fs.delete(aside, True)
     return {name: spark.read.parquet(f"{target}/{name}") for name in m["tables"]}
 
 

@@ -103,3 +103,18 @@ def reindex(events: DataFrame, provider, path: str, checkpoint: str) -> None:
         embedded_rows(todo, "text", provider).filter("embedding is not null").write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
     run_available(events, checkpoint, each)
+
+
+def watched_notes(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, value) of the Markdown notes of a folder as they appear or change: each new state of a file once."""
+    files = spark.readStream.format("text").option("wholetext", True).option("pathGlobFilter", "*.md").option("recursiveFileLookup", True).schema("value string")
+    return files.load(folder).select(F.col("_metadata.file_path").alias("path"), "value")
+
+
+def periodic(name: str, seconds: float, work: Callable[[int], None], spark: SparkSession, checkpoint: str):
+    """A loop that calls ``work`` with the number of its round every so many seconds; the query that runs it is returned.
+
+    Retention, reindexing, decay and triggers run in it. A round that fails ends the query, whose checkpoint goes on
+    with the next one when it is started again."""
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return ticks.writeStream.queryName(name).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").foreachBatch(lambda _, n: work(n)).start()
