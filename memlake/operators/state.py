@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,22 +33,32 @@ def fold_state(log: DataFrame, now: Column | None = None) -> DataFrame:
 
 def replay_state(log: DataFrame) -> DataFrame:
     """As ``fold_state``, for logs with compare-and-set: each key's operations are replayed in order; a column ``applied``
-    (of the cas operations, how many took hold) is added. Work on one key is sequential by nature."""
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        version, value, at, expires, applied = 0, None, None, None, 0
-        for r in pdf.sort_values(["at", "seq"]).itertuples():
-            if r.op == "delete":
-                version, value = 0, None
-            elif r.op in ("set", "set_ttl") or (r.op == "cas" and not pd.isna(r.expected) and int(r.expected) == version):
-                version, value, at, applied = version + 1, r.value, int(r.at), applied + (r.op == "cas")
-                expires = int(r.at + r.ttl_us) if r.op == "set_ttl" else None
-        if not version:
-            return pd.DataFrame(columns=["agent_id", "key", "value", "version", "updated_at", "expires_at", "applied"])
-        return pd.DataFrame([(pdf.agent_id.iloc[0], pdf.key.iloc[0], value, version, at, expires, applied)], columns=["agent_id", "key", "value", "version", "updated_at", "expires_at", "applied"])
-
-    return log.groupBy("agent_id", "key").applyInPandas(run, "agent_id string, key string, value string, version bigint, updated_at bigint, expires_at bigint, applied bigint")
+    (of the cas operations, how many took hold) is added. Work on one key is sequential by nature: its sorted
+    operations pass through one task as a stream, of which a task only keeps the current value."""
+    cols = ["agent_id", "key", "op", "value", "expected", "ttl_us", "at", "seq"]
+    out = pa.schema([("agent_id", pa.string()), ("key", pa.string()), ("value", pa.string()), ("version", pa.int64()), ("updated_at", pa.int64()), ("expires_at", pa.int64()), ("applied", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, version, value, at, expires, applied = None, 0, None, None, None, 0
+        for b in batches:
+            done = []
+            for agent, key, op, new, expected, ttl, when in zip(*(b.column(c).to_pylist() for c in cols[:-1]), strict=True):
+                if (agent, key) != name:
+                    if version:
+                        done.append((*name, value, version, at, expires, applied))
+                    name, version, value, at, expires, applied = (agent, key), 0, None, None, None, 0
+                if op == "delete":
+                    version, value = 0, None
+                elif op in ("set", "set_ttl") or (op == "cas" and expected == version):
+                    version, value, at, applied = version + 1, new, when, applied + (op == "cas")
+                    expires = when + ttl if op == "set_ttl" else None
+            if done:
+                yield pa.RecordBatch.from_pylist([dict(zip(out.names, r, strict=True)) for r in done], schema=out)
+        if version:
+            yield pa.RecordBatch.from_pylist([dict(zip(out.names, (*name, value, version, at, expires, applied), strict=True))], schema=out)
+
+    placed = log.select(*cols).repartition("agent_id", "key").sortWithinPartitions("agent_id", "key", "at", "seq")
+    return placed.mapInArrow(run, "agent_id string, key string, value string, version bigint, updated_at bigint, expires_at bigint, applied bigint")
 
 
 def by_prefix(state: DataFrame, prefix: str) -> DataFrame:
@@ -83,16 +96,46 @@ def session_digest(events: DataFrame, first: int = 200, chars: int = 300) -> Dat
     return g.select("session_id", "n", F.concat(F.lit("Session "), "session_id", F.lit(":\n"), F.array_join("l.line", "\n")).alias("digest"))
 
 
+def session_start(sessions: DataFrame, new: DataFrame) -> DataFrame:
+    """The sessions with new ones (session_id, parent_session_id, agent_id, started_at, metadata, tenant_id); an id that
+    is there stays as it is."""
+    once = new.dropDuplicates(["session_id"]).join(sessions.select("session_id"), "session_id", "left_anti")
+    return sessions.unionByName(once, allowMissingColumns=True)
+
+
+def recalled(sessions: DataFrame, events: DataFrame, tenant: str, session_id: str, limit: int) -> DataFrame:
+    """The last events of one session of a tenant, oldest first; none for another tenant's session."""
+    own = sessions.filter((F.col("tenant_id") == tenant) & (F.col("session_id") == session_id)).select("session_id").distinct()
+    mine = events.filter((F.col("tenant_id") == tenant) & (F.col("session_id") == session_id)).join(own, "session_id", "left_semi")
+    return mine.orderBy(F.desc("ts"), F.desc("id")).limit(limit).orderBy("ts", "id")
+
+
+def swept(state: DataFrame, now: Column) -> DataFrame:
+    """The state without the entries that have expired."""
+    return state.filter(F.col("expires_at").isNull() | (F.col("expires_at") > now))
+
+
+def run_list(runs: DataFrame, limit: int, status: str | None = None) -> DataFrame:
+    """Runs of a folded ledger, newest first."""
+    out = runs if status is None else runs.filter(F.col("status") == status)
+    return out.orderBy(F.desc("created_at"), "id").limit(limit)
+
+
+def run_trace(events: DataFrame, run: str) -> DataFrame:
+    """The steps of one run in order: the events whose session is the run."""
+    return events.filter(F.col("session_id") == run).orderBy("ts", "id")
+
+
 def stale_runs(runs: DataFrame, before: Column, limit: int) -> DataFrame:
     """Runs that are pending or running and not updated since ``before``, oldest first."""
     return runs.filter(F.col("status").isin("pending", "running") & (F.col("updated_at") < before)).orderBy("updated_at", "id").limit(limit)
 
 
 def fold_runs(log: DataFrame) -> DataFrame:
-    """The current row of each run from a log of patches: the last non-null value of every column, created once."""
+    """The current row of each run from a log of patches: the last non-null value of every column (of equal times the greatest), created once."""
     rest = [c for c in log.columns if c not in ("id", "created_at", "updated_at")]
     return log.groupBy("id").agg(
-        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("updated_at"))).alias(c) for c in rest], F.min("created_at").alias("created_at"), F.max("updated_at").alias("updated_at")
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("updated_at", c))).alias(c) for c in rest], F.min("created_at").alias("created_at"), F.max("updated_at").alias("updated_at")
     ).select(*log.columns)
 
 

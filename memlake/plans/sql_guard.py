@@ -14,6 +14,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from memlake.plans.results import register_functions
+
 #: Functions that no user statement may call, in table or scalar position (fixed values first, then Spark's own).
 FORBIDDEN = frozenset(
     "read_text read_blob read_csv read_csv_auto read_json read_json_auto read_json_objects read_ndjson read_ndjson_auto read_ndjson_objects "
@@ -164,15 +166,17 @@ class TenantSql:
     """Read-only SQL for tenants over ``tables`` (each with a tenant_id column).
 
     ``memory_hits('text', k)`` and ``agent_state('agent', 'key')`` stand in FROM as tables, any number of times, and
-    only see the tenant's rows. ``search(text, k, tenant)`` gives the hits as a DataFrame.
+    only see the tenant's rows. ``search(text, k, tenant)`` gives the hits as a DataFrame. ``functions`` (name -> function
+    over pandas Series, type) may be called beside the built-in ones.
     """
 
-    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], search: Callable[[str, int, str], DataFrame] | None = None, state: DataFrame | None = None, max_rows: int = 10_000, functions: frozenset[str] = frozenset()):
-        self.spark, self.tables, self.search, self.state, self.max_rows, self.functions = spark, tables, search, state, max_rows, functions
+    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], search: Callable[[str, int, str], DataFrame] | None = None, state: DataFrame | None = None, max_rows: int = 10_000, functions: dict[str, tuple[Callable, str]] | None = None):
+        self.spark, self.tables, self.search, self.state, self.max_rows, self.functions = spark, tables, search, state, max_rows, functions or {}
 
     def query(self, sql: str, tenant: str, max_rows: int | None = None) -> DataFrame:
         """The statement's rows, at most ``max_rows``, as this tenant sees them."""
         own = self.spark.newSession()
+        known = register_functions(own, self.functions)
         views: set[str] = set()
 
         def adopted(df: DataFrame) -> DataFrame:
@@ -197,7 +201,7 @@ class TenantSql:
             return view(found, f"state_{uuid.uuid4().hex}")
 
         text = dialect(STATE.sub(state, SEARCH.sub(hits, sql)))
-        names, _ = inspect(self.spark, text, self.functions)
+        names, _ = inspect(self.spark, text, known)
         if unknown := names - set(self.tables) - views:
             raise Refused(f"unknown table {sorted(unknown)[0]}")
         for name in names & set(self.tables):
