@@ -3,9 +3,11 @@
 Each tree gives a vector a long hash string: one cross-polytope symbol of a random projection to up to 64 dimensions,
 then symbols of projections to 8 dimensions, then bytes of the row's key, so that even equal vectors differ at last. A
 tree is its strings in sorted order, spread over range partitions whose bounds come from a bounded sample and snap to
-short prefixes. In a partition every vector descends to its longest prefix and ascends until its range holds about
-``leaf`` candidates; all trees ascend to the same number. A range's vectors are compared with each other as one matrix
-product. Trees run in waves; after each wave only the k best of every vector are kept, and the wave's shuffle is freed.
+short prefixes. A vector's longest prefix matches are its neighbours in the sorted array; it ascends from there to the
+range of siblings around it, of at most ``leaf`` vectors, and on to the ranges before and behind that it shares a prefix
+with, so that no vector ends at the edge of a range. All trees ascend to the same number of candidates. Ranges, and
+neighbouring ranges, are compared as one matrix product each, which serves both. Trees run in waves; after each wave only
+the k best of every vector are kept, and the wave's shuffle is freed.
 """
 
 from __future__ import annotations
@@ -19,14 +21,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlake.plans.shared import freed_shuffles, quoted, spread, written
+from memlake.plans.shared import freed_shuffles, quoted, spread, width, written
 
 SYMBOLS, KEY_BYTES, HEAD_DIMS, TAIL_DIMS = 10, 6, 64, 8
 #: Least and most vectors of the sample that bounds come from, and for each bound; vectors of one range partition;
 #: candidates of one range.
-SAMPLE, SAMPLE_EACH, PART_ROWS, LEAF = (4_000, 200_000), 40, 40_000, 1536
+SAMPLE, SAMPLE_EACH, PART_ROWS, LEAF = (4_000, 200_000), 40, 40_000, 768
+#: Pairs of one partition while the best of each vector are picked.
+PAIR_ROWS = 2_000_000
 #: Trees at TREES_AT vectors or fewer; their number grows as the vectors to the power GROWTH, which keeps recall level.
-TREES, TREES_AT, GROWTH, WAVE = 12, 1 << 19, 0.2, 2
+TREES, TREES_AT, GROWTH, WAVE = 11, 1 << 19, 0.2, 2
 
 
 def usable(column: pa.Array, dim: int) -> np.ndarray:
@@ -136,19 +140,39 @@ def best_of(a: np.ndarray, b: np.ndarray, sim: np.ndarray, k: int) -> np.ndarray
     return order[rank < k]
 
 
-def compared(x: np.ndarray, keys: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k most similar others of each vector among ``x``, of at least ``least``."""
-    s = x @ x.T
-    np.fill_diagonal(s, -2)
-    if least <= -1 and len(x) > k + 1:
-        j = np.argpartition(s, len(x) - k, axis=1)[:, -k:].ravel()
-        i = np.repeat(np.arange(len(x)), k)
-    else:
-        flat = np.flatnonzero(s.ravel() >= max(least, -1.5))
-        i, j = np.divmod(flat, len(x))
-    sim = s[i, j]
-    pick = best_of(i, keys[j], sim, k) if len(i) else i
-    return keys[i[pick]], keys[j[pick]], sim[pick]
+def most_similar(x: np.ndarray, y: np.ndarray, k: int, least: float, same: bool) -> tuple[tuple, tuple]:
+    """(row, column, similarity) of the pairs of at least ``least`` between two sets of vectors, among them the k best of
+    each row; and, unless both are the ``same``, (column, row, similarity) with the k best of each column."""
+    s = x @ y.T
+    if same:
+        np.fill_diagonal(s, -2)
+    if least > -1:
+        i, j = np.divmod(np.flatnonzero(s.ravel() >= least), len(y))
+        return (i, j, s[i, j]), (j, i, s[i, j])
+
+    def best(t: np.ndarray) -> tuple:
+        m = min(k, t.shape[1] - same)
+        j = np.argpartition(t, t.shape[1] - m, axis=1)[:, t.shape[1] - m :].ravel() if m > 0 else np.zeros(0, np.int64)
+        i = np.repeat(np.arange(len(t)), max(m, 0))
+        return i, j, t[i, j]
+
+    return best(s), (None if same else best(np.ascontiguousarray(s.T)))
+
+
+def neighbours(leaves: list[np.ndarray], vectors: list[np.ndarray], near: list[bool], k: int, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(key, other key, similarity): for each range in turn the k best of every vector, among its own range and those
+    next to it; ``near`` tells of each range but the last whether it shares a prefix with the next."""
+    held: list[tuple] = []
+    for n, (keys, x) in enumerate(zip(leaves, vectors, strict=True)):
+        i, j, sim = most_similar(x, x, k, least, True)[0]
+        mine, held = [*held, (keys[i], keys[j], sim)], []
+        if n + 1 < len(leaves) and near[n]:
+            (i, j, sim), (p, q, back) = most_similar(x, vectors[n + 1], k, least, False)
+            mine.append((keys[i], leaves[n + 1][j], sim))
+            held = [(leaves[n + 1][p], keys[q], back)]
+        a, b, sim = (np.concatenate(c) for c in zip(*mine, strict=True))
+        pick = best_of(a, b, sim, k) if len(a) else np.zeros(0, np.int64)
+        yield a[pick], b[pick], sim[pick]
 
 
 PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("sim", pa.float32())])
@@ -188,13 +212,13 @@ def nearest(df: DataFrame, id: str, embedding: str, dim: int, k: int = 10, least
         for start in range(0, count, WAVE):
             wave = range(start, min(count, start + WAVE))
             found = _wave(points, dim, k, least, leaf, seed, wave, parts, {t: range_bounds(hash_strings(sq, skeys, projections(dim, t, seed)), parts) if drawn else None for t in wave})
-            best = written(_kept(found if best is None else best.union(found), k), "forest-best")
+            best = written(_kept(found if best is None else best.union(found), k, width(spark, n * k * (WAVE + 1), PAIR_ROWS)), "forest-best")
     names = points.select("key", "id")
     named = best.join(names.select(F.col("key").alias("a"), F.col("id").alias("id")), "a").join(names.select(F.col("key").alias("b"), F.col("id").alias("other")), "b")
     return named.select("id", "other", F.col("sim").cast("double").alias("similarity"))
 
 
-def _kept(pairs: DataFrame, k: int) -> DataFrame:
+def _kept(pairs: DataFrame, k: int, parts: int) -> DataFrame:
     def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if held:
@@ -202,12 +226,11 @@ def _kept(pairs: DataFrame, k: int) -> DataFrame:
             pick = best_of(*(t.column(c).to_numpy() for c in ("a", "b", "sim")), k)
             yield from t.take(pa.array(pick)).to_batches(max_chunksize=100_000)
 
-    return pairs.repartition("a").mapInArrow(top, "a bigint, b bigint, sim float")
+    return pairs.repartition(parts, "a").mapInArrow(top, "a bigint, b bigint, sim float")
 
 
 def _wave(points: DataFrame, dim: int, k: int, least: float, leaf: int, seed: int, wave: range, parts: int, bounds: dict) -> DataFrame:
-    width = SYMBOLS + KEY_BYTES
-    row = np.dtype([("h", np.uint8, (width,)), ("key", np.int64), ("v", np.int16, (dim,))])
+    row = np.dtype([("h", np.uint8, (SYMBOLS + KEY_BYTES,)), ("key", np.int64), ("v", np.int16, (dim,))])
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         directions = {t: projections(dim, t, seed) for t in wave}
@@ -246,9 +269,10 @@ def _wave(points: DataFrame, dim: int, k: int, least: float, leaf: int, seed: in
         del held
         order = np.argsort(as_words(rec["h"]), kind="stable")
         common = lcp(rec["h"][order])
-        for a, b in ranges(common, len(order), leaf):
-            own = rec[order[a:b]]
-            left, right, sim = compared(unit(own["v"]), own["key"], k, least)
+        cut = sorted(ranges(common, len(order), leaf))
+        own = [rec[order[a:b]] for a, b in cut]
+        near = [bool(common[b - 1] > 0) for _, b in cut[:-1]]
+        for left, right, sim in neighbours([o["key"] for o in own], Units(own), near, k, least):
             if len(left):
                 yield pa.RecordBatch.from_pydict({"a": left, "b": right, "sim": sim}, schema=PAIR)
 
@@ -256,6 +280,24 @@ def _wave(points: DataFrame, dim: int, k: int, least: float, leaf: int, seed: in
     return placed.select("rows").mapInArrow(search, "a bigint, b bigint, sim float")
 
 
+class Units:
+    """The unit vectors of ranges of records, made as they are asked for; the last two are remembered."""
+
+    def __init__(self, own: list[np.ndarray]):
+        self.own, self.made = own, {}
+
+    def __len__(self) -> int:
+        return len(self.own)
+
+    def __getitem__(self, n: int) -> np.ndarray:
+        if n not in self.made:
+            self.made = {k: v for k, v in self.made.items() if k == n - 1} | {n: unit(self.own[n]["v"])}
+        return self.made[n]
+
+    def __iter__(self) -> Iterator[np.ndarray]:
+        return (self[n] for n in range(len(self)))
+
+
 def _grouped(part: np.ndarray, rec: np.ndarray) -> tuple[list, list]:
     heads = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
     return part[heads].tolist(), np.split(rec, heads[1:])

@@ -70,3 +70,19 @@ def test_ranges_cover_all():
     s = s[np.lexsort(s.T[::-1])]
     parts = sorted(f.ranges(f.lcp(s), len(s), 50))
     assert parts[0][0] == 0 and parts[-1][1] == 1000 and all(a[1] == b[0] for a, b in zip(parts, parts[1:])) and max(b - a for a, b in parts) <= 50
+
+
+def test_neighbouring_ranges_meet():
+    rng = np.random.default_rng(6)
+    x = f.unit(f.quantised(rng.standard_normal((60, 8))))
+    keys = np.arange(60) * 7
+    leaves, vectors = np.split(keys, [13, 20, 45]), np.split(x, [13, 20, 45])
+    for least in (-1.0, 0.3):
+        got = {}
+        for a, b, sim in f.neighbours(leaves, vectors, [True, False, True], 4, least):
+            for i, j, s in zip(a.tolist(), b.tolist(), sim.tolist()):
+                got.setdefault(i // 7, []).append((-round(s, 5), j // 7))
+        for i in range(60):
+            part = range(0, 20) if i < 20 else range(20, 60)
+            s = sorted((-round(float(x[i] @ x[j]), 5), j) for j in part if j != i and x[i] @ x[j] >= least)[:4]
+            assert [v for v, _ in sorted(got.get(i, []))] == [v for v, _ in s]
