@@ -2,6 +2,7 @@
 
 import json
 from datetime import datetime, timedelta
+from types import SimpleNamespace
 
 import pytest
 from conftest import rows
@@ -99,10 +100,12 @@ def test_restore_keeps_what_was_there(spark, tmp_path):
     assert not (tmp_path / "live.before").exists() and not (tmp_path / "live.staged").exists()
 
 
-def test_no_private_folder_on_a_cluster(spark, monkeypatch):
-    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+def test_no_private_folder_on_a_cluster():
+    session = lambda master, folder: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: folder), sparkContext=SimpleNamespace(master=master))
     with pytest.raises(RuntimeError):
-        shared.shared_dir(spark)
+        shared.shared_dir(session("spark://host:7077", None))
+    assert shared.shared_dir(session("spark://host:7077", "hdfs://x/y/")) == "hdfs://x/y"
+    assert shared.shared_dir(session("local[2]", None)).startswith("file:///")
 
 
 def test_long_path_and_communities(spark):
