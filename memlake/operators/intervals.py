@@ -36,12 +36,13 @@ def one_per_id(df: DataFrame, id: str) -> DataFrame:
 
 def union_ends(key: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First rows, starts and ends of the islands of intervals sorted by key number and start; touching ones merge."""
-    top = end.copy()
-    heads = np.append(np.flatnonzero(key), len(key))
+    # the running maximum end of each key: ends go by rank, and a later key's ranks lie above all earlier ones
+    order = np.argsort(end, kind="stable")
+    rank = np.empty(len(end), np.int64)
+    rank[order] = np.arange(len(end))
+    base = (np.cumsum(key) - 1) * len(end)
+    top = end[order[np.maximum.accumulate(base + rank) - base]] if len(end) else end
     opens = key.copy()
-    single = np.diff(heads) == 1
-    for a, b in zip(heads[:-1][~single], heads[1:][~single], strict=True):
-        np.maximum.accumulate(end[a:b], out=top[a:b])
     opens[1:] |= start[1:] > top[:-1]
     first = np.flatnonzero(opens)
     return first, start[first], top[np.append(first[1:], len(key)) - 1]

@@ -47,21 +47,31 @@ def fire_timers(opened: tuple[int, int, int] | None, at: np.ndarray, gap_us: int
     return out[:-1], out[-1]
 
 
+def fired(key: tuple, rows: list[tuple[int, int, int, bool]]) -> pd.DataFrame:
+    start, end, n, edge = zip(*rows, strict=True)
+    return pd.DataFrame({"identity": [key[0]] * len(rows), "slice": np.full(len(rows), key[1], np.int32), "start_us": start, "end_us": end, "n_entries": n, "edge": edge})
+
+
 def timer(gap_us: int, whole: bool) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
     """The state function of one timer. ``whole``: all of a key's events come in one micro-batch, none has to wait."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         start, end, n, first, *held = state.get if state.exists else (None, None, None, True, [], [], [])
-        parts = [held, *([p["at"].to_numpy(), p["h1"].to_numpy(), p["h2"].to_numpy()] for p in batches)]
+        parts = [*([held] if held[0] else []), *([p["at"].to_numpy(), p["h1"].to_numpy(), p["h2"].to_numpy()] for p in batches if len(p))]
+        mark = state.getCurrentWatermarkMs() * 1000
         if key[0] == "":
             return
+        if not parts and end + gap_us <= mark:  # the timer itself fires: nothing came after the session's last event
+            state.remove()
+            yield fired(key, [(start, end, n, True)])
+            return
+        parts = parts or [([], [], [])]
         at, h1, h2 = (np.concatenate([np.asarray(p[i], np.int64) for p in parts]) for i in range(3))
         order = np.lexsort((h2, h1, at))
         at, h1, h2 = at[order], h1[order], h2[order]
         new = np.ones(len(at), bool)  # rows equal in all columns count once
         new[1:] = (at[1:] != at[:-1]) | (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
         at, h1, h2 = at[new], h1[new], h2[new]
-        mark = state.getCurrentWatermarkMs() * 1000
         ripe = len(at) if whole else int(np.searchsorted(at, mark, side="right"))
         done, opened = fire_timers(None if start is None else (start, end, n), at[:ripe], gap_us)
         young = [x[ripe:].tolist() for x in (at, h1, h2)]
@@ -77,10 +87,7 @@ def timer(gap_us: int, whole: bool) -> Callable[[tuple, Iterator[pd.DataFrame],
         elif state.exists:
             state.remove()
         if rows:
-            out = pd.DataFrame(rows, columns=["start_us", "end_us", "n_entries", "edge"])
-            out.insert(0, "identity", key[0])
-            out.insert(1, "slice", np.int32(key[1]))
-            yield out
+            yield fired(key, rows)
 
     return step
 
@@ -95,8 +102,8 @@ def _events(df: DataFrame, key: str, time: str, normalise: bool) -> DataFrame:
 def session_timers(entries: DataFrame, key: str, time: str, gap_us: int = GAP_US, delay: str = "10 minutes", normalise: bool = True) -> DataFrame:
     """(identity, start_us, end_us, n_entries) of a live stream, each session once it is final.
 
-    As ``sessionize``, but an entry later than the watermark's delay, or of 1970 or before, is dropped. A key's state is its open session and
-    the entries younger than the watermark.
+    As ``sessionize``, but an entry later than the watermark's delay, or of 1970 or before, is dropped. A key's state is
+    its open session and the entries younger than the watermark.
     """
     marked = _events(entries, key, time, normalise).withColumn("ts", F.timestamp_micros("at")).withWatermark("ts", delay)
     timers = marked.withColumn("slice", F.lit(-1)).groupBy("identity", "slice").applyInPandasWithState(timer(gap_us, False), FIRED, STATE, "append", GroupStateTimeout.EventTimeTimeout)
