@@ -220,3 +220,38 @@ def test_periodic_loop(spark, tmp_path):
         time.sleep(0.2)
     q.stop()
     assert seen[:2] == [0, 1]
+
+
+def test_blobs(spark, tmp_path):
+    from memlake.sources.blobs import Blobs
+
+    b = Blobs(spark, f"file://{tmp_path}/blobs")
+    assert b.list() == [] and b.get("x") is None
+    b.put("a/1", b"one\x00")
+    b.put("a/1", b"two\xff")
+    b.put("b", b"")
+    assert b.get("a/1") == b"two\xff" and b.get("b") == b"" and b.list() == ["a/1", "b"] and b.list("a/") == ["a/1"]
+    assert b.delete("a/1") and not b.delete("a/1") and b.list() == ["b"]
+    with pytest.raises(ValueError):
+        b.put("../x", b"")
+
+
+def test_text_store_and_completions(spark, tmp_path):
+    from memlake.adapters import TextStore, completed
+
+    asked = []
+
+    def letters(texts):
+        asked.extend(texts)
+        return [[float(t.count(c)) for c in "bcd"] for t in texts]
+
+    s = TextStore(spark, f"file://{tmp_path}/texts", letters, "t", "e5-small")
+    ids = s.add_texts(["bbb", "ccc", "bcd"], [{"n": 1}, {"n": 2}, {"n": 3}])
+    assert [t for t, _ in s.similarity_search("bc", 1)] == ["bcd"] and asked[-1] == "query: bc"
+    s.add_texts(["ddd"], ids=[ids[0]])
+    s.delete([ids[1]])
+    assert sorted(r_.content for r_ in s.query("d", 9).collect()) == ["bcd", "ddd"]
+    assert TextStore(spark, f"file://{tmp_path}/texts", letters, "other").query("c", 9).count() == 0
+    df = spark.createDataFrame([("x",), (None,)], "q string")
+    assert rows(completed(df, "q", lambda p: [t.upper() for t in p]), "answer") == [("",), ("X",)]
+    assert completed(df, "q", lambda p: 1 / 0).filter("answer is null").count() == 2
