@@ -342,6 +342,7 @@ def consolidated_similar(mem: DataFrame, threshold: float = 0.92, max_rows: int
     act = numbered(mem.filter("state = 'active' and embedding is not null"), SCOPE, order, "r")
     act = act if max_rows is None else act.filter(F.col("r") <= max_rows)
     act = act.select(key_of_scope().alias("scope"), "r", "id", "content", "importance", "source_event_ids", "embedding")
+    act = act.join(act.groupBy("scope").count().filter("count > 1").select("scope"), "scope", "left_semi")  # one memory alone is no cluster
 
     def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, out = pdf.sort_values("r"), []
