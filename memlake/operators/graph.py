@@ -127,23 +127,24 @@ def shortest_path(edges: DataFrame, src: str, dst: str) -> list[str] | None:
     with freed_shuffles(spark):
         e = written(edges.select("src", "dst").filter("src is not null and dst is not null").distinct(), "path-edges")
         base = f"{shared_dir(spark)}/memlake-reached-{uuid.uuid4().hex}"
-        kinds = "node string, before string, hop int"
-        spark.createDataFrame([(src, None, 0)], kinds).coalesce(1).write.parquet(base)
+        kinds = "node string, before string"
+        at = lambda hop: f"{base}/hop={hop}"
+        spark.createDataFrame([(src, None)], kinds).coalesce(1).write.parquet(at(0))
         hop = 0
         while True:
-            seen = spark.read.schema(kinds).parquet(base)
-            front = seen.filter(F.col("hop") == hop).select(F.col("node").alias("src"))
+            seen = spark.read.schema(kinds).option("recursiveFileLookup", True).parquet(base)
+            front = spark.read.schema(kinds).parquet(at(hop)).select(F.col("node").alias("src"))
             step = e.join(front, "src").groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("before")).join(seen.select("node"), "node", "left_anti")
             hop += 1
-            step = written(step.withColumn("hop", F.lit(hop)), "path")
-            if not step.limit(1).count():
+            step.write.parquet(at(hop))
+            found = spark.read.schema(kinds).parquet(at(hop)).agg(F.count(F.lit(1)).alias("n"), F.max(F.col("node") == dst).alias("there")).first()
+            if not found.n:
                 return None
-            step.coalesce(1 if hop % 16 else 8).write.mode("append").parquet(base)
-            if step.filter(F.col("node") == dst).limit(1).count():
+            if found.there:
                 break
-        reached, path = spark.read.schema(kinds).parquet(base), [dst]
+        path = [dst]
         for h in range(hop, 0, -1):
-            path.append(reached.filter((F.col("hop") == h) & (F.col("node") == path[-1])).first().before)
+            path.append(spark.read.schema(kinds).parquet(at(h)).filter(F.col("node") == path[-1]).first().before)
         return path[::-1]
 
 

@@ -356,7 +356,7 @@ def test_graph(spark):
     assert g.shortest_path(path, "a", "d") == ["a", "b", "c", "d"]
     assert g.shortest_path(path, "d", "a") is None and g.shortest_path(path, "q", "q") == ["q"]
     chain = edges(spark, [(f"n{i:02d}", f"n{i + 1:02d}") for i in range(20)] + [("x", "y"), ("s", "s")])
-    assert rows(g.communities(chain)) == [("n00", 21), ("s", 1), ("x", 2)]
+    assert rows(g.communities(chain).filter("node = component"), "component", "size", "place") == [("n00", 21, 0), ("s", 1, 2), ("x", 2, 1)]
     assert rows(g.degrees(path).filter("node = 'b'")) == [("b", 1, 1)]
     assert rows(g.subgraph(path, "t", "b", 1, 10), "id") == [("0",), ("1",)]
     assert rows(g.subgraph(path, "t", "b", 2, 10), "id") == [("0",), ("1",), ("2",), ("3",)]
