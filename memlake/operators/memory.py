@@ -148,7 +148,8 @@ def additions(current: DataFrame, new: DataFrame, review: bool = False) -> DataF
     ``new`` has id, the scope, subject, content, importance, source_event_ids, metadata, mem_type, embedding, at
     (timestamp) and seq, the order of arrival. Per scope and subject, a statement whose trimmed content is that of the
     newest active memory *confirms* it; else, where some are active, it *supersedes* them all (or, in review, stands
-    beside them as a *conflict*); else it is *inserted*. Statements with a null or blank subject are always inserted.
+    beside them as a *conflict*); else it is *inserted*. Statements with a null or blank subject are always inserted;
+    a null importance is 0.5.
     Columns: those of ``new``, subject normalised, with outcome, target (the newest active memory before it), island
     (the number of changes of content so far) and head (the id of the memory that holds its content). A batch's
     statements on one subject are sorted in one task; a stream of any size goes through ``fold_contradictions``.
@@ -156,7 +157,7 @@ def additions(current: DataFrame, new: DataFrame, review: bool = False) -> DataF
     j = F.when(normalize_subject(F.col("subject")) != "", normalize_subject(F.col("subject")))
     newest = current.filter("state = 'active'").select(*SCOPE, j.alias("subject"), "valid_from", "id", same_text(F.col("content")).alias("t")).filter("subject is not null")
     newest = newest.groupBy(*[F.col(c).alias(f"__{c}") for c in (*SCOPE, "subject")]).agg(F.max_by(F.struct("id", "t"), F.struct("valid_from", "id")).alias("a"))
-    asked = new.withColumn("tenant_id", F.coalesce(F.when(F.col("tenant_id") != "", F.col("tenant_id")), F.lit("default"))).withColumn("subject", j)
+    asked = new.withColumn("tenant_id", F.coalesce(F.when(F.col("tenant_id") != "", F.col("tenant_id")), F.lit("default"))).withColumn("subject", j).withColumn("importance", F.coalesce("importance", F.lit(0.5)))
     place = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in SCOPE] + [F.col("subject") == F.col("__subject")]
     met = asked.join(newest, reduce(and_, place), "left").select(*asked.columns, F.col("a.id").alias("__id"), F.col("a.t").alias("__t"))
     own = F.when(F.col("subject").isNull(), F.col("id"))  # a statement without subject stands for itself
