@@ -15,6 +15,8 @@ from memlake.plans.shared import written
 
 K1, B, RRF_K = 1.2, 0.75, 60.0
 SCAN_CAP, POOL = 2048, 50
+#: Classes of alike documents up to which a term is rare to ``bm25_top``; it changes the cost, not the result.
+RARE_TERM = 200
 
 
 def query_terms(query: str, df: DataFrame) -> list[str]:
@@ -64,6 +66,56 @@ def bm25_batch(docs: DataFrame, queries: DataFrame, id: str = "id", text: str =
     return scored.withColumn("rank", F.row_number().over(win)).filter(F.col("rank") <= k)
 
 
+def bm25_top(docs: DataFrame, queries: DataFrame, k: int, id: str = "id", text: str = "content") -> DataFrame:
+    """(qid, id, score, rank): the k best documents by BM25 for each of very many queries (qid, query).
+
+    Exact: the ranks of ``bm25_batch``, but pairs of a query and a document are only made where they can matter.
+
+    * Documents of one length with the same query terms score alike in every query: they are one class, of which the k
+      smallest ids can be hits.
+    * A term is rare if at most RARE_TERM classes hold it. All classes with a rare term of the query are scored.
+    * A class without one scores by the query's other terms alone. Queries share few sets of those, and each set is
+      ranked once. A document outside the k best of the set is behind k that score no less in the whole query.
+
+    Scores are summed in the order of the terms and compared at 12 digits, ties by id. Ids are unique; texts that are
+    null have no terms but count as documents, queries without known terms have no rows.
+    """
+    best = lambda keys, *by: F.row_number().over(Window.partitionBy(*keys).orderBy(*by))
+    weighed = lambda: F.array_sort(F.collect_list(F.struct("term", "w")))
+    total = lambda terms: F.aggregate(terms, F.lit(0.0), lambda a, x: a + x["w"])
+    toks = docs.select(F.col(id).alias("id"), tokenize(F.col(text)).alias("t")).withColumn("dl", F.size("t").cast("double"))
+    stats = toks.agg(F.count(F.lit(1)).cast("double").alias("n"), F.greatest(F.avg("dl"), F.lit(1.0)).alias("avgdl"))
+    q = written(queries.select("qid", F.explode(F.array_distinct(tokenize(F.col("query")))).alias("term")).distinct(), "asked")
+    own = toks.select("id", "dl", F.explode("t").alias("term")).join(q.select("term").distinct(), "term", "left_semi")
+    own = written(own.groupBy("id", "dl").agg(F.array_sort(F.collect_list("term")).alias("ts")), "terms")
+    first = F.min("id").over(Window.partitionBy("dl", "ts").orderBy("id").rowsBetween(Window.unboundedPreceding, 0))
+    members = written(own.select("id", "dl", "ts", first.alias("cid"), best(["dl", "ts"], "id").alias("place")).filter(F.col("place") <= k), "classes")
+    post = members.filter("place = 1").select("cid", "dl", F.explode("ts").alias("term")).groupBy("cid", "dl", "term").agg(F.count(F.lit(1)).cast("double").alias("f"))
+    df = own.select(F.explode(F.array_distinct("ts")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("nq"))
+    known = written(df.join(post.groupBy("term").agg((F.count(F.lit(1)) > RARE_TERM).alias("often")), "term"), "known")
+    idf = F.log((F.col("n") - F.col("nq") + 0.5) / (F.col("nq") + 0.5) + 1.0)
+    w = idf * (F.col("f") * (K1 + 1.0)) / (F.col("f") + K1 * (1.0 - B + B * F.col("dl") / F.col("avgdl")))
+    post = written(post.join(known, "term").join(F.broadcast(stats)).select("cid", "term", "often", w.alias("w")), "postings")  # stats: one row
+    q = q.join(known, "term").groupBy("qid").agg(F.array_sort(F.collect_list("term")).alias("terms"), F.array_sort(F.collect_list(F.when(F.col("often"), F.col("term")))).alias("frequent"))
+    q = written(q, "queries")
+
+    rare = q.select("qid", F.explode(F.array_except("terms", "frequent")).alias("term")).join(post.filter("not often").select("term", "cid"), "term").select("qid", "cid")
+    # what follows knows frequent terms alone: documents that have the same ones with the same weights are one class again
+    alike = members.select("id", "cid").join(post.filter("often").groupBy("cid").agg(weighed().alias("tw")), "cid")
+    first = F.min("id").over(Window.partitionBy("tw").orderBy("id").rowsBetween(Window.unboundedPreceding, 0))
+    alike = written(alike.select("id", "cid", "tw", first.alias("fid"), best(["tw"], "id").alias("place")).filter(F.col("place") <= k), "frequent")
+    sets = q.select("frequent").distinct().select("frequent", F.explode("frequent").alias("term"))
+    scored = sets.join(alike.filter("place = 1").select("fid", F.explode("tw").alias("x")).select("fid", "x.term", "x.w"), "term").groupBy("frequent", "fid").agg(F.round(total(weighed()), 12).alias("s"))
+    near = scored.withColumn("r", best(["frequent"], F.desc("s"), "fid")).filter(F.col("r") <= k).drop("r").join(alike.select("fid", "id", "cid"), "fid")
+    near = near.withColumn("r", best(["frequent"], F.desc("s"), "id")).filter(F.col("r") <= k).select("frequent", "cid").distinct()
+
+    pairs = rare.unionByName(q.select("qid", "frequent").join(near, "frequent").select("qid", "cid")).distinct()
+    each = pairs.join(q.select("qid", "terms"), "qid").join(post.groupBy("cid").agg(weighed().alias("tw")), "cid")
+    each = each.select("qid", "cid", total(F.filter("tw", lambda x: F.array_contains("terms", x["term"]))).alias("score")).withColumn("s", F.round("score", 12))
+    hits = each.withColumn("r", best(["qid"], F.desc("s"), "cid")).filter(F.col("r") <= k).join(members.select("cid", "id"), "cid")
+    return hits.withColumn("rank", best(["qid"], F.desc("s"), "id")).filter(F.col("rank") <= k).select("qid", "id", "score", "rank")
+
+
 def ranked(arm: DataFrame, by: list[Column], weight: float = 1.0, limit: int | None = None) -> DataFrame:
     """An arm of the fusion: (id, w) with 1-based ranks turned to weight / (k + rank)."""
     cut = arm.orderBy(*by).limit(limit) if limit else arm

@@ -244,9 +244,9 @@ k as (select query as qid, min(rank) as rank from asked left join (select qid, r
 select round(avg(coalesce((rank <= 1)::int, 0)), 9) as r1, round(avg(coalesce((rank <= 3)::int, 0)), 9) as r3, round(avg(coalesce((rank <= 5)::int, 0)), 9) as r5, round(avg(coalesce(1.0 / rank, 0)), 9) as mrr from k""")
 def h12_recall(spark: SparkSession, d: str) -> DataFrame:
     """Every subject of the tenant as a question to all memories; expected is a text that holds the subject's last word."""
-    mem = memories(spark, d)
+    mem = written(memories(spark, d).select("id", "tenant_id", "subject", "content"), "memories")
     asked = mem.filter((F.col("tenant_id") == TENANT) & (F.trim("subject") != "")).select(normalize_subject(F.col("subject")).alias("query")).distinct()
-    hits = r.bm25_batch(mem, asked.select(F.col("query").alias("qid"), "query"), k=10).join(mem.select("id", "content"), "id")
+    hits = r.bm25_top(mem, asked.select(F.col("query").alias("qid"), "query"), 10).join(mem.select("id", "content"), "id")
     gold = asked.select(F.col("query").alias("qid"), F.regexp_extract("query", "[^ ]+$", 0).alias("expected"))
     return r.retrieval_metrics(r.first_hit(hits, gold)).select(*[F.round(c, 9).alias(c) for c in ("r1", "r3", "r5", "mrr")])
 

@@ -75,6 +75,44 @@ def test_bm25(spark):
     assert r.bm25(d, "the").collect() == []
 
 
+@pytest.mark.parametrize("rare", [0, 3, 200])
+def test_bm25_top_ranks_as_all_pairs_do(spark, monkeypatch, rare):
+    monkeypatch.setattr(r, "RARE_TERM", rare)
+    rng = np.random.default_rng(rare)
+    words = ["project", "status", "owner", "badge", "desk", *[f"n{i}" for i in range(12)]]
+    text = lambda n: " ".join(rng.choice(words, n, p=[0.2, 0.15, 0.1, 0.1, 0.09, *[0.03] * 12]))
+    docs = [(f"d{i:03d}", text(int(rng.integers(1, 6)))) for i in range(200)] + [("e1", None), ("e2", "filler only"), ("e3", "project " * 9), ("e4", "")]
+    asked = [(f"q{i}", text(int(rng.integers(1, 4)))) for i in range(25)] + [("same", "project status"), ("again", "status of the PROJECT"), ("none", "the of"), ("strange", "zebra"), ("blank", None)]
+    d, q = spark.createDataFrame(docs, "id string, content string"), spark.createDataFrame(asked, "qid string, query string")
+    want = {}
+    for x in sorted(r.bm25_batch(d, q).collect(), key=lambda x: (-round(x.score, 12), x.id)):
+        want.setdefault(x.qid, []).append((x.id, pytest.approx(x.score)))
+    got = {}
+    for x in sorted(r.bm25_top(d, q, 4).collect(), key=lambda x: x["rank"]):
+        got.setdefault(x.qid, []).append((x.id, x.score))
+    assert got == {k: v[:4] for k, v in want.items()} and {"same", "again"} <= got.keys() and not {"none", "strange", "blank"} & got.keys()
+    assert r.bm25_top(d.limit(0), q, 4).collect() == [] and r.bm25_top(d, q.limit(0), 4).collect() == []
+
+
+def rows_out(plan) -> list[int]:
+    """The numbers of rows that the steps of a plan put out."""
+    kind = plan.getClass().getSimpleName()
+    below = [plan.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [plan.plan()] if kind.endswith("QueryStageExec") else [plan.children().apply(i) for i in range(plan.children().size())]
+    own = plan.metrics().get("numOutputRows")
+    return sum(map(rows_out, below), [int(own.get().value())] if own.isDefined() else [])
+
+
+def test_recall_makes_no_pair_of_every_question_and_memory(spark, tmp_path):
+    subject = F.concat(F.lit("project no"), F.col("n"), F.lit(" status"))
+    mem = spark.range(2000).withColumnRenamed("id", "n").select(F.concat(F.lit("m"), F.col("n")).alias("id"), F.lit(queries.TENANT).alias("tenant_id"), subject.alias("subject"), F.concat(subject, F.lit(" is open")).alias("content"))
+    mem.write.parquet(f"{tmp_path}/memories.parquet")
+    got = queries.h12_recall(spark, str(tmp_path))
+    assert tuple(got.first()) == (1.0, 1.0, 1.0, 1.0)
+    got.collect()
+    made = rows_out(got._jdf.queryExecution().executedPlan())
+    assert made and max(made) < 2000 * 2000 / 10
+
+
 def test_fusion_and_search(spark):
     arm = lambda ids, w=1.0: r.ranked(spark.createDataFrame([(x, float(-i)) for i, x in enumerate(ids)], "id string, score double"), [F.desc("score")], w)
     got = {x.id: x.rrf for x in r.rrf([arm(["a", "b"]), arm(["b", "a"], 5.0)]).collect()}
