@@ -3,8 +3,9 @@
 A page is cut to units: lines, and in long lines sentences and list stretches. Each unit shows five discrete signs (links,
 tags or runs of short items, recurring word pairs, function words, sentence shape). A hidden Markov model with the states
 prose, link list, tag list and menu explains the sequence; its best path labels every unit. A page is flagged where the
-non-prose units hold more than FLAG of its characters. The starting tables below are re-estimated on a bounded sample
-of pages (hard EM); every page is then labelled whole, by one task, without a shuffle.
+non-prose units hold more than FLAG of its characters. The signs of all pages are read once and written, some five bytes
+for each unit; the starting tables below are re-estimated on all of them (hard EM), and every page is then labelled whole,
+by one task.
 """
 
 from __future__ import annotations
@@ -22,14 +23,14 @@ from pyspark.sql import functions as F
 from memlake.plans.shared import quoted, spread, written
 
 STATES = ("prose", "links", "tags", "menu")
-#: Sample of pages the model is fitted on, rounds of fitting, and the weight of the starting tables in units.
-SAMPLE_PAGES, ROUNDS, PRIOR_UNITS = 2_000, 2, 50.0
+#: Rounds of fitting, and the weight of the starting tables in units.
+ROUNDS, PRIOR_UNITS = 2, 50.0
 #: Share of non-prose characters above which a page is flagged: half-way between the half that other pages stay under
 #: and the two thirds that stuffed ones pass.
 FLAG = 0.58
 STRETCH = 160
-#: Characters that are worked on at a time.
-PORTION = 4_000_000
+#: Characters, and units with known signs, that are worked on at a time.
+PORTION, PORTION_UNITS = 4_000_000, 500_000
 #: Function words of the corpus languages (fixed values).
 FUNCTION_WORDS = frozenset(
     "a an and are as at be because before but by could does for from had has have he her his i if in into is it its just my no nor not of on or our out she so some still than that the their them then there they this those to until was we were what when which while who why will with without you your s t d m ll re ve don doesn can isn "
@@ -189,22 +190,34 @@ class LineModel:
         return out
 
 
-def fitted(pages: DataFrame) -> LineModel:
-    """The model after ROUNDS of hard EM on at most SAMPLE_PAGES of (id, text)."""
+def signed(pages: DataFrame) -> DataFrame:
+    """(id, codes, chars) of (id, text): for each unit of the page one byte for its signs, and its characters as int32."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts in _portions(batches):
+            rows, chars, page = signs(texts)
+            code = np.ravel_multi_index(tuple(rows.T), tuple(SIGNS.values())).astype(np.uint8)
+            ends = np.cumsum(np.bincount(page, minlength=len(texts)))[:-1]
+            packed = lambda x: pa.array([p.tobytes() for p in np.split(x, ends)], pa.binary())
+            yield pa.RecordBatch.from_arrays([ids, packed(code), packed(chars.astype(np.int32))], names=["id", "codes", "chars"])
+
+    return spread(pages).mapInArrow(sign, f"id {pages.schema['id'].dataType.simpleString()}, codes binary, chars binary")
+
+
+def fitted(signed: DataFrame) -> LineModel:
+    """The model after ROUNDS of hard EM on all pages of (id, codes, chars)."""
     model = LineModel.initial()
-    sample = written(pages.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_PAGES), "pages")
     for _ in range(ROUNDS):
 
         def count(batches: Iterator[pa.RecordBatch], model: LineModel = model) -> Iterator[pa.RecordBatch]:
             total: Counter = Counter()
-            for texts in _portions(batches):
-                rows, _, page = signs(texts[1])
+            for _, rows, _, page in _unpacked(batches):
                 for name, c in model.counts(rows, page, model.path(rows, page)).items():
                     total.update({(name, int(i)): int(c.flat[i]) for i in np.flatnonzero(c)})
             if total:
                 yield pa.RecordBatch.from_pydict({"name": [k[0] for k in total], "cell": pa.array([k[1] for k in total], pa.int64()), "n": pa.array(list(total.values()), pa.int64())})
 
-        got = spread(sample).mapInArrow(count, "name string, cell bigint, n bigint").groupBy("name", "cell").agg(F.sum("n").alias("n")).collect()
+        got = spread(signed).mapInArrow(count, "name string, cell bigint, n bigint").groupBy("name", "cell").agg(F.sum("n").alias("n")).collect()
         shapes = {"start": (len(STATES),), "move": (len(STATES), len(STATES))} | {s: (len(STATES), n) for s, n in SIGNS.items()}
         tables = {k: np.zeros(s) for k, s in shapes.items()}
         for r in got:
@@ -220,18 +233,33 @@ def labelled(df: DataFrame, id: str, text: str, model: LineModel | None = None)
     they are, null ids stay null, an empty table gives no rows, further columns play no part.
     """
     kind = df.schema[id].dataType.simpleString()
-    pages = df.select(F.col(quoted(id)).alias("id"), F.coalesce(F.col(quoted(text)).cast("string"), F.lit("")).alias("text"))
-    model = model or fitted(pages.where(r"text rlike '(?U)\\S'"))
+    known = signed(df.select(F.col(quoted(id)).alias("id"), F.coalesce(F.col(quoted(text)).cast("string"), F.lit("")).alias("text")))
+    if model is None:
+        known = written(known, "signs")
+        model = fitted(known)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in _portions(batches):
-            rows, chars, page = signs(texts)
-            size = np.bincount(page, weights=chars, minlength=len(texts)).astype(np.int64)
-            other = np.bincount(page, weights=chars * (model.path(rows, page) > 0), minlength=len(texts))
+        for ids, rows, chars, page in _unpacked(batches):
+            size = np.bincount(page, weights=chars, minlength=len(ids)).astype(np.int64)
+            other = np.bincount(page, weights=chars * (model.path(rows, page) > 0), minlength=len(ids))
             share = other / np.maximum(size, 1)
             yield pa.RecordBatch.from_arrays([ids, pa.array(size, pa.int64()), pa.array(share), pa.array(share > FLAG)], names=["id", "n_chars", "non_prose", "stuffed"])
 
-    return spread(pages).mapInArrow(label, f"id {kind}, n_chars bigint, non_prose double, stuffed boolean")
+    return spread(known).mapInArrow(label, f"id {kind}, n_chars bigint, non_prose double, stuffed boolean")
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
+    """Ids, and what ``signs`` gives for their pages, some PORTION_UNITS units at a time."""
+    for b in batches:
+        codes, chars = b.column("codes").to_pylist(), b.column("chars").to_pylist()
+        a = n = 0
+        for z, c in enumerate(codes, 1):
+            n += len(c)
+            if n >= PORTION_UNITS or z == len(codes):
+                code = np.frombuffer(b"".join(codes[a:z]), np.uint8)
+                page = np.repeat(np.arange(z - a), [len(x) for x in codes[a:z]])
+                yield b.column("id").slice(a, z - a), np.column_stack(np.unravel_index(code, tuple(SIGNS.values()))), np.frombuffer(b"".join(chars[a:z]), np.int32), page
+                a, n = z, 0
 
 
 def _portions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str]]]:

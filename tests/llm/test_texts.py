@@ -117,6 +117,22 @@ def test_stuffed_pages(spark):
     assert labelled(df.limit(0), "doc_id", "text").collect() == []
 
 
+def test_model_is_fitted_on_every_page(spark, monkeypatch):
+    seen, initial = [], LineModel.initial
+
+    def counted(counts=None):
+        seen.append(counts)
+        return initial(counts)
+
+    monkeypatch.setattr(LineModel, "initial", counted)
+    pages = [(i, "A line." if i % 3 else "deal, shop, cable, price, stock\nwww.a.example") for i in range(2_600)] + [(2_600, None), (2_601, " ")]
+    got = labelled(spark.createDataFrame(pages, "doc_id bigint, text string"), "doc_id", "text")
+    own = [(i, t) for i, t in pages if t and t.strip()]
+    units_of = sum(len(units(t)) for _, t in own)
+    assert [c["start"].sum() for c in seen[1:]] == [len(own)] * 2 and [c["link"].sum() for c in seen[1:]] == [units_of] * 2
+    assert sorted((r.id, r.n_chars) for r in got.collect()) == [(i, len(t) if t and t.strip() else 0) for i, t in pages]
+
+
 def test_units_keep_every_character():
     for t in (PROSE * 3, "a" * 1000, "one\n\ntwo. three", " ".join(["word"] * 500)):
         assert "".join(units(t)) == t
